@@ -52,6 +52,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate *value* once and use it several times in *body*.
+
+    Keeps the generated code of the long parsers small: inlined everywhere, a
+    shared part would grow the method beyond what the JVM compiles.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse_spaces(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
 
@@ -112,17 +121,24 @@ def decimal_separator(c: Column | str) -> Column:
 
 def parse_number(c: Column | str, separator: str = ".", percent_to_fraction: bool = True) -> Column:
     """Text to number; codes, dates and placeholders become NULL, never a guess."""
-    raw = F.trim(F.translate(_col(c), "− ", "- "))
+    raw = F.trim(F.translate(_col(c), "−\u00a0", "- "))
+    return let(raw, lambda text: _number_of(text, separator, percent_to_fraction))
+
+
+def _number_of(raw: Column, separator: str, percent_to_fraction: bool) -> Column:
     bracketed = raw.startswith("(") & raw.endswith(")")
-    inner = F.when(bracketed, F.trim(F.regexp_replace(raw, r"^\(|\)$", ""))).otherwise(raw)
-    percent = F.rlike(inner, F.lit("[%٪]"))
-    bare = F.trim(F.regexp_replace(inner, DECORATION, ""))
-    european = F.rlike(bare, F.lit(DECIMAL_COMMA)) | F.lit(separator == ",")
-    plain = F.when(european, F.translate(bare, ",.", ".")).otherwise(F.translate(bare, ",", ""))
-    value = F.when(F.rlike(bare, F.lit(STRICT_NUMBER)) & ~is_placeholder(raw), plain.try_cast("double"))
-    if percent_to_fraction:
-        value = F.when(percent, value / 100).otherwise(value)
-    return F.when(bracketed, -value).otherwise(value)
+    inner = F.trim(F.regexp_replace(raw, r"^\((.*)\)$", "$1"))
+    percent = F.rlike(raw, F.lit("[%٪]"))
+
+    def plain(bare: Column) -> Column:
+        european = F.rlike(bare, F.lit(DECIMAL_COMMA)) | F.lit(separator == ",")
+        digits = F.when(european, F.translate(bare, ",.", ".")).otherwise(F.translate(bare, ",", ""))
+        return F.when(F.rlike(bare, F.lit(STRICT_NUMBER)), digits.try_cast("double"))
+
+    # a placeholder has letters or no digit, so the strict shape already refuses it
+    value = let(F.trim(F.regexp_replace(inner, DECORATION, "")), plain)
+    divisor = F.when(percent & F.lit(percent_to_fraction), 100.0).otherwise(1.0)
+    return value / divisor * F.when(bracketed, -1.0).otherwise(1.0)
 
 
 def _part(c: Column, group: int) -> Column:
@@ -148,21 +164,22 @@ def parse_timestamp(c: Column | str, day_first_known: bool | None = False, fmt:
     if fmt:
         return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
     dashed = F.regexp_replace(text, r"^(\d{1,4})[/.](\d{1,2})[/.]", r"$1-$2-")
-    iso = ["yyyy-M-d", "yyyy-M-d HH:mm", "yyyy-M-d HH:mm:ss", "yyyy-M-d'T'HH:mm:ss"]
-    head = "d-M" if day_first_known else "M-d"
-    tail = "M-d" if day_first_known else "d-M"
-    # a value that only fits the other order is still read, as a mixed column would be
-    spelled = ["d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy"]
-    named = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in spelled])
-    short = [f"{head}-yyyy", f"{head}-yyyy HH:mm", f"{head}-yyyy HH:mm:ss", f"{tail}-yyyy"]
-    two_digit = F.coalesce(*[F.try_to_timestamp(dashed, F.lit(f)) for f in (f"{head}-yy", f"{tail}-yy")])
-    year_first = F.coalesce(*[F.try_to_timestamp(dashed, F.lit(f)) for f in iso])
-    other = F.coalesce(*[F.try_to_timestamp(dashed, F.lit(f)) for f in short])
-    is_short_year = F.rlike(dashed, F.lit(r"^\d{1,2}-\d{1,2}-\d{2}$"))
-    return (
-        F.when(F.rlike(text, F.lit(YEAR_FIRST)), year_first).when(is_short_year, two_digit)
-        .when(F.rlike(text, F.lit(r"[A-Za-z]{3}")), named).otherwise(other).cast("timestamp_ntz")
-    )
+    head, tail = ("d-M", "M-d") if day_first_known else ("M-d", "d-M")
+
+    def read(t: Column) -> Column:
+        def first(formats: list[str]) -> Column:
+            return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
+
+        return (
+            F.when(F.rlike(t, F.lit(YEAR_FIRST)), first(["yyyy-M-d", "yyyy-M-d HH:mm:ss", "yyyy-M-d HH:mm", "yyyy-M-d'T'HH:mm:ss"]))
+            .when(F.rlike(t, F.lit(r"^\d{1,2}-\d{1,2}-\d{2}$")), first([f"{head}-yy", f"{tail}-yy"]))
+            .when(F.rlike(t, F.lit(r"[A-Za-z]{3}")), first(["d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy"]))
+            # a value that only fits the other order is still read, as in a mixed column
+            .when(F.rlike(t, F.lit(r"^\d{1,2}-\d{1,2}-\d{4}")),
+                  first([f"{head}-yyyy", f"{head}-yyyy HH:mm:ss", f"{head}-yyyy HH:mm", f"{tail}-yyyy"]))
+        )
+
+    return let(dashed, read).cast("timestamp_ntz")
 
 
 # Magnitudes of spreadsheet serials and epochs.

@@ -62,12 +62,26 @@ class Probe:
 
     @property
     def text(self) -> Column:
-        return F.trim(F.col(self.name).cast("string"))
+        return F.col(f"__text_{self.name}")
+
+    @property
+    def placeholder(self) -> Column:
+        return F.col(f"__void_{self.name}")
 
     @property
     def live(self) -> Column:
         """The text unless it only spells out "missing"."""
-        return F.when(~tx.is_placeholder(self.text), self.text)
+        return F.when(~self.placeholder, self.text)
+
+    @property
+    def number(self) -> Column:
+        """The text read as a number."""
+        return F.col(f"__num_{self.name}")
+
+    @property
+    def date(self) -> Column:
+        """The text (or serial number) read as a date."""
+        return F.col(f"__date_{self.name}")
 
     def named(self, pattern: str) -> bool:
         return re.search(pattern, self.name) is not None
@@ -116,7 +130,7 @@ def _ends(hit: Column, value: Column) -> Column:
 def placeholders(p: Probe) -> Column | None:
     if p.kind != "string":
         return None
-    hit = tx.is_placeholder(p.value)
+    hit = p.placeholder
     return finding("placeholder_values", p, F.count_if(hit), severity="high", op="standardize_null_placeholders",
                    evidence=_ends(hit, p.text))
 
@@ -134,8 +148,8 @@ def mixed_types(p: Probe) -> Column | None:
     """A text column that holds numbers, dates, flags and words side by side."""
     if p.kind != "string":
         return None
-    numeric = tx.parse_number(p.text, p.separator).isNotNull()
-    date = ~numeric & tx.parse_timestamp(p.text, bool(p.day_first)).isNotNull()
+    numeric = p.number.isNotNull()
+    date = ~numeric & p.date.isNotNull()
     flag = ~numeric & ~date & F.lower(p.text).isin(YES + NO)
     live = p.live.isNotNull()
     kinds = [F.count_if(live & k) for k in (numeric, date, flag, ~(numeric | date | flag))]
@@ -147,7 +161,7 @@ def mixed_types(p: Probe) -> Column | None:
 def numeric_as_text(p: Probe) -> Column | None:
     if p.kind != "string" or p.named(DATE_NAME):
         return None
-    parsed = F.when(p.live.isNotNull(), tx.parse_number(p.text, p.separator))
+    parsed = F.when(p.live.isNotNull(), p.number)
     share = F.count(parsed) / F.nullif(F.count(p.live), F.lit(0))
     formatted = F.max(F.when(p.live.isNotNull(), F.rlike(p.text, F.lit(CURRENCY)) | F.contains(p.text, F.lit("%"))))
     wanted = (share >= 0.8) & (formatted | F.lit(not p.named(ID_NAME)))
@@ -162,8 +176,7 @@ def date_as_text(p: Probe) -> Column | None:
     says_date = p.named(DATE_NAME)
     if not says_date and p.kind != "string":
         return None
-    as_date = tx.timestamp_of_number(p.value, p.date_kind) if p.date_kind else tx.parse_timestamp(p.text, bool(p.day_first))
-    parsed = F.when(p.live.isNotNull(), as_date)
+    parsed = F.when(p.live.isNotNull(), p.date)
     share = F.count(parsed) / F.nullif(F.count(p.live), F.lit(0))
     wanted = share >= (0.6 if says_date else 0.9)
     if not says_date:
@@ -308,14 +321,31 @@ def sentinel_hits(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, .
     return out
 
 
+def readings(df: DataFrame, found: list[Probe]) -> DataFrame:
+    """Every column beside its text, number and date reading, each computed once
+    per row; readings no detector asks for are pruned."""
+    texts = df.select("*", *[F.trim(F.col(p.name).cast("string")).alias(f"__text_{p.name}") for p in found])
+
+    def date(p: Probe) -> Column:
+        if p.date_kind:
+            return tx.timestamp_of_number(p.name, p.date_kind)
+        return tx.parse_timestamp(p.text, bool(p.day_first))
+
+    return texts.select(
+        "*", *[tx.is_placeholder(p.text).alias(f"__void_{p.name}") for p in found],
+        *[tx.parse_number(p.text, p.separator).alias(f"__num_{p.name}") for p in found],
+        *[date(p).alias(f"__date_{p.name}") for p in found],
+    )
+
+
 def run_detectors(df: DataFrame, names: list[str] | None = None, *, keys: set[str] = frozenset(), as_of: str | None = None) -> DataFrame:
     """All findings of the named column detectors, from one aggregate over the table."""
     chosen = names or list(DETECTORS)
-    parts = [DETECTORS[d](p) for p in probes(df, keys=keys, as_of=as_of, wanted=set(chosen)) for d in chosen]
-    parts = [c for c in parts if c is not None]
+    found = probes(df, keys=keys, as_of=as_of, wanted=set(chosen))
+    parts = [c for p in found for d in chosen if (c := DETECTORS[d](p)) is not None]
     if not parts:
         return df.sparkSession.createDataFrame([], FINDING)
-    return df.agg(F.array_compact(F.array(*parts)).alias("f")).select(F.inline("f"))
+    return readings(df, found).agg(F.array_compact(F.array(*parts)).alias("f")).select(F.inline("f"))
 
 
 # --- detectors over groups of rows or several columns -------------------------

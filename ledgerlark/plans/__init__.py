@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from ledgerlark.plans import cleaning, metrics  # noqa: F401
+from ledgerlark.plans import cleaning, customers, metrics  # noqa: F401
 from ledgerlark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
