@@ -112,7 +112,7 @@ def _b8_sql() -> str:
         if c in ("ts", "quantity", "order_id"):
             out.append(f"SELECT '{c}' AS column_name, false AS usable, NULL AS kind, CASE WHEN '{c}' = 'order_id' AND {n} <= 300 THEN {n} END AS n_values, 'date, quantity or order key' AS reason FROM fact")
         elif c == "price":
-            out.append(f"SELECT '{c}', false, NULL, NULL, 'continuous measurement' FROM fact")
+            out.append(f"SELECT '{c}', false, NULL, NULL, 'continuous measurement'")
         elif c in ("customer_id", "linenumber"):
             out.append(f"SELECT '{c}', {n} <= 50, CASE WHEN {n} <= 50 THEN 'numeric_code' END, CASE WHEN {n} <= 300 THEN {n} END, CASE WHEN {n} > 50 THEN 'numeric with too many values' END FROM fact")
         else:
