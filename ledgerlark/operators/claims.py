@@ -56,7 +56,7 @@ def material_numbers(docs: DataFrame, doc: str, text: str) -> DataFrame:
     parts = [F.regexp_extract("raw", NUMBER_PARTS, g) for g in (1, 2, 3, 4)]
     scale = F.when(F.lower(parts[2]) == "k", 1e3).when(F.lower(parts[2]) == "m", 1e6).when(F.lower(parts[2]) == "b", 1e9).otherwise(1.0)
     kind = F.when(parts[0] != "", "currency").when(parts[3] != "", "percent").otherwise("number")
-    line = F.regexp_extract("back", r"([^\n]*)$", 1)
+    line = F.regexp_extract("back", r"([^\n]*)\z", 1)
     read = rows.select("doc", "pos", F.trim("raw").alias("raw"), (F.translate(parts[1], ",", "").try_cast("double") * scale).alias("value"), kind.alias("kind"),
                        line.alias("near"), "after").where("value is not null")
     whole = F.col("value") == F.floor("value")
@@ -129,7 +129,7 @@ def label_verdicts(numbers: DataFrame, labels: DataFrame) -> DataFrame:
     runs that end before it, so names are found by equality whatever their number.
     """
     # a digit between the name and the number breaks the bond
-    clear = F.regexp_extract(F.lower("near"), r"([^0-9]*)$", 1)
+    clear = F.regexp_extract(F.lower("near"), r"([^0-9]*)\z", 1)
     words = F.filter(F.split(F.regexp_replace(clear, r"[^a-z'&]+", " "), " "), lambda w: w != "")
     spots = numbers.select("doc", "pos", "kind", "value", words.alias("w")).where(F.size("w") > 0)
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(
@@ -187,8 +187,8 @@ def exact_matches(claims: DataFrame, known: DataFrame) -> DataFrame:
     """Claims that are an exact rounding of a figure; the earlier figure owns a shared form."""
     owner = known.select("position", "key", "figure", F.explode(forms(F.col("figure"))).alias("form")).groupBy("form").agg(
         F.min_by(F.struct("key", "figure"), "position").alias("o"))
-    wanted = claims.select("kind", "value").distinct().select("*", F.posexplode(forms(F.col("value"))).alias("i", "form"))
-    found = wanted.join(owner, "form").groupBy("kind", "value").agg(F.min_by("o", "i").alias("o"))
+    printed = (F.bround("value", 4) + 0.0).cast("decimal(38,4)").cast("string")
+    found = claims.select("kind", "value", printed.alias("form")).distinct().join(owner, "form").select("kind", "value", "o")
     exact = F.round(F.abs(F.col("o.figure")), 2) == F.round(F.abs("value"), 2)
     return claims.join(found, ["kind", "value"], "left").select(
         *claims.columns, F.col("o.key").alias("figure_key"), F.when(F.col("o").isNull(), "unverified").when(exact, "exact").otherwise("rounded").alias("basis"))
