@@ -95,79 +95,117 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of several columns.
 
-    Columns with at most *small* values go through ``percentile``.  Larger ones
-    are narrowed: bounded-state approximate percentiles bracket each wanted
-    rank, one aggregate counts what lies below and inside, and the bracket is
-    narrowed again until it holds few distinct values.  Rows are never shuffled.
+    Columns with at most *small* values go through ``percentile``.  For larger
+    ones the wanted ranks are bracketed by approximate percentiles, whose state
+    is bounded, and one aggregate counts what lies below and inside; what is left
+    in the brackets is small and read out.  All columns and ranks share each
+    pass, and rows are never shuffled.
     """
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     values = values.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
-    counts = values.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    stats = values.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).first()
     out: dict[str, list[float | None]] = {}
-    light = [c for c in columns if counts[c] <= small]
+    light = [c for c in columns if stats[c]["n"] <= small]
     if light:
         row = values.agg(*[F.percentile(c, F.array(*map(F.lit, probs))).alias(c) for c in light]).first()
         out.update({c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in light})
-    for c in columns:
-        if c not in out:
-            out[c] = _narrowed(values.select(c).where(F.col(c).isNotNull()), c, counts[c], probs, small)
+    brackets = [_Bracket(c, p, stats[c]["n"], stats[c]["lo"], stats[c]["hi"]) for c in columns if c not in out for p in probs]
+    while open_ := [b for b in brackets if b.result is None]:
+        ready = [b for b in open_ if b.inside <= small]
+        if ready:
+            _read_out(values, ready)
+        wide = [b for b in open_ if b.inside > small]
+        if wide:
+            _narrow(values, wide)
+    for b in brackets:
+        out.setdefault(b.column, []).append(b.result)
     return out
 
 
-def _narrowed(values: DataFrame, c: str, n: int, probs: list[float], small: int) -> list[float]:
-    def at(rank: int, lo: float, hi: float, below: int, inside: int) -> float:
-        v = F.col(c)
-        while True:
-            part = values.where(v.between(F.lit(lo), F.lit(hi)))
-            if lo == hi:
-                return lo
-            if inside <= small:
-                seen = below
-                for row in part.groupBy(c).count().orderBy(c).collect():  # at most *small* rows
-                    seen += row["count"]
-                    if rank < seen:
-                        return row[c]
-            share = (rank - below) / max(inside - 1, 1)
-            guess = part.agg(
-                F.percentile_approx(c, F.array(F.lit(max(0.0, share - 2e-4)), F.lit(min(1.0, share + 2e-4))), F.lit(10_000))
-            ).first()[0]
-            if (guess[0], guess[1]) == (lo, hi):  # no progress: halve the value range instead
-                middle = lo + (hi - lo) / 2
-                if middle in (lo, hi):
-                    guess = [lo, lo]
-                else:
-                    guess = [lo, middle]
-            row = part.agg(
-                F.count_if(v < guess[0]).alias("under"),
-                F.count_if(v.between(guess[0], guess[1])).alias("within"),
-                F.max(F.when(v < guess[0], v)).alias("prev"),
-                F.min(F.when(v > guess[1], v)).alias("next"),
-            ).first()
-            if rank < below + row["under"]:
-                hi, inside = row["prev"], row["under"]
-            elif rank < below + row["under"] + row["within"]:
-                lo, hi, below, inside = guess[0], guess[1], below + row["under"], row["within"]
-            else:
-                lo, inside = row["next"], inside - row["under"] - row["within"]
-                below += row["under"] + row["within"]
-
-    ends = values.agg(F.min(c), F.max(c)).first()
-    known: dict[int, float] = {}
-    out = []
-    for p in probs:
-        spot = p * (n - 1)
-        first = int(spot)
-        for rank in {first, min(first + 1, n - 1)}:
-            if rank not in known:
-                known[rank] = at(rank, ends[0], ends[1], 0, n)
-        lo, hi = known[first], known[min(first + 1, n - 1)]
-        out.append(lo + (hi - lo) * (spot - first))
-    return out
-
-
-def value_of(df: DataFrame) -> Column:
-    """The single cell of a one-row, one-column frame as a scalar subquery."""
-    return df.scalar()
+class _Bracket:
+    """The value range known to hold the two ranks around one quantile."""
+
+    def __init__(self, column: str, prob: float, n: int, lo: float, hi: float) -> None:
+        spot = prob * (n - 1)
+        self.column, self.first, self.part = column, int(spot), spot - int(spot)
+        self.second = min(self.first + 1, n - 1) if self.part else self.first
+        self.lo, self.hi, self.below, self.inside = lo, hi, 0, n
+        self.result: float | None = lo if lo == hi else None
+        self.stuck = False
+
+    @property
+    def value(self) -> Column:
+        return F.when(F.col(self.column).between(self.lo, self.hi), F.col(self.column))
+
+    def settle(self, a: float, b: float) -> None:
+        self.result = a + (b - a) * self.part
+
+    def cut(self, low: float, high: float, under: int, within: int) -> None:
+        """Keep the part between *low* and *high* that holds both ranks."""
+        before = (self.lo, self.hi)
+        top = self.below + under + within
+        inside = self.inside
+        if self.second < top and high < self.hi:
+            self.hi, inside = high, under + within
+        if self.first >= self.below + under and low > self.lo:
+            self.lo, self.below, inside = low, self.below + under, inside - under
+        self.inside = inside
+        self.stuck = before == (self.lo, self.hi)
+        if self.lo == self.hi:
+            self.settle(self.lo, self.lo)
+
+
+def _read_out(values: DataFrame, brackets: list[_Bracket]) -> None:
+    """Values and counts of brackets that hold few rows."""
+    cells = F.array_compact(F.array(*[
+        F.when(b.value.isNotNull(), F.struct(F.lit(i).alias("i"), b.value.alias("v"))) for i, b in enumerate(brackets)]))
+    counted = values.select(F.inline(cells)).groupBy("i", "v").count().collect()
+    for i, b in enumerate(brackets):
+        seen, found = b.below, {}
+        for row in sorted((r for r in counted if r["i"] == i), key=lambda r: r["v"]):
+            seen += row["count"]
+            for rank in (b.first, b.second):
+                if rank < seen:
+                    found.setdefault(rank, row["v"])
+        b.settle(found[b.first], found[b.second])
+
+
+def _narrow(values: DataFrame, brackets: list[_Bracket], margin: float = 2e-4) -> None:
+    """Shrink wide brackets: one pass to guess the bounds, one to count."""
+    guesses = []
+    loose = [b for b in brackets if not b.stuck]
+    if loose:
+        asked = []
+        for i, b in enumerate(loose):
+            ends = [(r - b.below) / (b.inside - 1) for r in (b.first, b.second)]
+            ends = F.array(F.lit(max(0.0, ends[0] - margin)), F.lit(min(1.0, ends[1] + margin)))
+            asked.append(F.percentile_approx(b.value, ends, F.lit(10_000)).alias(f"g{i}"))
+        row = values.agg(*asked).first()
+        guesses = [(b, *row[f"g{i}"]) for i, b in enumerate(loose)]
+    # a bracket the guess did not move is halved by value
+    guesses += [(b, b.lo, b.lo + (b.hi - b.lo) / 2) for b in brackets if b.stuck]
+    counts = values.agg(*[
+        F.struct(F.count_if(b.value < lo).alias("under"), F.count_if(b.value.between(lo, hi)).alias("within"),
+                 F.max(F.when(b.value <= hi, b.value)).alias("last"), F.min(F.when(b.value > hi, b.value)).alias("next")).alias(f"c{i}")
+        for i, (b, lo, hi) in enumerate(guesses)]).first()
+    for i, (b, lo, hi) in enumerate(guesses):
+        c = counts[f"c{i}"]
+        top = b.below + c["under"] + c["within"]
+        if b.stuck and b.first < top <= b.second:  # the ranks lie on either side of the cut
+            b.settle(c["last"], c["next"])
+        elif b.stuck and b.first >= top:
+            b.lo, b.below, b.inside, b.stuck = c["next"], top, b.inside - (top - b.below), False
+            if b.lo == b.hi:
+                b.settle(b.lo, b.lo)
+        else:
+            b.cut(lo, c["last"] if b.stuck else hi, c["under"], c["within"])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for parsing-heavy work on a table read in fewer splits than there
+    are cores (one small file); a table with enough splits is left as it is."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

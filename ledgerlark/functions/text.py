@@ -163,23 +163,32 @@ def parse_timestamp(c: Column | str, day_first_known: bool | None = False, fmt:
     text = F.trim(_col(c))
     if fmt:
         return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
-    dashed = F.regexp_replace(text, r"^(\d{1,4})[/.](\d{1,2})[/.]", r"$1-$2-")
-    head, tail = ("d-M", "M-d") if day_first_known else ("M-d", "d-M")
-
-    def read(t: Column) -> Column:
-        def first(formats: list[str]) -> Column:
-            return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
-
-        return (
-            F.when(F.rlike(t, F.lit(YEAR_FIRST)), first(["yyyy-M-d", "yyyy-M-d HH:mm:ss", "yyyy-M-d HH:mm", "yyyy-M-d'T'HH:mm:ss"]))
-            .when(F.rlike(t, F.lit(r"^\d{1,2}-\d{1,2}-\d{2}$")), first([f"{head}-yy", f"{tail}-yy"]))
-            .when(F.rlike(t, F.lit(r"[A-Za-z]{3}")), first(["d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy"]))
-            # a value that only fits the other order is still read, as in a mixed column
-            .when(F.rlike(t, F.lit(r"^\d{1,2}-\d{1,2}-\d{4}")),
-                  first([f"{head}-yyyy", f"{head}-yyyy HH:mm:ss", f"{head}-yyyy HH:mm", f"{tail}-yyyy"]))
-        )
-
-    return let(dashed, read).cast("timestamp_ntz")
+    dashed = F.regexp_replace(F.regexp_replace(text, r"^(\d{1,4})[/.](\d{1,2})[/.]", r"$1-$2-"), r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
+    return let(dashed, lambda t: _by_shape(t, bool(day_first_known))).cast("timestamp_ntz")
+
+
+def _by_shape(t: Column, days_first: bool) -> Column:
+    """One attempt per value: the shape picks the format, as a failed attempt is dear."""
+    def shaped(pattern: str) -> Column:
+        return F.rlike(t, F.lit(pattern))
+
+    def read(fmt: str) -> Column:
+        return F.try_to_timestamp(t, F.lit(fmt))
+
+    parts = F.split(t, "[-]")
+    # a value that only fits the other order is still read, as in a mixed column
+    swap = F.get(parts, F.lit(1 if days_first else 0)).try_cast("int") > 12
+    order = ("M-d", "d-M") if days_first else ("d-M", "M-d")
+    out = F.lit(None).cast("timestamp")
+    for tail, time in ((r"$", ""), (r" \d{1,2}:\d{2}$", " H:mm"), (r" \d{1,2}:\d{2}:\d{2}$", " H:mm:ss")):
+        out = F.when(shaped(r"^\d{4}-\d{1,2}-\d{1,2}" + tail), read("yyyy-M-d" + time)).otherwise(out)
+        for width, year in ((4, "yyyy"), (2, "yy")):
+            either = F.when(swap, read(f"{order[0]}-{year}{time}")).otherwise(read(f"{order[1]}-{year}{time}"))
+            out = F.when(shaped(r"^\d{1,2}-\d{1,2}-\d{" + str(width) + "}" + tail), either).otherwise(out)
+    for pattern, fmt in ((r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+                         (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"), (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy")):
+        out = F.when(shaped(pattern), read(fmt)).otherwise(out)
+    return out
 
 
 # Magnitudes of spreadsheet serials and epochs.

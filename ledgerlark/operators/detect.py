@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ledgerlark.functions import text as tx
 from ledgerlark.functions.numbers import rnd
-from ledgerlark.functions.scale import exact_quantiles, union_all
+from ledgerlark.functions.scale import exact_quantiles, spread, union_all
 from ledgerlark.operators import clean
 from ledgerlark.operators.quality import duplicate_counts, type_label
 
@@ -341,6 +341,7 @@ def readings(df: DataFrame, found: list[Probe]) -> DataFrame:
 def run_detectors(df: DataFrame, names: list[str] | None = None, *, keys: set[str] = frozenset(), as_of: str | None = None) -> DataFrame:
     """All findings of the named column detectors, from one aggregate over the table."""
     chosen = names or list(DETECTORS)
+    df = spread(df)
     found = probes(df, keys=keys, as_of=as_of, wanted=set(chosen))
     parts = [c for p in found for d in chosen if (c := DETECTORS[d](p)) is not None]
     if not parts:
@@ -492,6 +493,7 @@ def column_identities(shares: DataFrame) -> DataFrame:
 
 def detect_defects(df: DataFrame, *, keys: set[str] = frozenset(), as_of: str | None = None) -> DataFrame:
     """Every finding of a table, most severe first."""
+    df = spread(df)
     numbers = [c for c, k in df.dtypes if k in ("double", "float", "int", "bigint") and not c.startswith("_")]
     found = [run_detectors(df, keys=keys, as_of=as_of), case_variants(df), duplicate_row_finding(df), duplicate_keys(df, keys)]
     if len(numbers) >= 3:
@@ -564,6 +566,7 @@ PROFILE_ID_NAMES = ("id", "code", "key", "ord", "sku", "ref")
 
 def column_profile(df: DataFrame) -> DataFrame:
     """Type, missing, placeholders, distinct, mismatch, outliers and moments per column."""
+    df = spread(df)
     columns = [c for c in df.columns if not c.startswith("_")]
     kinds = {f.name: type_label(f.dataType) for f in df.schema.fields}
     texts = [c for c in columns if kinds[c] == "string"]
