@@ -13,8 +13,10 @@ How the work is dealt out
    1 / (3 * half**2) of the key rows.
 3. Every node is tried against one hub: the best connected node of all its keys.
    Confirmed pairs become components; a key inside one component is finished.
-4. In what is left, nodes of different components that share a key are paired, unless their
-   sizes or their 64-bit sketches rule a link out.  Pairs inside a component are never made.
+4. Nodes around one hub that are not linked with it are compared with all nodes around it, in blocks
+   of bounded size that give links only; the linked nodes are not compared with each other.
+5. Nodes of different components and hubs that share a key are paired, unless their
+   sizes or their 64-bit sketches rule a link out.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from ledgerlark.llm.components import components
 HALF, WIDTH = 12, 2
 #: Minhashes of the 64-bit sketch: the 48 of the keys and 16 more.
 SKETCH = 64
-#: Differing sketch bits up to which a pair may have similarity 0.8 (mean 6.4; beyond 22: 1e-7).
-_FAR = {0.8: 22}
+#: Differing sketch bits up to which a pair may have similarity 0.8 (mean 6.4; more than 20 in two of a million).
+FAR = 20
+#: Nodes in a side of a block.
+BLOCK = 128
 
 
 def _salts(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +143,13 @@ def _as_sets(size: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The whole sets of the documents whose ids *nodes* lists (column ``doc_id``)."""
+    return stored(docs.join(nodes.distinct(), "doc_id", "left_semi").mapInArrow(_as_sets(size), "doc_id long, members array<long>"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the candidate *pairs* (a, b), those whose whole sets reach the similarity."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(docs.join(asked, "doc_id", "left_semi").mapInArrow(_as_sets(size), "doc_id long, members array<long>"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -150,6 +157,69 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return stored(pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * either).select("a", "b"))
 
 
+def _overlaps(table: list[np.ndarray], probes: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, probes by table."""
+    flat, owner = np.concatenate(table), np.repeat(np.arange(len(table)), [len(t) for t in table])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = np.zeros((len(probes), len(table)), np.int64)
+    for i, p in enumerate(probes):
+        low, high = np.searchsorted(flat, p), np.searchsorted(flat, p, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        out[i] = np.bincount(owner[at], minlength=len(table))
+    return out
+
+
+def _blocks(percent: int):
+    def links(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        probe, ids = group.column("probe").to_numpy(), group.column("node").to_numpy()
+        sets = [np.asarray(x) for x in group.column("members").to_numpy()]
+        p, t = np.flatnonzero(probe), np.flatnonzero(~probe)
+        if not len(p) or not len(t):
+            return ids[:0], ids[:0]
+        sizes = np.array([len(x) for x in sets])
+        both = _overlaps([sets[i] for i in t], [sets[i] for i in p])
+        i, j = np.nonzero((100 * both >= percent * (sizes[p][:, None] + sizes[t][None, :] - both)) & (ids[p][:, None] != ids[t][None, :]))
+        return ids[p[i]], ids[t[j]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (hub, t, p); a group may go on in the next batch."""
+        carry = None
+        for batch in _with_end(batches):
+            table = carry if batch is None else pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            keys = np.stack([table.column(c).to_numpy() for c in ("hub", "t", "p")])
+            cuts = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))), table.num_rows)
+            done = len(cuts) - 1 if batch is None else len(cuts) - 2
+            for k in range(done):
+                a, b = links(table.slice(cuts[k], cuts[k + 1] - cuts[k]))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            carry = table.slice(cuts[done])
+
+    return run
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _around_hubs(around: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of the nodes in *around* (``hub, node, out``) that are ``out`` with all nodes of the same hub."""
+    counts = around.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("ts"), F.ceil(F.count_if("out") / BLOCK).alias("ps")).filter("ps > 0")
+    around = stored(around.join(counts, "hub"))
+    t, p = F.pmod(F.xxhash64("node"), F.col("ts")), F.pmod(F.xxhash64("node", F.lit(7)), F.col("ps"))
+    every = [F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("ts", "ps")]
+    rows = (around.select("hub", "node", F.lit(False).alias("probe"), t.alias("t"), F.explode(every[1]).alias("p"))
+            .unionByName(around.filter("out").select("hub", "node", F.lit(True).alias("probe"), F.explode(every[0]).alias("t"), p.alias("p"))))
+    sets = _sets_of(around.select(F.col("node").alias("doc_id")), docs, size)
+    full = rows.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    return stored(full.repartition("hub", "t", "p").sortWithinPartitions("hub", "t", "p").mapInArrow(_blocks(percent), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of *docs*: ``doc_id, n_shingles, component_id, kept``.
 
@@ -175,23 +245,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
     ranked = shared.select("key", "node").join(degree, "node").select("key", "node", F.struct("degree", (-F.col("node")).alias("minus")).alias("rank"))
     hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
-    trials = (ranked.join(hubs, "key").filter(F.col("hub.minus") != -F.col("node")).groupBy("node").agg(F.max("hub").alias("hub"))
-              .select(F.col("node").alias("a"), (-F.col("hub.minus")).alias("b")))
-    trials = stored(trials.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = _confirmed(trials, docs, shingle, percent)
+    trials = stored(ranked.join(hubs, "key").filter(F.col("hub.minus") != -F.col("node")).groupBy("node").agg(F.max("hub").alias("hub"))
+                    .select("node", (-F.col("hub.minus")).alias("hub")))
+    pairs = trials.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    sets = _sets_of(trials.select(F.col("node").alias("doc_id")).union(trials.select("hub")), docs, shingle)
+    links = _confirmed(pairs, sets, percent)
+    near = trials.join(links.select(F.col("a").alias("node"), F.lit(False).alias("out")), "node", "left").withColumn("out", F.coalesce("out", F.lit(True)))
+    links = links.unionByName(_around_hubs(near.select("hub", "node", "out"), docs, shingle, percent))
     first = components(links)
 
     # keys that still hold several components: pairs across them, if size and sketch allow
     held = shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    left = stored(held.join(mixed, "key", "left_semi").join(nodes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node"))
+    told = nodes.select("node", F.col("n_shingles").alias("n"), "sketch").join(trials, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+    left = stored(held.join(mixed, "key", "left_semi").join(told, "node"))
     x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.hub") != F.col("y.hub"))
+                   & (F.col("x.hub") != F.col("y.node")) & (F.col("x.node") != F.col("y.hub"))
                    & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-                   & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= _FAR[0.8]))
-    cross = cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    cross = stored(cross.join(trials, ["a", "b"], "left_anti"))
-    links = links.unionByName(_confirmed(cross, docs, shingle, percent))
+                   & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= FAR))
+    cross = stored(cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+    sets = _sets_of(cross.select(F.col("a").alias("doc_id")).union(cross.select("b")), docs, shingle)
+    links = links.unionByName(_confirmed(cross, sets, percent))
 
     # an id whose rows have several sets joins their nodes
     named = full.select("doc_id", "f1", "f2", "n_shingles").join(nodes.select("f1", "f2", "n_shingles", "node"), ["f1", "f2", "n_shingles"])
