@@ -207,7 +207,7 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _around_hubs(around: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _around_hubs(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the nodes in *around* (``hub, node, out``) that are ``out`` with all nodes of the same hub."""
     counts = around.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("ts"), F.ceil(F.count_if("out") / BLOCK).alias("ps")).filter("ps > 0")
     around = stored(around.join(counts, "hub"))
@@ -215,7 +215,6 @@ def _around_hubs(around: DataFrame, docs: DataFrame, size: int, percent: int) ->
     every = [F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("ts", "ps")]
     rows = (around.select("hub", "node", F.lit(False).alias("probe"), t.alias("t"), F.explode(every[1]).alias("p"))
             .unionByName(around.filter("out").select("hub", "node", F.lit(True).alias("probe"), F.explode(every[0]).alias("t"), p.alias("p"))))
-    sets = _sets_of(around.select(F.col("node").alias("doc_id")), docs, size)
     full = rows.join(sets.withColumnRenamed("doc_id", "node"), "node")
     return stored(full.repartition("hub", "t", "p").sortWithinPartitions("hub", "t", "p").mapInArrow(_blocks(percent), "a long, b long").distinct())
 
@@ -248,10 +247,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     trials = stored(ranked.join(hubs, "key").filter(F.col("hub.minus") != -F.col("node")).groupBy("node").agg(F.max("hub").alias("hub"))
                     .select("node", (-F.col("hub.minus")).alias("hub")))
     pairs = trials.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    sets = _sets_of(trials.select(F.col("node").alias("doc_id")).union(trials.select("hub")), docs, shingle)
+    # every node compared below shares a key, so this is the only time that texts are looked up
+    sets = _sets_of(shared.select(F.col("node").alias("doc_id")), docs, shingle)
     links = _confirmed(pairs, sets, percent)
     near = trials.join(links.select(F.col("a").alias("node"), F.lit(False).alias("out")), "node", "left").withColumn("out", F.coalesce("out", F.lit(True)))
-    links = links.unionByName(_around_hubs(near.select("hub", "node", "out"), docs, shingle, percent))
+    links = links.unionByName(_around_hubs(near.select("hub", "node", "out"), sets, percent))
     first = components(links)
 
     # keys that still hold several components: pairs across them, if size and sketch allow
@@ -265,7 +265,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                    & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
                    & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= FAR))
     cross = stored(cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
-    sets = _sets_of(cross.select(F.col("a").alias("doc_id")).union(cross.select("b")), docs, shingle)
     links = links.unionByName(_confirmed(cross, sets, percent))
 
     # an id whose rows have several sets joins their nodes
