@@ -48,11 +48,11 @@ def to_bytes(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, ends: np.n
     x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     frames = [pack(struct.pack("<qqq", len(ids), len(doc_ids), bits)), pack(doc_ids.astype("<i8").tobytes()), pack(nulls.astype(np.uint8).tobytes()), pack(ends.astype("<i8").tobytes())]
     for b in range(bits - 1, -1, -1):
-        bit = (x >> x.dtype.type(b)).astype(np.uint8) & np.uint8(1)
-        one = bit.astype(bool)
-        raw = np.packbits(bit, bitorder="little").tobytes()
+        one = (x & x.dtype.type(1 << b)) != 0
+        packed = np.packbits(one, bitorder="little")
+        raw = packed.tobytes()
         blocks = [pack(raw[i:i + BLOCK // 8]) for i in range(0, len(raw), BLOCK // 8)]
-        ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+        ones = np.array([np.bitwise_count(packed[i:i + BLOCK // 8]).sum(dtype=np.int64) for i in range(0, len(packed), BLOCK // 8)], np.int64)
         frames += [pack(struct.pack("<qq", len(ids) - int(ones.sum()), len(blocks))), pack(np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes()), *blocks]
         x = np.concatenate([x[~one], x[one]])
     return MAGIC + b"".join(struct.pack("<I", len(f)) + f for f in frames)
@@ -146,9 +146,10 @@ class Shard:
         x = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
             zeros, _, blocks = self._planes[level]
-            one = np.unpackbits(np.frombuffer(b"".join(map(self._open, blocks)), np.uint8), count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(np.frombuffer(b"".join(map(self._open, blocks)), np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty(self.n, kind)
-            up[~one], up[one] = x[:zeros], x[zeros:] | kind(1 << (self.bits - 1 - level))
+            up[~one] = x[:zeros]
+            up[one] = x[zeros:] | kind(1 << (self.bits - 1 - level))
             x = up
         return x
 
