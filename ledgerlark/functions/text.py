@@ -29,7 +29,7 @@ TRUE_TOKENS = ["true", "t", "yes", "y", "1", "1.0", "on", "نعم", "صح", "ص
 FALSE_TOKENS = ["false", "f", "no", "n", "0", "0.0", "off", "لا", "خطا", "خطأ"]
 # Patterns of the formats.
 ARABIC_LETTERS = r"[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]"
-DIACRITICS = r"[ؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۨ-ۭ]"
+DIACRITICS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED]"
 DECORATION = (
     r"(?iU)[$€£¥₹﷼%٪\s  ]|\b(?:usd|eur|gbp|egp|sar|aed|kwd|jod|qar|bhd|try|inr)\b"
     r"|ج\.م|ر\.س|د\.إ|د\.ك"

@@ -132,10 +132,11 @@ def label_verdicts(numbers: DataFrame, labels: DataFrame) -> DataFrame:
     clear = F.regexp_extract(F.lower("near"), r"([^0-9]*)\z", 1)
     words = F.filter(F.split(F.regexp_replace(clear, r"[^a-z'&]+", " "), " "), lambda w: w != "")
     spots = numbers.select("doc", "pos", "kind", "value", words.alias("w")).where(F.size("w") > 0)
+    plain = labels.withColumn("label", F.trim(F.regexp_replace(F.lower("label"), r"[^a-z'&]+", " ")))
+    longest = plain.agg(F.max(F.size(F.split("label", " ")))).first()[0] or 1  # the longest name decides how long runs get
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(6), F.size("w") - i + 1)), lambda k: F.array_join(F.slice("w", i, k), " "))))
+        F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda k: F.array_join(F.slice("w", i, k), " "))))
     named = spots.select("doc", "pos", "kind", "value", F.explode(F.array_distinct(runs)).alias("label"))
-    plain = labels.withColumn("label", F.trim(F.regexp_replace(F.lower("label"), r"[^a-z'&]+", " ")))
     joined = named.join(plain, "label").withColumn("ok", agrees(F.col("value"), F.col("expected")) | agrees(F.col("value"), F.col("expected") * 100))
     per = joined.groupBy("doc", "pos", "kind", "value", "label").agg(F.bool_or("ok").alias("ok"), F.min(F.when(F.col("ok"), F.col("expected"))).alias("matched"))
     longest = per.groupBy("doc", "pos", "kind", "value").agg(F.max_by(F.struct("label", "ok", "matched"), F.struct(F.length("label"), F.col("label"))).alias("b"))

@@ -447,11 +447,14 @@ def duplicate_keys(df: DataFrame, declared: set[str] = frozenset()) -> DataFrame
     return union_all(out)
 
 
+#: Column triples measured in one aggregate; more take more passes, none is left out.
+TRIPLES_A_PASS = 400
+
+
 def identity_shares(df: DataFrame, columns: list[str], *, relative_to_result: bool = True) -> DataFrame:
     """Share of rows on which c = a x b and c = a + b hold, for all column triples.
 
-    One wide aggregate; a sample only drops triples that clearly do not hold, and
-    every triple left is measured on the whole table.
+    Every triple is measured on the whole table, many in one wide aggregate.
     """
     triples = [(op, r, a, b) for op in ("*", "+") for r in columns
                for a, b in combinations(sorted(c for c in columns if c != r), 2)]
@@ -466,11 +469,9 @@ def identity_shares(df: DataFrame, columns: list[str], *, relative_to_result: bo
             cols.append(F.struct(F.count(live).alias("n"), F.count_if(live).alias("hits")).alias(f"t{i}"))
         return list(frame.agg(*cols).first()) if items else []
 
-    rough = measure(numbers.sample(0.01, seed=7), triples)
-    kept = [t for t, m in zip(triples, rough, strict=True) if m["n"] < 1000 or m["hits"] / m["n"] >= 0.6]
-    exact = measure(numbers, kept)
+    exact = [m for i in range(0, len(triples), TRIPLES_A_PASS) for m in measure(numbers, triples[i:i + TRIPLES_A_PASS])]
     rows = [(columns.index(r), op, r, a, b, m["n"], m["hits"], m["hits"] / m["n"] if m["n"] else 0.0)
-            for (op, r, a, b), m in zip(kept, exact, strict=True)]
+            for (op, r, a, b), m in zip(triples, exact, strict=True)]
     return df.sparkSession.createDataFrame(
         rows, "position int, operator string, result string, left string, right string, n long, hits long, share double")
 
@@ -494,10 +495,14 @@ def column_identities(shares: DataFrame) -> DataFrame:
 def detect_defects(df: DataFrame, *, keys: set[str] = frozenset(), as_of: str | None = None) -> DataFrame:
     """Every finding of a table, most severe first."""
     df = spread(df)
-    numbers = [c for c, k in df.dtypes if k in ("double", "float", "int", "bigint") and not c.startswith("_")]
+    numbers = [c for c, k in df.dtypes if (k in ("double", "float", "int", "bigint", "smallint", "tinyint") or k.startswith("decimal")) and not c.startswith("_")]
+    texts = [c for c, k in df.dtypes if k == "string" and not c.startswith("_")]
+    if texts:  # money written as text takes part, if four of five values read as numbers
+        read = df.agg(*[F.try_divide(F.count(tx.parse_number(c, ".")), F.count(c)).alias(c) for c in texts]).first()
+        numbers += [c for c in texts if (read[c] or 0.0) >= 0.8]
     found = [run_detectors(df, keys=keys, as_of=as_of), case_variants(df), duplicate_row_finding(df), duplicate_keys(df, keys)]
     if len(numbers) >= 3:
-        broken = arithmetic_violations(identity_shares(df, numbers[:12]))
+        broken = arithmetic_violations(identity_shares(df, numbers))
         found.append(broken.select(
             F.lit("arithmetic_violation").alias("kind"), F.col("result").alias("column_name"), F.lit("high").alias("severity"),
             F.col("violations").alias("n"),

@@ -109,9 +109,11 @@ def level_shift(spark, sf):
 
 _STATS = """st_m AS (SELECT *, CASE WHEN n <= 12 THEN greatest(1, n // 2) ELSE 12 END AS m, n - 1 - t AS back FROM {src}),
 st_k AS (SELECT *, greatest(3, least(n, greatest(4, n // 8, m))) AS ak FROM st_m),
-st AS (SELECT {keys}, max(n) AS n, max(m) AS m, max(y) FILTER (WHERE t = 0) AS first, max(y) FILTER (WHERE back = 0) AS last, avg(y) FILTER (WHERE back < m) AS mean_1,
+st AS (SELECT {keys}, max(n) AS n, max(m) AS m, max(y) FILTER (WHERE t = 0) AS first, max(y) FILTER (WHERE back = 0) AS last, avg(y) AS mean_all, avg(y) FILTER (WHERE back < m) AS mean_1,
   avg(y) FILTER (WHERE back < 2 * m) AS mean_2, avg(y) FILTER (WHERE back < 4 * m) AS mean_4, avg(y) FILTER (WHERE back < greatest(m, n // 3)) AS mean_long, regr_slope(y, t) AS slope,
   regr_intercept(y, t) AS icept, max(ak) AS ak, avg(y) FILTER (WHERE back < ak) AS anchor, list(y ORDER BY t) FILTER (WHERE back < m) AS recent FROM st_k GROUP BY {keys}),
+pu AS (SELECT {keys}, y, row_number() OVER w AS j, t - lag(t) OVER w AS gap, count(*) OVER (PARTITION BY {keys}) AS k FROM {src} WHERE y <> 0 WINDOW w AS (PARTITION BY {keys} ORDER BY t)),
+cr AS (SELECT {keys}, max(k) AS k, sum(y * w) AS z, sum(CASE WHEN j = 1 THEN 1.0 ELSE gap END * w) AS p FROM (SELECT *, CASE WHEN j = 1 THEN 1.0 ELSE 0.1 END * pow(0.9, k - j) AS w FROM pu) GROUP BY {keys}),
 pf_w AS (SELECT *, avg(y) OVER w AS lv, count(y) OVER w AS cn FROM st_m WINDOW w AS (PARTITION BY {keys} ORDER BY t ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)),
 pf_p AS (SELECT {keys}, t % 12 AS phase, coalesce(quantile_cont(CASE WHEN cn >= 6 AND abs(lv) > 1e-9 THEN y / lv END, 0.5), 1.0) AS r FROM pf_w WHERE n >= 24 GROUP BY ALL),
 pf AS (SELECT {keys}, avg(r) AS mr, list(r ORDER BY phase) AS prof FROM pf_p GROUP BY {keys}),
@@ -123,6 +125,7 @@ pred AS (
   UNION ALL SELECT {keys}, step, 'Mean (long window)', mean_long FROM pr UNION ALL SELECT {keys}, step, 'Linear Trend', icept + slope * (n - 1 + step) FROM pr
   UNION ALL SELECT {keys}, step, 'Damped Drift', last + (last - first) / (n - 1) * 0.9 * (1 - pow(0.9, step)) / 0.1 FROM pr
   UNION ALL SELECT {keys}, step, 'Damped Trend', anchor + slope * ak / 2.0 + slope * 0.9 * (1 - pow(0.9, step)) / 0.1 FROM pr
+  UNION ALL SELECT {keys}, step, 'Croston', CASE WHEN coalesce(k, 0) < 2 THEN mean_all ELSE 0.95 * z / greatest(p, 1e-9) END FROM pr LEFT JOIN cr USING ({keys}) WHERE n >= 8
   UNION ALL SELECT {keys}, step, 'Seasonal Profile', CASE WHEN prof IS NULL THEN mean_1 ELSE mean_4 * prof[(n + step - 1) % 12 + 1] / mr END FROM pr)"""
 
 
@@ -178,6 +181,7 @@ def candidate_models(spark, sf):
 
 # --- back-test ----------------------------------------------------------------
 
+_MODELS = ", ".join(f"('{n}', {m.min_n}, {str(m.intermittent_only).lower()}, {str(n in fm.FOR_INTERMITTENT).lower()})" for n, m in fm.MODELS.items())
 _FOLDS = f"""fo AS (SELECT series, n, CASE WHEN n <= 12 THEN greatest(1, n // 2) ELSE 12 END AS m0, greatest(2, least(CASE WHEN n >= 180 THEN 6 WHEN n >= 90 THEN 5 WHEN n >= 60 THEN 4 ELSE 3 END,
   greatest(1, n // {2 * H}))) AS want FROM (SELECT series, max(n) AS n FROM panel GROUP BY 1)),
 folds AS (SELECT series, CAST(k AS INT) AS fold, n - k * {H} AS ts FROM (SELECT *, greatest(least(2 * m0, n // 2), 8, {H}) AS mt FROM fo), (SELECT unnest(range(1, 7)) AS k)
@@ -185,7 +189,10 @@ folds AS (SELECT series, CAST(k AS INT) AS fold, n - k * {H} AS ts FROM (SELECT
 tr0 AS (SELECT series, fold, t, ts AS n, y FROM panel JOIN folds USING (series) WHERE t < ts),
 te AS (SELECT series, fold, t - ts + 1 AS step, y FROM panel JOIN folds USING (series) WHERE t >= ts AND t < ts + {H})"""
 _BT = f"""{P}, {_FOLDS}, {_repair_sql('tr0', 'series, fold', 6, 'fx')}, tr AS (SELECT series, fold, t, n, fixed AS y FROM fx), {_STATS.format(src='tr', keys='series, fold')},
-resid AS (SELECT series, model, fold, step, te.y, yhat FROM pred JOIN te USING (series, fold, step)),
+shape AS (SELECT series, any_value(n) AS n, coalesce(avg(gap) > 1.32, false) OR count(*) FILTER (WHERE y <> 0) < 2 AS inter FROM (SELECT series, n, y, NULL AS gap FROM panel WHERE y = 0
+  UNION ALL SELECT series, n, y, t - lag(t) OVER (PARTITION BY series ORDER BY t) FROM panel WHERE y <> 0) GROUP BY 1),
+cand AS (SELECT series, model FROM shape, (VALUES {_MODELS}) AS m(model, min_n, only_pulse, for_pulse) WHERE n >= min_n AND CASE WHEN inter THEN for_pulse ELSE NOT only_pulse END),
+resid AS (SELECT series, model, fold, step, te.y, yhat FROM pred JOIN te USING (series, fold, step) JOIN cand USING (series, model)),
 sc AS (SELECT series, avg(abs(d)) AS scale, sqrt(avg(d * d)) AS sq FROM (SELECT series, y - lag(y, 12) OVER (PARTITION BY series ORDER BY t) AS d FROM panel) GROUP BY 1),
 pf_e AS (SELECT series, model, fold, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) ** 2)) AS rmse, (sum(yhat) - sum(y)) / abs(sum(y)) AS gap FROM resid GROUP BY ALL),
 pfe AS (SELECT p.*, mae / scale AS mase, rmse / sq AS rmsse, row_number() OVER (PARTITION BY series, fold ORDER BY rmse / sq, model) AS place FROM pf_e p JOIN sc USING (series)),

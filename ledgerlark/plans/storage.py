@@ -161,10 +161,12 @@ def metric_windows(spark, sf):
     return spark.read.parquet(f"{path}/windows").select(F.to_date("start").alias("day"), "event_type", "n", rnd("total").alias("total"))
 
 
-@query("O2_alert_cooldown")
+@query("O2_alert_cooldown", """WITH RECURSIVE a AS (SELECT left(sha1('event|' || user_id || '|' || event_type), 32) AS fingerprint, ts FROM events),
+d AS (SELECT fingerprint, min(ts) AS ts FROM a GROUP BY 1 UNION ALL SELECT fingerprint, min(a.ts) FROM d JOIN a USING (fingerprint) WHERE a.ts >= d.ts + INTERVAL 1 DAY GROUP BY 1)
+SELECT fingerprint, count(*) AS alerts FROM d GROUP BY 1""")
 def alert_cooldown(spark, sf):
     path = run_folder(spark)
-    streams.run(streams.cooled_down(streams.alerts_of(_events(spark, sf))).writeStream.outputMode("append").format("parquet").option("path", f"{path}/alerts"), path)
+    streams.deliver_alerts(streams.alerts_of(_events(spark, sf)), path)
     return spark.read.parquet(f"{path}/alerts").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("alerts"))
 
 

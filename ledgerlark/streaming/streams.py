@@ -47,9 +47,48 @@ def metric_windows(events: DataFrame, *, ts: str = "ts", value: str = "value", g
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), group, "n", "total", "newest"))
 
 
-def cooled_down(alerts: DataFrame, *, ts: str = "ts", cooldown: str = "1 day") -> DataFrame:
-    """The same fingerprint once per cooldown."""
-    return alerts.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, cooldown).dropDuplicatesWithinWatermark(["fingerprint"])
+def _deliverable(cooldown: int):
+    """Of rows sorted by fingerprint and time, those a cooldown after the last delivered one; the fold keeps one time stamp."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        about, last = None, None
+        for batch in batches:
+            taken = []
+            for fingerprint, at, before in zip(*[batch.column(c).to_pylist() for c in ("fingerprint", "__at", "__last")], strict=True):
+                if fingerprint != about:
+                    about, last = fingerprint, before
+                taken.append(last is None or at - last >= cooldown)
+                last = at if taken[-1] else last
+            yield batch.filter(pa.array(taken, pa.bool_()))
+
+    return run
+
+
+def deliver_alerts(alerts: DataFrame, path: str, *, ts: str = "ts", cooldown_seconds: int = 86_400) -> StreamingQuery:
+    """Write an alert to ``<path>/alerts`` unless its fingerprint was delivered less than a cooldown before.
+
+    Alerts are taken in time order within a batch, and the last delivery is read back from what
+    earlier batches wrote, so the outcome does not depend on how ordered files fall into batches.
+    An alert older than the last delivery of its fingerprint is not delivered.
+    """
+    cooldown = cooldown_seconds * 1_000_000
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        rows = rows.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
+        if exists(spark, f"{path}/alerts"):
+            oldest = rows.agg(F.min("__at")).first()[0]
+            before = spark.read.parquet(f"{path}/alerts").where(F.col("batch") != number).withColumn("__last", F.unix_micros(F.col(ts).cast("timestamp")))
+            before = before.where(F.col("__last") > (oldest or 0) - cooldown).groupBy("fingerprint").agg(F.max("__last").alias("__last"))
+            rows = rows.join(before, "fingerprint", "left")
+        else:
+            rows = rows.withColumn("__last", F.lit(None).cast("long"))
+        ordered = rows.repartition("fingerprint").sortWithinPartitions("fingerprint", "__at", *[c for c in alerts.columns if c not in ("fingerprint", ts)])
+        ordered.mapInArrow(_deliverable(cooldown), ordered.schema).drop("__at", "__last").write.mode("overwrite").parquet(f"{path}/alerts/batch={number}")
+
+    return run(alerts.writeStream.foreachBatch(batch), path)
 
 
 def alerts_of(events: DataFrame) -> DataFrame:
