@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlark.llm.common import row_column, text_of
+from ledgerlark.llm.common import row_column, stored, text_of
 
 #: kind -> (pattern, shortest length of the last group or match); the first three are the base.
 KINDS = {
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = docs.withColumn("__id", F.col(id_col).cast("string")).withColumn("__mark", F.xxhash64(text_of(text_col)))
     texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_of(text_col).alias("text"))
     place = F.array_position(F.lit(list(KINDS)), F.col("kind")).cast("int")
-    found = linked(spans(texts)).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", place.alias("place"), "end", "kind"))).alias("__spans"))  # bounded by the text
+    found = linked(stored(spans(texts))).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", place.alias("place"), "end", "kind"))).alias("__spans"))  # bounded by the text
     found = found.withColumnsRenamed({"doc_id": "__doc", "mark": "__sum"})
     out = keyed.join(found, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__sum")), "left")
     none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
