@@ -87,9 +87,9 @@ def _sequences(heads: np.ndarray, counts: np.ndarray, own: np.ndarray, base_den:
                 k = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
                 known = heads[k] == h
                 cls = np.where(known & (own[k] >= 0), own[k], OWN + suffix)
-                score = np.bincount(row, weights=np.where(known, base[k], 0.0), minlength=n)
+                score = np.bincount(row, weights=np.where(known, base[k], 0.0), minlength=n).astype(np.float64)
                 inside = known & (own[k] < 0)
-                inner = np.bincount(row, weights=np.where(inside, np.log10((counts[k] + 1) / inner_den[suffix]), 0.0), minlength=n)
+                inner = np.bincount(row, weights=np.where(inside, np.log10((counts[k] + 1) / inner_den[suffix]), 0.0), minlength=n).astype(np.float64)
                 found = np.bincount(row[known], minlength=n)
                 sizes = np.bincount(row, minlength=n)
                 e = int(np.searchsorted(heads, END))

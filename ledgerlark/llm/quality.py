@@ -1,6 +1,6 @@
 """Quality classifier: hierarchical empirical Bayes over document evidence, hosts and paths.
 
-A document's evidence is the log-likelihood ratio of its binned features under good and bad labels.
+A document's evidence is the log-likelihood ratio of its binned features under good and bad labels, calibrated on the labels.
 Expected good documents are then summed by path and by host (grouped aggregates over all
 documents, labelled or not); a host's rate is shrunk to the rate of all documents, a path's to its host's,
 with a strength that follows from how much the sites really differ.  The path's posterior rate is the
@@ -88,6 +88,25 @@ def _evidence(features: DataFrame, labels: DataFrame) -> tuple[dict[int, float],
     return ratio, total[True] / (total[True] + total[False])
 
 
+def _calibrated(known: DataFrame, share: float) -> tuple[float, float]:
+    """Slope and offset that turn summed ratios, which count related features twice, into a log-likelihood ratio.
+
+    A logistic curve through the labelled documents on a grid of the evidence (a few hundred rows at
+    most), with a weak pull to slope 1 and offset 0.
+    """
+    rows = known.groupBy(F.round(F.col("evidence") * 4).alias("cell"), "good").count().collect()
+    if not rows:
+        return 1.0, 0.0
+    e, good, n = (np.array([r[c] for r in rows], float) for c in ("cell", "good", "count"))
+    x = np.stack([e / 4, np.ones(len(e))], axis=1)
+    first, w = math.log(share / (1 - share)), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + first, -30, 30)))
+        slope = x.T @ (n * (good - p)) - (w - [1.0, 0.0])
+        w = w + np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + np.eye(2), slope)
+    return float(w[0]), float(w[1])
+
+
 def _logit(p: Column) -> Column:
     p = F.least(F.greatest(p, F.lit(RATE[0])), F.lit(RATE[1]))
     return F.log(p / (1 - p))
@@ -113,7 +132,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     table = F.lit([ratio.get(k, 0.0) for k in range(len(FEATURES) * BINS)])
     evidence = F.aggregate(F.transform("bins", lambda b, i: F.element_at(table, (i * BINS + b + 1).cast("int"))), F.lit(0.0), lambda a, x: a + x)
     first = math.log(share / (1 - share))
-    features = features.withColumn("evidence", evidence).withColumn("p", 1 / (1 + F.exp(-F.col("evidence") - first)))
+    features = features.withColumn("evidence", evidence)
+    slope, offset = _calibrated(features.join(labels, "doc_id").select("evidence", "good"), share)
+    features = features.withColumn("evidence", slope * F.col("evidence") + offset).withColumn("p", 1 / (1 + F.exp(-F.col("evidence") - first)))
 
     paths = stored(features.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
