@@ -6,8 +6,9 @@ have 30 words by themselves.  From every sentence the shortest such run forwards
 backwards is hashed.  All spans of all documents meet by hash; sentences covered by a span that occurred
 before (in a smaller doc_id, or earlier in the text) are removed.
 
-A passage that a third of all documents share is one hash for each of its spans, next to dozens of other
-spans of each document, and spans are numbered in order, not gathered.
+The first place of each hash is an aggregate, so copies meet on the map side.  Spans then look up their
+hash's first place; a hash that holds more than one in SPLITS of all repeated spans (a line that a
+third of all documents have) is looked up in as many parts, so no task gets its rows alone.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerlark.llm.common import LOWER, _power_tables, mix, signed, slices, span_hashes, stored, text_of, words
 
 SENTENCES, FEW_WORDS, MANY_WORDS = 3, 20, 30
+#: No part of a look-up holds more than this fraction (one in ...) of the repeated spans.
+SPLITS = 2000
 _STOPS = np.zeros(256, bool)
 _STOPS[np.frombuffer(b".!?", np.uint8)] = True
 
@@ -101,6 +103,21 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["doc_id", "text", "n_sentences", "n_removed"])
 
 
+def _later(found: DataFrame) -> DataFrame:
+    """The spans of *found* that are not at the first place of their hash."""
+    place = F.struct("doc_id", "place")
+    repeats = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("rows"))
+    repeats = stored(repeats.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first", "rows"))
+    total = repeats.agg(F.sum("rows")).first()[0] or 1
+    repeats = repeats.select("h", "first", F.ceil(F.col("rows") * SPLITS / total).alias("parts"))
+    # hashes of more than one part are fewer than SPLITS, and their parts fewer than twice SPLITS
+    hot = F.broadcast(repeats.filter("parts > 1").select("h", "parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")), F.lit(0)).alias("part")
+    asked = found.join(hot, "h", "left").select("h", "doc_id", "place", "n", part)
+    held = repeats.select("h", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return asked.join(held, ["h", "part"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "place", "n")
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of *docs*: ``doc_id, text`` without repeated sentences, ``n_sentences, n_removed``.
 
@@ -111,9 +128,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("check", F.crc32("text"))
     found = docs.mapInArrow(_hashed, "h long, doc_id long, place long, n int")
-    rank = F.dense_rank().over(Window.partitionBy("h").orderBy("doc_id", "place"))
-    again = found.withColumn("rank", rank).filter("rank > 1")
-    cuts = again.select("doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("check"), F.struct(F.shiftright("place", 32).cast("int").alias("i"), "n").alias("cut"))
+    cuts = _later(found).select("doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("check"), F.struct(F.shiftright("place", 32).cast("int").alias("i"), "n").alias("cut"))
     cuts = stored(cuts.distinct().groupBy("doc_id", "check").agg(F.collect_list("cut").alias("cuts")))  # bounded by the document
     cuts = cuts.select(F.col("doc_id").alias("id"), F.col("check").alias("sum"), "cuts")
     out = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("check") == F.col("sum")), "left")

@@ -272,6 +272,19 @@ def test_substring(shipped, documents, texts):
     assert all(r["n_removed"] or r["text"] == texts[r["doc_id"]] for r in got)
 
 
+def test_substring_hot_passage(shipped):
+    """A passage that most documents have, twice in some, and its first place in the smallest id."""
+    hot = " ".join(f"h{i}" for i in range(40)) + "."
+    rows = [(i, f"Own {i} text.\n" + (f"{hot}\n" * (1 + (i % 7 == 0)) if i % 3 else "") + f"End {i} here.") for i in range(900)] + [(4, f"Own 4 text.\n{hot}\nEnd 4 here.")]
+    for r in substring.remove_repeats(shipped.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        i = r["doc_id"]
+        assert r["text"] == f"Own {i} text.\n" + (f"{hot}\n" if i == 1 else "") + f"End {i} here."
+    found = [(h, d, p, 3) for h, n in ((1, 500), (2, 3), (3, 1)) for d, p in [(None if d == 0 else d, p) for d in range(n) for p in (0, 5)]]
+    found += found[:1]
+    got = {(r["doc_id"], r["place"]) for r in substring._later(shipped.createDataFrame(found, "h long, doc_id long, place long, n int")).collect()}
+    assert got == {(d, p) for _, d, p, _ in found} - {(None, 0)}
+
+
 def test_words_and_hashes():
     data = np.frombuffer("ab cd\x0bab  é ab".encode(), np.uint8)
     at = np.array([0, 5, 5, len(data)])
