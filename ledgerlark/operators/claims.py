@@ -125,17 +125,22 @@ def match_figures(claims: DataFrame, known: DataFrame) -> DataFrame:
 def label_verdicts(numbers: DataFrame, labels: DataFrame) -> DataFrame:
     """Claims written right after the name of a metric, and whether they are that metric's value.
 
-    *labels* is (label, expected).  The words before a number are joined as word
-    runs that end before it, so names are found by equality whatever their number.
+    *labels* is (label, expected).  A name is looked for as it is written, but for case; it may hold
+    digits and any script, and no letter a-z may touch it.  The stretches of the words before a number that have
+    a name's length are joined by equality, so the work does not grow with the number of names.
     """
+    plain = labels.withColumn("label", F.lower("label"))
+    lengths = sorted(r[0] for r in plain.where(F.length("label").between(1, _REACH)).select(F.length("label")).distinct().collect())  # at most _REACH
+    spots = numbers.select("doc", "pos", "kind", "value", F.lower("near").alias("w")).where(F.length("w") > 0)
     # a digit between the name and the number breaks the bond
-    clear = F.regexp_extract(F.lower("near"), r"([^0-9]*)\z", 1)
-    words = F.filter(F.split(F.regexp_replace(clear, r"[^a-z'&]+", " "), " "), lambda w: w != "")
-    spots = numbers.select("doc", "pos", "kind", "value", words.alias("w")).where(F.size("w") > 0)
-    plain = labels.withColumn("label", F.trim(F.regexp_replace(F.lower("label"), r"[^a-z'&]+", " ")))
-    longest = plain.agg(F.max(F.size(F.split("label", " ")))).first()[0] or 1  # the longest name decides how long runs get
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda k: F.array_join(F.slice("w", i, k), " "))))
+    spots = spots.withColumn("from", F.greatest(F.lit(1), F.length("w") - F.length(F.regexp_extract("w", r"(\P{Nd}*)\z", 1))))
+
+    def letter(at: Column) -> Column:
+        return F.substring("w", at, F.lit(1)).between("a", "z") & (at > 0)
+
+    ends = F.filter(F.sequence(F.col("from"), F.length("w")), lambda j: ~letter(j + 1))
+    runs = F.flatten(F.transform(ends, lambda j: F.transform(
+        F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: (k <= j) & ~letter(j - k)), lambda k: F.substring("w", j - k + 1, k))))
     named = spots.select("doc", "pos", "kind", "value", F.explode(F.array_distinct(runs)).alias("label"))
     joined = named.join(plain, "label").withColumn("ok", agrees(F.col("value"), F.col("expected")) | agrees(F.col("value"), F.col("expected") * 100))
     per = joined.groupBy("doc", "pos", "kind", "value", "label").agg(F.bool_or("ok").alias("ok"), F.min(F.when(F.col("ok"), F.col("expected"))).alias("matched"))
@@ -198,12 +203,12 @@ def exact_matches(claims: DataFrame, known: DataFrame) -> DataFrame:
 def render_citations(docs: DataFrame, doc: str, text: str, displays: DataFrame) -> DataFrame:
     """Texts with every ``{{key}}`` replaced by its figure, and the unknown keys.
 
-    *displays* is (key, display).  A text is cut at its tokens, the pieces are
-    looked up by key and put together again in order.
+    *displays* is (key, display).  A text is cut at its tokens, these are
+    looked up by key, and all pieces are put together again in order.
     """
     cut = docs.select(F.col(doc).alias("doc"), F.posexplode(_pieces(F.col(text), TOKEN.replace("(", "(?:", 1))).alias("i", "piece"))
-    key = F.when(F.col("i") % 2 == 1, F.regexp_extract("piece", TOKEN, 1))
-    joined = cut.withColumn("key", key).join(displays.select("key", "display"), "key", "left")
+    tokens = cut.where("i % 2 = 1").select("doc", "i", F.regexp_extract("piece", TOKEN, 1).alias("key")).join(displays.select("key", "display"), "key", "left")
+    joined = tokens.unionByName(cut.where("i % 2 = 0"), allowMissingColumns=True)
     missing = F.when(F.col("key").isNotNull() & F.col("display").isNull(), F.col("key"))
     shown = F.when(F.col("key").isNull(), F.col("piece")).otherwise(F.coalesce("display", F.concat(F.lit("[figure unavailable: "), "key", F.lit("]"))))
     pieces = F.array_sort(F.collect_list(F.struct("i", shown.alias("t"))))

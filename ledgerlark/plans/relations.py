@@ -10,6 +10,7 @@ from ledgerlark.operators.relations import Relationship
 from ledgerlark.plans.registry import query
 from ledgerlark.plans.tables import FACT_SQL, fact, table
 from ledgerlark.roles import Roles
+from ledgerlark.sources import files
 
 W = f"WITH {FACT_SQL}"
 LINE_RELATIONS = [
@@ -35,15 +36,16 @@ def rank_fact_tables(spark, sf):
     return relations.rank_fact_tables({**tables, "empty": tables["part"].where("false")}, LINE_RELATIONS)
 
 
-@query("A18_table_preview")
+@query("A18_table_preview", "SELECT *, (SELECT count(*) FROM orders) AS table_rows FROM orders ORDER BY o_orderkey LIMIT 20")
 def table_preview(spark, sf):
-    return table(spark, sf, "orders").limit(20)
+    df = table(spark, sf, "orders")
+    return files.preview(df.orderBy("o_orderkey")).withColumn("table_rows", df.agg(F.count(F.lit(1))).scalar())
 
 
-@query("A19_describe_table", "SELECT column_name, position FROM (SELECT column_name, row_number() OVER () AS position FROM (DESCRIBE orders))")
+@query("A19_describe_table", """SELECT column_name, position, nullable, filled, (SELECT count(*) FROM orders) AS rows
+FROM (SELECT column_name, row_number() OVER () AS position, "null" = 'YES' AS nullable FROM (DESCRIBE orders)) JOIN (UNPIVOT (SELECT count(COLUMNS(*)) FROM orders) ON COLUMNS(*) INTO NAME column_name VALUE filled) USING (column_name)""")
 def describe_table(spark, sf):
-    df = table(spark, sf, "orders")
-    return spark.createDataFrame([(f.name, i) for i, f in enumerate(df.schema.fields, 1)], "column_name string, position int")
+    return files.describe(table(spark, sf, "orders")).drop("type")
 
 
 @query("B3_equality_filters", f"{W} SELECT status, count(*) AS n, round(sum(revenue), 2) AS revenue FROM fact WHERE mktsegment = 'BUILDING' AND priority = '1-URGENT' GROUP BY 1")

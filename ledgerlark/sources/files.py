@@ -53,14 +53,27 @@ def with_source_file(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str | list[str], *, multi_line: bool | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines or documents; an enveloped array is unwrapped, nested objects become dotted columns."""
-    if multi_line is None:
-        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-        text = first[0]["value"].strip() if first else ""
-        multi_line = text.startswith("[") or (text.startswith("{") and not text.endswith("}"))
-    reader = spark.read.option("multiLine", multi_line)
-    df = (reader.schema(schema) if schema else reader).json(path)
-    return flatten(unwrap(df))
+    """JSON lines or documents; an enveloped array is unwrapped, nested objects become dotted columns.
+
+    Every file's first line tells its form, unless *multi_line* says it for all.
+    """
+    groups = {multi_line: path} if multi_line is not None else _json_forms(spark, path) or {False: path}
+    parts = []
+    for form, files in sorted(groups.items()):
+        reader = spark.read.option("multiLine", form)
+        parts.append(flatten(unwrap((reader.schema(schema) if schema else reader).json(files))))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def _json_forms(spark: SparkSession, path: str | list[str]) -> dict[bool, list[str]]:
+    """Files by whether a document covers several lines (or is an array)."""
+    text = F.trim("value")
+    where = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.left(text, F.lit(1)).alias("first"), F.right(text, F.lit(1)).alias("last"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), text.alias("text"), where.alias("line")).where("text <> ''")
+    out: dict[bool, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min("line").alias("line")).collect():  # one row per file
+        out.setdefault(r["line"]["first"] == "[" or (r["line"]["first"] == "{" and r["line"]["last"] != "}"), []).append(r["file"])
+    return out
 
 
 def unwrap(df: DataFrame) -> DataFrame:
@@ -87,7 +100,9 @@ def preview(df: DataFrame, rows: int = 20) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Columns, types and nullability; metadata only."""
-    return df.sparkSession.createDataFrame(
-        [(f.name, f.dataType.simpleString(), f.nullable, i) for i, f in enumerate(df.schema.fields, 1)],
-        "column_name string, type string, nullable boolean, position int")
+    """Columns with type, nullability and place, how many values each has, and the number of rows."""
+    fields = df.schema.fields
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)])
+    return counts.select("rows", F.inline(F.array(*[
+        F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable"), F.lit(i + 1).alias("position"), F.col(f"c{i}").alias("filled"))
+        for i, f in enumerate(fields)])))

@@ -47,6 +47,19 @@ def metric_windows(events: DataFrame, *, ts: str = "ts", value: str = "value", g
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), group, "n", "total", "newest"))
 
 
+def keep_windows(windows: DataFrame, path: str) -> StreamingQuery:
+    """Every batch writes the windows it changed, open ones too; the newest batch holds a window's current values."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
+
+    return run(windows.writeStream.outputMode("update").foreachBatch(store), path)
+
+
+def current_windows(spark: SparkSession, path: str, group: str = "event_type") -> DataFrame:
+    changes = spark.read.parquet(f"{path}/windows")
+    return changes.groupBy("start", "end", group).agg(F.max_by(F.struct("n", "total", "newest"), "batch").alias("v")).select("start", "end", group, "v.*")
+
+
 def _deliverable(cooldown: int):
     """Of rows sorted by fingerprint and time, those a cooldown after the last delivered one; the fold keeps one time stamp."""
 

@@ -142,6 +142,24 @@ def test_a_number_belongs_to_the_name_before_it(spark):
     assert status["bad"] == "weak" and status["far"] == "clean"
 
 
+def test_names_with_digits_and_other_scripts(spark):
+    texts = ["Brand#1 sales 500", "chiffre d'été: 500", "مبيعات 500", "total gross revenue of the whole group was 500", "presales 500", "sales 40, then 500"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    names = ["Brand#1 sales", "chiffre d'ÉTÉ", "مبيعات", "total gross revenue of the whole group", "sales"]
+    labels = spark.createDataFrame([(n, 500.0) for n in names], "label string, expected double")
+    numbers = cl.material_numbers(docs, "doc_id", "text").where("value = 500")
+    got = {r["doc"]: (r["label"], r["satisfied"]) for r in cl.label_verdicts(numbers, labels).collect()}
+    assert got == {i: (n.lower(), True) for i, n in enumerate(names[:4])}
+
+
+def test_json_forms_mixed_in_a_folder(spark, tmp_path):
+    write(tmp_path / "lines.json", '{"id": 1}\n{"id": 2}\n')
+    write(tmp_path / "array.json", '[{"id": 3},\n {"id": 4}]')
+    write(tmp_path / "doc.json", '{"records": [\n{"id": 5, "a": {"b": 1}}]}')
+    assert sorted(r["id"] for r in files.read_json(spark, [str(tmp_path / f"{n}.json") for n in ("lines", "array")]).collect()) == [1, 2, 3, 4]
+    assert files.read_json(spark, str(tmp_path / "doc.json")).columns == ["a.b", "id"]
+
+
 def test_exact_roundings(spark):
     known = spark.createDataFrame([(0, "rev", 640675.46), (1, "loss", -7540.26)], "position long, key string, figure double")
     c = spark.createDataFrame([("number", v) for v in (640675.0, 641000.0, 639000.0, 7540.26)], "kind string, value double")
