@@ -19,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sql(name: str, sql: str) -> None:
+    """SQL that gives the rows of query *name*."""
+    ORACLES[name] = sql
+
+
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -82,3 +87,47 @@ def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(_table(spark, sf_dir, "documents"))
+
+
+def _parts_sql() -> str:
+    """Per kind of secret the rows (r, kind, place, gap, match, last): lengths before, of, and within each match."""
+    each = []
+    for place, (kind, (pattern, least)) in enumerate(secrets.KINDS.items(), 1):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        group = 1 if "(" in pattern.replace("(?", "") else 0
+        each.append(f"SELECT r, '{kind}' AS kind, {place} AS place, {least} AS least, string_split_regex(t, {quoted}) AS g, regexp_extract_all(t, {quoted}, 0) AS m, regexp_extract_all(t, {quoted}, {group}) AS x FROM d")
+    return " UNION ALL ".join(each)
+
+
+def _pairs_sql(table: dict[str, tuple[str, ...]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, many in table.items() for b in many)
+
+
+_sql("op8_secrets", f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ({_parts_sql()}),
+i AS (SELECT r, kind, place, least, g, m, x, unnest(range(1, len(m) + 1)) AS n FROM f),
+e AS (SELECT r, kind, place, least, length(m[n]) AS size, length(x[n]) AS inner_size, sum(length(g[n]) + length(m[n])) OVER (PARTITION BY r, kind ORDER BY n) AS stop FROM i),
+p AS MATERIALIZED (SELECT r, kind, place, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM e WHERE inner_size >= least),
+parts(part, kind) AS (VALUES {_pairs_sql(secrets.PARTS)}), wanted(kind, part) AS (VALUES {_pairs_sql(secrets.NEEDS)}), needs AS (SELECT *, count(*) OVER (PARTITION BY kind) AS many FROM wanted), q AS (SELECT r, part, start FROM p JOIN parts USING (kind)),
+weak AS (SELECT p.r, p.kind, p.place, p.start, p.stop FROM p JOIN needs USING (kind) JOIN q ON q.r = p.r AND q.part = needs.part AND abs(q.start - p.start) <= {secrets.SCOPE}
+  GROUP BY ALL HAVING count(DISTINCT needs.part) = max(many)),
+s AS (SELECT r, kind, place, start, stop, kind || ':' || start || ':' || stop AS span FROM (SELECT * FROM p WHERE kind IN ('assign', 'access', 'hex') UNION ALL SELECT r, kind, place, start, stop FROM weak)),
+a AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY start, place, stop) FILTER (WHERE kind IN ('assign', 'access', 'hex')) AS base, string_agg(span, ',' ORDER BY start, place, stop) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)""")
+
+_RATES = ", ".join(f"sum(f_{r}) / sum(docs) AS m_{r}" for r in rules.RULES)
+_SPREADS = ", ".join(f"sum(docs * pow(f_{r} / docs - m_{r}, 2)) / sum(docs) AS v_{r}" for r in rules.RULES)
+_STRENGTHS = ", ".join(f"greatest(m_{r} * (1 - m_{r}) / greatest(v_{r} - m_{r} * (1 - m_{r}) * hosts / n, 1e-6) - 1, 1.0) AS s_{r}" for r in rules.RULES)
+_SHRUNK = ", ".join(f"(f_{r} + m_{r} * s_{r}) / (docs + s_{r}) AS q_{r}" for r in rules.RULES)
+_FAILS = " OR ".join(f"q_{r} - 2 * sqrt(q_{r} * (1 - q_{r}) / (docs + s_{r} + 1)) > {rules.LIMIT}" for r in rules.RULES)
+_sql("op10_rules", f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS v FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+again AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i FROM g WHERE (r, v) IN (SELECT (r, v) FROM (SELECT r, v FROM g GROUP BY ALL HAVING count(*) > 1))), range(5) t(k) GROUP BY r),
+c AS MATERIALIZED (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines FROM d LEFT JOIN again USING (r)),
+h AS (SELECT host, count(*)::DOUBLE AS docs, {", ".join(f"count(*) FILTER (WHERE {e})::DOUBLE AS f_{r}" for r, e in rules.RULES.items())} FROM c WHERE host IS NOT NULL GROUP BY 1),
+m AS (SELECT sum(docs) AS n, count(*) AS hosts, {_RATES} FROM h), v AS (SELECT {_SPREADS} FROM h, m), s AS (SELECT m.*, {_STRENGTHS} FROM m, v),
+q AS (SELECT host, docs, s.*, {_SHRUNK} FROM h, s), bad AS (SELECT host, {_FAILS} AS host_failed FROM q)
+SELECT doc_id, c.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(host_failed, false) AS host_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept
+FROM (SELECT *, {rules.RULES['short']} OR {rules.RULES['repeats']} AS base_failed FROM c) c LEFT JOIN bad ON c.host = bad.host""")
