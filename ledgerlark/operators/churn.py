@@ -10,7 +10,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerlark.functions.numbers import risk_tier, rnd
 from ledgerlark.functions.scale import materialise, with_running
@@ -90,7 +89,8 @@ def train(panel: DataFrame, *, iterations: int = 20, depth: int = 4, seed: int =
 
 
 def with_probability(model, panel: DataFrame) -> DataFrame:
-    return model.transform(panel).withColumn("p", F.round(vector_to_array("probability")[1], 4)).withColumn(
+    """Probability as found (``score``, for ranking) and as reported (``p``, four decimals), and the raw margin."""
+    return model.transform(panel).withColumn("score", vector_to_array("probability")[1]).withColumn("p", F.round("score", 4)).withColumn(
         "margin", vector_to_array("rawPrediction")[1])
 
 
@@ -104,16 +104,15 @@ def calibrate(scored: DataFrame):
         scored.select("margin", "churned"))
 
 
-def auc(scored: DataFrame, groups: list[str]) -> DataFrame:
-    """Area under the ROC curve per group, from counts per rounded score.
+def auc(scored: DataFrame, groups: list[str], score: str = "p") -> DataFrame:
+    """Area under the ROC curve per group, from counts per score in one global order.
 
-    Probabilities carry four decimals, so a group has at most 10,001 scores.
+    The order runs through all groups, so a group's own count starts at its smallest running sum.
     """
-    counts = scored.groupBy(*groups, "p").agg(F.sum("churned").alias("pos"), F.sum(1 - F.col("churned")).alias("neg"))
-    below = Window.partitionBy(*groups).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    return ranked.groupBy(*groups).agg(
-        (F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    counts = scored.groupBy(*groups, score).agg(F.sum("churned").alias("pos"), F.sum(1 - F.col("churned")).alias("neg"))
+    ranked = with_running(counts, [*map(F.col, groups), F.col(score)], sums={"upto": F.col("neg")})
+    area = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)) - F.sum("pos") * F.min(F.col("upto") - F.col("neg"))
+    return ranked.groupBy(*groups).agg((area / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def metrics(scored: DataFrame, validation: str) -> DataFrame:
@@ -122,7 +121,7 @@ def metrics(scored: DataFrame, validation: str) -> DataFrame:
     counts = scored.agg(
         F.count_if(hit & truth).alias("tp"), F.count_if(hit & ~truth).alias("fp"), F.count_if(~hit & truth).alias("fn"),
         F.count_if(~hit & ~truth).alias("tn"))
-    area = auc(scored.withColumn("g", F.lit(1)), ["g"]).select("auc").scalar()
+    area = auc(scored.withColumn("g", F.lit(1)), ["g"], "score").select("auc").scalar()
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     precision = F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.lit(0.0))
     recall = F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)), F.lit(0.0))
@@ -154,7 +153,7 @@ def permutation_importance(model, valid: DataFrame, columns: list[str], repeats:
     everything = variants[0]
     for v in variants[1:]:
         everything = everything.unionByName(v)
-    areas = auc(with_probability(model, everything), ["repeat", "feature"])
+    areas = auc(with_probability(model, everything), ["repeat", "feature"], "score")
     whole = areas.where("feature = ''").select("auc").scalar()
     drops = areas.where("feature <> ''").withColumn("drop", whole - F.col("auc"))
     return drops.groupBy("feature").agg(F.round(F.greatest(F.avg("drop"), F.lit(0.0)), 4).alias("importance"))

@@ -183,6 +183,8 @@ def test_short_history_splits_at_random(spark):
 def test_auc_formula(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.4, 1)], "p double, churned int").withColumn("g", F.lit(1))
     assert churn.auc(df, ["g"]).first()["auc"] == pytest.approx(4.5 / 6)
+    both = df.unionByName(df.withColumn("g", F.lit(2)).withColumn("churned", 1 - F.col("churned"))).withColumn("score", F.col("p") / 1e6)
+    assert {r["g"]: round(r["auc"], 9) for r in churn.auc(both, ["g"], "score").collect()} == {1: 0.75, 2: 0.25}
 
 
 def test_quintiles_of_few(spark):
