@@ -48,6 +48,23 @@ def describe_table(spark, sf):
     return files.describe(table(spark, sf, "orders")).drop("type")
 
 
+@query("B1_safe_names", "SELECT o_orderpriority AS order_priority, round(sum(o_totalprice), 2) AS total_price, CAST(sum(o_custkey) AS BIGINT) AS total_price_2 FROM orders GROUP BY 1")
+def safe_names(spark, sf):
+    named = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("Order Priority"), F.col("o_totalprice").alias("Total-Price"), F.col("o_custkey").alias("total price"))
+    tables, _, _ = relations.sanitize_all({"My Orders": named}, [])
+    return tables["my_orders"].groupBy("order_priority").agg(rnd(F.sum("total_price")).alias("total_price"), F.sum("total_price_2").cast("long").alias("total_price_2"))
+
+
+@query("C3_plan_combination", """SELECT 'join' AS strategy, 'lines' AS main_table, 'Order_ID' AS join_key, o_orderpriority AS priority, count(*) AS rows, round(sum(l_extendedprice), 2) AS price
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
+def combination(spark, sf):
+    tables = {"headers": table(spark, sf, "orders").select(F.col("o_orderkey").alias("Order_ID"), F.col("o_orderpriority").alias("priority")),
+              "lines": table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_extendedprice").alias("price"))}
+    plan = relations.plan_combination(tables)
+    return relations.combine(tables, plan).groupBy("priority").agg(F.count(F.lit(1)).alias("rows"), rnd(F.sum("price")).alias("price")).select(
+        F.lit(plan.strategy).alias("strategy"), F.lit(plan.primary).alias("main_table"), F.lit(plan.joins[0][1]).alias("join_key"), "priority", "rows", "price")
+
+
 @query("B3_equality_filters", f"{W} SELECT status, count(*) AS n, round(sum(revenue), 2) AS revenue FROM fact WHERE mktsegment = 'BUILDING' AND priority = '1-URGENT' GROUP BY 1")
 def equality_filters(spark, sf):
     view = fact(spark, sf, "mktsegment", "priority", "status", "revenue")
