@@ -8,14 +8,17 @@ size is bounded by the calendar; the helpers here cover the unbounded cases.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows up to which one task may sort or hold the values of a group.
-SMALL_ROWS = 200_000
+#: Values a bracket of a quantile may still hold when its ranks are picked.
+BRACKET_ROWS = 10_000
+#: Share of the rows that the first bounds lie to either side of a quantile.
+FIRST_MARGIN = 1e-3
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -33,9 +36,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write *df* to the checkpoint folder, so later reads see the same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write *df* as Parquet to the checkpoint folder, so later reads see the same rows,
+    only the columns they need, and a size to plan by."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_running(
@@ -91,34 +98,36 @@ def with_running(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], *, small: int = SMALL_ROWS
+    df: DataFrame, columns: list[str], probs: list[float], *, small: int = BRACKET_ROWS
 ) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of several columns.
 
-    Columns with at most *small* values go through ``percentile``.  For larger
-    ones the wanted ranks are bracketed by approximate percentiles, whose state
-    is bounded, and one aggregate counts what lies below and inside; what is left
-    in the brackets is small and read out.  All columns and ranks share each
-    pass, and rows are never shuffled.
+    The wanted ranks are bracketed by approximate percentiles, whose state is bounded, and
+    one aggregate counts what lies below and inside.  Once a bracket holds at most *small*
+    values its ranks are picked by an aggregate.  All columns and ranks share each pass
+    (three for millions of rows, two more for each factor of some thousands), rows are never
+    shuffled, and the driver sees one row a pass.
     """
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     values = values.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
-    stats = values.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).first()
-    out: dict[str, list[float | None]] = {}
-    light = [c for c in columns if stats[c]["n"] <= small]
-    if light:
-        row = values.agg(*[F.percentile(c, F.array(*map(F.lit, probs))).alias(c) for c in light]).first()
-        out.update({c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in light})
-    brackets = [_Bracket(c, p, stats[c]["n"], stats[c]["lo"], stats[c]["hi"]) for c in columns if c not in out for p in probs]
-    while open_ := [b for b in brackets if b.result is None]:
-        ready = [b for b in open_ if b.inside <= small]
-        if ready:
-            _read_out(values, ready)
-        wide = [b for b in open_ if b.inside > small]
-        if wide:
-            _narrow(values, wide)
+    near = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-FIRST_MARGIN, FIRST_MARGIN)])
+    stats = values.agg(*[F.struct(
+        F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.percentile_approx(c, near, F.lit(10_000)).alias("near")).alias(c) for c in columns]).first()
+    brackets, guesses = [], []
+    for c in columns:
+        for i, p in enumerate(probs if stats[c]["n"] else ()):
+            brackets.append(_Bracket(c, p, stats[c]["n"], stats[c]["lo"], stats[c]["hi"]))
+            if brackets[-1].inside > small and brackets[-1].result is None:
+                guesses.append((brackets[-1], stats[c]["near"][2 * i], stats[c]["near"][2 * i + 1]))
+    if guesses:
+        _narrow(values, guesses)
+    while wide := [b for b in brackets if b.result is None and b.inside > small]:
+        _narrow(values, _guesses(values, wide))
+    if ready := [b for b in brackets if b.result is None]:
+        _pick(values, ready)
+    out: dict[str, list[float | None]] = {c: [] if stats[c]["n"] else [None] * len(probs) for c in columns}
     for b in brackets:
-        out.setdefault(b.column, []).append(b.result)
+        out[b.column].append(b.result)
     return out
 
 
@@ -138,7 +147,7 @@ class _Bracket:
         return F.when(F.col(self.column).between(self.lo, self.hi), F.col(self.column))
 
     def settle(self, a: float, b: float) -> None:
-        self.result = a + (b - a) * self.part
+        self.result = a if a == b else a * (1 - self.part) + b * self.part
 
     def cut(self, low: float, high: float, under: int, within: int) -> None:
         """Keep the part between *low* and *high* that holds both ranks."""
@@ -155,25 +164,21 @@ class _Bracket:
             self.settle(self.lo, self.lo)
 
 
-def _read_out(values: DataFrame, brackets: list[_Bracket]) -> None:
-    """Values and counts of brackets that hold few rows."""
-    cells = F.array_compact(F.array(*[
-        F.when(b.value.isNotNull(), F.struct(F.lit(i).alias("i"), b.value.alias("v"))) for i, b in enumerate(brackets)]))
-    counted = values.select(F.inline(cells)).groupBy("i", "v").count().collect()
+def _pick(values: DataFrame, brackets: list[_Bracket]) -> None:
+    """The two ranks of brackets that hold few values."""
+    asked = []
+    for i, b in enumerate(brackets):
+        held = F.sort_array(F.collect_list(b.value))
+        asked.append(F.array(*[F.element_at(held, r - b.below + 1) for r in (b.first, b.second)]).alias(f"p{i}"))
+    row = values.agg(*asked).first()
     for i, b in enumerate(brackets):
-        seen, found = b.below, {}
-        for row in sorted((r for r in counted if r["i"] == i), key=lambda r: r["v"]):
-            seen += row["count"]
-            for rank in (b.first, b.second):
-                if rank < seen:
-                    found.setdefault(rank, row["v"])
-        b.settle(found[b.first], found[b.second])
-
-
-def _narrow(values: DataFrame, brackets: list[_Bracket], margin: float = 2e-4) -> None:
-    """Shrink wide brackets: one pass to guess the bounds, one to count."""
-    guesses = []
+        b.settle(*row[f"p{i}"])
+
+
+def _guesses(values: DataFrame, brackets: list[_Bracket], margin: float = 2e-4) -> list[tuple[_Bracket, float, float]]:
+    """Bounds to try for wide brackets: approximate percentiles, or half of one that they did not move."""
     loose = [b for b in brackets if not b.stuck]
+    guesses = [(b, b.lo, b.lo + (b.hi - b.lo) / 2) for b in brackets if b.stuck]
     if loose:
         asked = []
         for i, b in enumerate(loose):
@@ -181,9 +186,12 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], margin: float = 2e-4) -
             ends = F.array(F.lit(max(0.0, ends[0] - margin)), F.lit(min(1.0, ends[1] + margin)))
             asked.append(F.percentile_approx(b.value, ends, F.lit(10_000)).alias(f"g{i}"))
         row = values.agg(*asked).first()
-        guesses = [(b, *row[f"g{i}"]) for i, b in enumerate(loose)]
-    # a bracket the guess did not move is halved by value
-    guesses += [(b, b.lo, b.lo + (b.hi - b.lo) / 2) for b in brackets if b.stuck]
+        guesses += [(b, *row[f"g{i}"]) for i, b in enumerate(loose)]
+    return guesses
+
+
+def _narrow(values: DataFrame, guesses: list[tuple[_Bracket, float, float]]) -> None:
+    """Shrink brackets to the guessed bounds as far as one counting pass allows."""
     counts = values.agg(*[
         F.struct(F.count_if(b.value < lo).alias("under"), F.count_if(b.value.between(lo, hi)).alias("within"),
                  F.max(F.when(b.value <= hi, b.value)).alias("last"), F.min(F.when(b.value > hi, b.value)).alias("next")).alias(f"c{i}")
@@ -201,13 +209,6 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], margin: float = 2e-4) -
             b.cut(lo, c["last"] if b.stuck else hi, c["under"], c["within"])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for parsing-heavy work on a table read in fewer splits than there
-    are cores (one small file); a table with enough splits is left as it is."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ledgerlark.functions import text as tx
 from ledgerlark.functions.numbers import rnd
-from ledgerlark.functions.scale import exact_quantiles, spread, union_all
+from ledgerlark.functions.scale import exact_quantiles, union_all
 from ledgerlark.operators import clean
 from ledgerlark.operators.quality import duplicate_counts, type_label
 
@@ -304,20 +304,18 @@ def sentinel_hits(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, .
         F.struct(F.count(c).alias("n"), *[F.count_if(F.col(c) == s).alias(f"s{i}") for i, s in enumerate(clean.SENTINELS)]).alias(c)
         for c in columns
     ]).first() if columns else None
-    out = {}
-    for c in columns:
-        n = counts[c]["n"]
-        found = []
-        for i, s in enumerate(clean.SENTINELS):
-            hits = counts[c][f"s{i}"]
-            if n < 5 or hits < 2 or hits / n >= 0.5:
-                continue
-            rest = numbers.where(F.col(c) != s).select(c)
-            spread = rest.agg(F.stddev_samp(c)).first()[0] or 1.0
-            if abs(s - exact_quantiles(rest, [c], [0.5])[c][0]) > 5 * spread:
-                found.append(float(s))
-        if found:
-            out[c] = tuple(found)
+    asked = [(c, s) for c in columns for i, s in enumerate(clean.SENTINELS)
+             if counts[c]["n"] >= 5 and counts[c][f"s{i}"] >= 2 and counts[c][f"s{i}"] / counts[c]["n"] < 0.5]
+    if not asked:
+        return {}
+    # the other values of every candidate as a column of its own
+    names = [f"r{i}" for i in range(len(asked))]
+    rest = numbers.select(*[F.when(F.col(c) != s, F.col(c)).alias(r) for r, (c, s) in zip(names, asked)])
+    spreads, medians = rest.agg(*[F.stddev_samp(r).alias(r) for r in names]).first(), exact_quantiles(rest, names, [0.5])
+    out: dict[str, tuple[float, ...]] = {}
+    for r, (c, s) in zip(names, asked):
+        if medians[r][0] is not None and abs(s - medians[r][0]) > 5 * (spreads[r] or 1.0):
+            out[c] = (*out.get(c, ()), float(s))
     return out
 
 
@@ -341,7 +339,6 @@ def readings(df: DataFrame, found: list[Probe]) -> DataFrame:
 def run_detectors(df: DataFrame, names: list[str] | None = None, *, keys: set[str] = frozenset(), as_of: str | None = None) -> DataFrame:
     """All findings of the named column detectors, from one aggregate over the table."""
     chosen = names or list(DETECTORS)
-    df = spread(df)
     found = probes(df, keys=keys, as_of=as_of, wanted=set(chosen))
     parts = [c for p in found for d in chosen if (c := DETECTORS[d](p)) is not None]
     if not parts:
@@ -494,7 +491,6 @@ def column_identities(shares: DataFrame) -> DataFrame:
 
 def detect_defects(df: DataFrame, *, keys: set[str] = frozenset(), as_of: str | None = None) -> DataFrame:
     """Every finding of a table, most severe first."""
-    df = spread(df)
     numbers = [c for c, k in df.dtypes if (k in ("double", "float", "int", "bigint", "smallint", "tinyint") or k.startswith("decimal")) and not c.startswith("_")]
     texts = [c for c, k in df.dtypes if k == "string" and not c.startswith("_")]
     if texts:  # money written as text takes part, if four of five values read as numbers
@@ -571,7 +567,6 @@ PROFILE_ID_NAMES = ("id", "code", "key", "ord", "sku", "ref")
 
 def column_profile(df: DataFrame) -> DataFrame:
     """Type, missing, placeholders, distinct, mismatch, outliers and moments per column."""
-    df = spread(df)
     columns = [c for c in df.columns if not c.startswith("_")]
     kinds = {f.name: type_label(f.dataType) for f in df.schema.fields}
     texts = [c for c in columns if kinds[c] == "string"]
