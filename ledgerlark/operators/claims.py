@@ -222,9 +222,13 @@ def wrong_signs(docs: DataFrame, doc: str, text: str, known: DataFrame) -> DataF
     return keyed.join(known.where("figure < 0").select("key", "figure"), "key").select("doc", "i", "verb", "key", "figure")
 
 
-def uncited_values(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """"What it's worth" lines that cite no figure of a change."""
+def uncited_values(docs: DataFrame, doc: str, text: str, known: DataFrame | None = None) -> DataFrame:
+    """"What it's worth" lines that cite no figure of a change; of *known* (``key``), only those count as figures."""
     lines = docs.select(F.col(doc).alias("doc"), F.posexplode(F.regexp_extract_all(text, F.lit(WORTH_LINE), F.lit(1))).alias("i", "line"))
-    keys = F.regexp_extract_all("line", F.lit(TOKEN), F.lit(1))
-    worth = F.exists(keys, lambda k: k.startswith("scn_") | k.endswith("_change") | F.contains(k, F.lit("_effect")) | k.endswith("_loss") | k.isin(WORTH_KEYS))
-    return lines.where(~worth).select("doc", "i", F.when(F.size(keys) == 0, "no figure cited").otherwise("cites a level").alias("problem"))
+    cited = lines.select("doc", "i", F.explode_outer(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(1))).alias("key"))
+    if known is not None:
+        cited = cited.join(known.select(F.col("key").alias("figure_key")).distinct(), F.col("key") == F.col("figure_key"), "left").select("doc", "i", F.col("figure_key").alias("key"))
+    k = F.col("key")
+    worth = k.startswith("scn_") | k.endswith("_change") | F.contains(k, F.lit("_effect")) | k.endswith("_loss") | k.isin(WORTH_KEYS)
+    counts = cited.groupBy("doc", "i").agg(F.count("key").alias("keys"), F.coalesce(F.bool_or(worth), F.lit(False)).alias("worth"))
+    return counts.where(~F.col("worth")).select("doc", "i", F.when(F.col("keys") == 0, "no figure cited").otherwise("cites a level").alias("problem"))

@@ -189,6 +189,8 @@ def recommend_granularity(by_freq: dict[str, DataFrame], current: str) -> DataFr
 
 def fingerprint(panel: DataFrame) -> DataFrame:
     """A short hash that changes when the data of a series does."""
-    parts = F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.round(F.sum("y"), 4).cast("string"), F.round(F.avg("y"), 6).cast("string"),
-                        F.round(F.stddev_pop("y"), 6).cast("string"), F.min("ds").cast("string"), F.max("ds").cast("string"))
+    def fixed(value: Column, digits: int) -> Column:  # plain digits, whatever the size
+        return F.round(value, digits).cast(f"decimal(38,{digits})").cast("string")
+
+    parts = F.concat_ws("|", F.count(F.lit(1)).cast("string"), fixed(F.sum("y"), 4), fixed(F.avg("y"), 6), fixed(F.stddev_pop("y"), 6), F.min("ds").cast("string"), F.max("ds").cast("string"))
     return panel.groupBy("series").agg(F.left(F.sha2(parts, 256), F.lit(16)).alias("fingerprint"))

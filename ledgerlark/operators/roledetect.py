@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.scale import materialise
 from ledgerlark.operators.quality import type_label
 from ledgerlark.roles import Roles
 
@@ -22,17 +23,18 @@ KEYWORDS = {
 }
 STRONG_REVENUE = ["revenue", "sales", "gmv", "total", "amount", "grand_total", "line_total", "subtotal", "net_total", "order_value", "total_spent"]
 
+#: Share of a text column's values that must read as dates before it can stand for the time.
+DATES = 0.9
+
 
 def column_shapes(df: DataFrame) -> DataFrame:
-    """One pass: per column its type, values present, distinct share and how much of it reads as a number or a date."""
+    """One pass: per column its type, values present and the share of them that reads as a date."""
     cells = []
     for i, f in enumerate(f for f in df.schema.fields if not f.name.startswith("_")):
         kind, c = type_label(f.dataType), F.col(f.name)
         text = kind == "string"
         cells.append(F.struct(
             F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(kind).alias("kind"), F.count(c).alias("present"),
-            (F.approx_count_distinct(c, 0.02) / F.nullif(F.count(c), F.lit(0))).alias("distinct_share"),
-            (F.count(c.try_cast("double")) / F.nullif(F.count(c), F.lit(0)) if text else F.lit(1.0 if kind in ("integer", "float") else 0.0)).alias("numeric_share"),
             (F.count(F.try_to_timestamp(c)) / F.nullif(F.count(c), F.lit(0)) if text else F.lit(1.0 if kind == "datetime" else 0.0)).alias("date_share")))
     return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
 
@@ -47,8 +49,13 @@ def name_scores(shapes: DataFrame) -> DataFrame:
 
 
 def role_candidates(df: DataFrame) -> DataFrame:
-    """Columns that qualify for a role, with their score."""
-    scores = name_scores(column_shapes(df))
+    """Columns that qualify for a role, with their score.
+
+    Where no name speaks for a time, revenue or quantity, the values decide: text that reads as dates
+    (score 1), any number, any whole number (score 0, which :func:`role_warnings` reports).
+    """
+    shapes = materialise(column_shapes(df))  # a row for each column
+    scores = name_scores(shapes)
     numeric = F.col("kind").isin("integer", "float")
     strong = F.rlike(F.regexp_replace(F.lower("column_name"), "[_ -]", ""), F.lit("|".join(k.replace("_", "") for k in STRONG_REVENUE)))
     times = scores.where("role = 'time'").select(F.col("column_name").alias("t_name"), F.col("score").alias("t_score"))
@@ -58,9 +65,15 @@ def role_candidates(df: DataFrame) -> DataFrame:
         .when(F.col("role") == "order", (F.col("kind") != "datetime") & (F.coalesce("t_score", F.lit(0)) < F.col("score"))).otherwise(True))
     score = F.when((F.col("role") == "revenue") & strong, F.col("score") + 6).otherwise(F.col("score"))
     named = ranked.where(fits).select("role", "column_name", "position", score.cast("long").alias("score"))
-    dated = column_shapes(df).where("kind = 'datetime'").join(times, F.col("column_name") == F.col("t_name"), "left_anti").select(
+    dated = shapes.where("kind = 'datetime'").join(times, F.col("column_name") == F.col("t_name"), "left_anti").select(
         F.lit("time").alias("role"), "column_name", "position", F.lit(3).cast("long").alias("score"))
-    return named.unionByName(dated)
+    found = named.unionByName(dated)
+    countable = ~F.lower("column_name").isin("id", "index")
+    spare = shapes.select("column_name", "position", F.inline(F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(role).alias("role"), F.lit(points).cast("long").alias("score"))) for role, points, test in (
+            ("time", 1, (F.col("kind") == "string") & (F.col("date_share") >= DATES)),
+            ("revenue", 0, numeric & countable), ("quantity", 0, (F.col("kind") == "integer") & countable))]))))
+    return found.unionByName(spare.join(found, "role", "left_anti"))
 
 
 def best_per_role(candidates: DataFrame) -> DataFrame:
@@ -125,6 +138,7 @@ def role_warnings(df: DataFrame, roles: Roles, candidates: DataFrame | None = No
         money = candidates.where("role = 'revenue'")
         top = money.agg(F.max("score")).scalar()
         tie = money.where(F.col("score") == top).agg(F.count(F.lit(1)).alias("n"), F.min_by("column_name", "position").alias("column_name"))
+        found.append(tie.where(F.lit(top is not None and top == 0)).select(F.lit("revenue_by_type_only").alias("warning"), "column_name"))
         found.append(tie.where("n > 1").select(F.lit("several_revenue_columns").alias("warning"), "column_name"))
     out = found[0]
     for f in found[1:]:

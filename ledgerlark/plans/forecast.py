@@ -491,7 +491,8 @@ def drift_by_status(spark, sf):
     return _drift(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("series"), rnd(F.avg("error_ratio"), 3).alias("mean_ratio"))
 
 
-@query("H16_series_fingerprint")
+@query("H16_series_fingerprint", f"""{P} SELECT series, left(sha256(concat_ws('|', count(*), CAST(round(sum(y), 4) AS DECIMAL(38, 4)), CAST(round(avg(y), 6) AS DECIMAL(38, 6)),
+  CAST(round(stddev_pop(y), 6) AS DECIMAL(38, 6)), CAST(min(ds) AS DATE), CAST(max(ds) AS DATE))), 16) AS fingerprint FROM panel GROUP BY 1""")
 def fingerprint(spark, sf):
     return fp.fingerprint(_panel(spark, sf))
 

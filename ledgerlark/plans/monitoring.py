@@ -381,3 +381,14 @@ def wrong_signs(spark, sf):
         (F.sum(F.when(cur.holds(ts), F.col("revenue"))) - F.sum(F.when(pri.holds(ts), F.col("revenue")))).alias("figure"))
     docs = table(spark, sf, "part").select("p_partkey", F.expr(_BRIEF).alias("text"))
     return cl.wrong_signs(docs, "p_partkey", "text", known).select("doc", "verb", "key", rnd("figure").alias("figure"))
+
+
+_WORTH = "'- **What its worth:** ' || CASE p_partkey % 4 WHEN 0 THEN 'a lot' WHEN 1 THEN '{{brand_total}} a year' WHEN 2 THEN '{{size_' || p_size || '_change}}' ELSE '{{brand_change}} of {{brand_total}}' END"
+
+
+@query("N6_uncited_values", """SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 1 THEN 'cites a level' ELSE 'no figure cited' END AS problem FROM part WHERE p_partkey % 4 < 3""")
+def uncited_values(spark, sf):
+    """Of four kinds of line one cites a change, one a level, one an unknown figure and one nothing."""
+    docs = table(spark, sf, "part").select("p_partkey", F.expr(_WORTH).alias("text"))
+    known = spark.createDataFrame([("brand_total",), ("brand_change",)], "key string")
+    return cl.uncited_values(docs, "p_partkey", "text", known).select("doc", "problem")

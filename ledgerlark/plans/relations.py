@@ -106,6 +106,15 @@ def best_roles(spark, sf):
     return roledetect.best_per_role(roledetect.role_candidates(_named(spark, sf)))
 
 
+@query("B10_role_fallbacks", f"""{W} SELECT 'time' AS role, 'a' AS column_name, 1 AS score FROM fact HAVING count(TRY_CAST(strftime(ts, '%Y-%m-%d') AS TIMESTAMP)) >= 0.9 * count(ts)
+UNION ALL SELECT role, column_name, 0 FROM (VALUES ('revenue', 'b'), ('revenue', 'c'), ('quantity', 'c')) t(role, column_name)""")
+def role_fallbacks(spark, sf):
+    """Columns whose names say nothing."""
+    lines = fact(spark, sf, "orderkey", "ts", "revenue", "linenumber", "brand")
+    nameless = lines.select(F.col("orderkey").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("a"), F.col("revenue").alias("b"), F.col("linenumber").alias("c"), F.col("brand").alias("d"))
+    return roledetect.role_candidates(nameless).select("role", "column_name", "score")
+
+
 @query("B11_role_warnings", f"""{W} SELECT 'revenue_mostly_negative' AS warning, 'refund' AS column_name FROM fact HAVING avg(CASE WHEN -revenue < 0 THEN 1.0 ELSE 0.0 END) > 0.5
 UNION ALL SELECT 'customer_unique_per_row', 'customer_id' FROM fact HAVING count(DISTINCT customer_id) = count(*) UNION ALL SELECT 'no_time_column', NULL""")
 def role_warnings(spark, sf):

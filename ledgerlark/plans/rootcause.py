@@ -197,7 +197,14 @@ def signal(spark, sf):
     return rc.tested(table, whole).select("slice", rnd(F.col("signal"), 4).alias("signal"), rnd(F.col("p_value"), 6).alias("p_value"), "robust")
 
 
-@query("L8_select_top")
+_RANK = "ORDER BY CASE WHEN robust THEN 0 ELSE 1 END, score DESC, slice"
+_CHOSEN = f"""left_over AS (SELECT 0 AS k, slice, conds, concentration, power, score, robust FROM tst UNION ALL
+SELECT k + 1, slice, conds, concentration, power, score, robust FROM (SELECT *, first_value(conds) OVER w AS best, first_value(concentration) OVER w AS focus FROM left_over WHERE k < {rc.TOP_K} WINDOW w AS ({_RANK}))
+WHERE NOT (len(list_intersect(conds, best)) = len(conds) OR (len(list_intersect(conds, best)) = len(best) AND len(conds) > len(best) AND concentration <= focus * {rc.REFINEMENT_GAIN})))"""
+
+
+@query("L8_select_top", f"""{W.replace('WITH', 'WITH RECURSIVE', 1)}, {_search_sql()}, {_EXPLAIN}, {_TESTED}, {_CHOSEN} SELECT k + 1 AS rank, slice, round(power * 100, 1) AS power_pct, round(score, 4) AS score, robust
+FROM left_over WHERE k < {rc.TOP_K} QUALIFY row_number() OVER (PARTITION BY k {_RANK}) = 1""")
 def select_top(spark, sf):
     *_, whole, table = _explained(spark, sf)
     return rc.select_top(rc.tested(table, whole)).select("rank", "slice", rnd(F.col("power") * 100, 1).alias("power_pct"), rnd(F.col("score"), 4).alias("score"), "robust")

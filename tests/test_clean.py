@@ -155,3 +155,17 @@ def test_end_to_end_plan(spark):
     out, ledger = clean.apply_plan(df, steps)
     assert invariants.check_invariants(df, out, steps).count() == 0
     assert dict(out.dtypes)["amount"] == "double" and {r["city"] for r in out.collect()} == {"Cairo", "Giza"}
+
+
+def test_registered_detector_runs_with_the_others(spark):
+    """A detector of one's own is asked about every column and shares the one aggregate."""
+    def shouting(p):
+        return detect.finding("shouting", p, F.count_if(p.value == F.upper(p.value)), severity="low") if p.kind == "string" else None
+
+    detect.register("shouting", shouting)
+    try:
+        df = spark.createDataFrame([("ABC", 1.0), ("abc", 2.0), ("XYZ", 3.0)], "word string, v double")
+        found = {(r["kind"], r["column_name"], r["n"]) for r in detect.run_detectors(df).collect()}
+    finally:
+        del detect.DETECTORS["shouting"]
+    assert ("shouting", "word", 2) in found and not any(k == "shouting" and c == "v" for k, c, _ in found)
