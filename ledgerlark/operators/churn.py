@@ -134,25 +134,20 @@ def metrics(scored: DataFrame, validation: str) -> DataFrame:
 def permutation_importance(model, valid: DataFrame, columns: list[str], repeats: int = 5) -> DataFrame:
     """Drop of the AUC when one feature is taken from another, randomly paired row.
 
-    Two global orders are paired by rank, so a shuffle is one join whatever the
-    number of rows; all features of all repeats are scored in one pass.
+    Rows are put into one random order, and in every repeat a row is paired with the one a
+    fixed distance further on (round the end), so all shuffles are one sort and one join
+    whatever the number of rows; all features of all repeats are scored in one pass.
     """
-    base = materialise(valid.select("customer", "cutoff", "churned", *columns))
-    variants = [base.select(F.lit(0).alias("repeat"), F.lit("").alias("feature"), "churned", *columns)]
-    for r in range(1, repeats + 1):
-        def order(side: str, r: int = r):
-            return [F.xxhash64(F.lit(f"{side}{r}"), "customer", "cutoff"), F.col("customer"), F.col("cutoff")]
-
-        left = with_running(base, order("left"), rank="rn")
-        right = with_running(base, order("right"), rank="rn").select("rn", *[F.col(c).alias(f"o_{c}") for c in columns])
-        paired = left.join(right, "rn")
-        swapped = F.explode(F.array(*[
-            F.struct(F.lit(f).alias("feature"), *[(F.col(f"o_{c}") if c == f else F.col(c)).alias(c) for c in columns]) for f in columns]))
-        variants.append(paired.select("churned", swapped.alias("v")).select(
-            F.lit(r).alias("repeat"), "v.feature", "churned", *[F.col(f"v.{c}").alias(c) for c in columns]))
-    everything = variants[0]
-    for v in variants[1:]:
-        everything = everything.unionByName(v)
+    base = valid.select("customer", "cutoff", "churned", *columns)
+    ordered = with_running(base, [F.xxhash64(F.lit("order"), "customer", "cutoff"), F.col("customer"), F.col("cutoff")], rank="rn", total_rows="n")
+    n, repeat = F.col("n"), F.col("repeat")
+    moved = ordered.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn(
+        "rn", (F.col("rn") - 1 + F.floor(n * repeat / (repeats + 1))) % n + 1)
+    paired = moved.join(ordered.select("rn", *[F.col(c).alias(f"o_{c}") for c in columns]), "rn")
+    swapped = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), *[(F.col(f"o_{c}") if c == f else F.col(c)).alias(c) for c in columns]) for f in columns]))
+    everything = ordered.select(F.lit(0).alias("repeat"), F.lit("").alias("feature"), "churned", *columns).unionByName(
+        paired.select("repeat", "churned", swapped.alias("v")).select("repeat", "v.feature", "churned", *[F.col(f"v.{c}").alias(c) for c in columns]))
     areas = auc(with_probability(model, everything), ["repeat", "feature"], "score")
     whole = areas.where("feature = ''").select("auc").scalar()
     drops = areas.where("feature <> ''").withColumn("drop", whole - F.col("auc"))

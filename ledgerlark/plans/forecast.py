@@ -161,7 +161,8 @@ def harmonic(spark, sf):
     return fm.harmonic_forecast(_panel(spark, sf), "monthly", H).select("series", "step", rnd(F.col("yhat"), 2).alias("yhat"))
 
 
-@query("J15_croston")
+@query("J15_croston", f"""WITH {_PULSE_FACT}, {panel_sql('daily', 'mktsegment')}, {_STATS.format(src='panel', keys='series')}
+SELECT series, round(yhat, 4) AS rate FROM pred WHERE model = 'Croston' AND step = 1""")
 def croston(spark, sf):
     rows = fact(spark, sf, "ts", "revenue", "quantity", "mktsegment").withColumn("revenue", F.expr("case when quantity > 49 then revenue else 0.0D end"))
     panel = fp.build_panel(rows, "ts", "revenue", "daily", series=F.col("mktsegment"))
@@ -325,12 +326,7 @@ def measured_coverage(spark, sf):
 def _ahead_sql() -> str:
     """The chosen model refitted on the whole history, beside the back-test."""
     stats = _STATS.format(src="panel", keys="series")
-    for name in ("st_m", "st_k", "pf_w", "pf_p", "pred"):
-        stats = stats.replace(f"{name} AS", f"w_{name} AS").replace(f"FROM {name} ", f"FROM w_{name} ").replace(f"FROM {name})", f"FROM w_{name})")
-    stats = stats.replace("FROM st_m", "FROM w_st_m").replace("FROM pf_w", "FROM w_pf_w")
-    for a, b in (("st AS", "w_st AS"), ("pf AS", "w_pf AS"), ("pr AS", "w_pr AS"), ("SELECT st.*", "SELECT w_st.*"), ("FROM st LEFT JOIN pf", "FROM w_st LEFT JOIN w_pf"), ("FROM pr", "FROM w_pr")):
-        stats = stats.replace(a, b) if not a.endswith(" AS") else stats.replace(f"\n{a}", f"\n{b}")
-    return stats + ", aw AS (SELECT p.series, p.step, p.yhat FROM w_pred p JOIN sel ON sel.series = p.series AND sel.selected = p.model), ah AS (SELECT series, sum(yhat) AS ahead FROM aw GROUP BY 1)"
+    return f"w_pred AS (WITH {stats} SELECT * FROM pred), aw AS (SELECT p.series, p.step, p.yhat FROM w_pred p JOIN sel ON sel.series = p.series AND sel.selected = p.model), ah AS (SELECT series, sum(yhat) AS ahead FROM aw GROUP BY 1)"
 
 
 _TOT = "ft AS (SELECT series, fold, sum(r) AS e FROM ch GROUP BY 1, 2)"

@@ -133,3 +133,26 @@ def test_bias_needs_agreement(spark):
         return bt.bias_factor(totals, ahead).first()["factor"]
 
     assert factor([10, 12, 14, 16]) == pytest.approx(1.065) and factor([10, -12, 14, 16]) == 1.0 and factor([10, 10, 10]) == 1.0 and factor([90] * 4) == pytest.approx(1.15)
+
+
+def test_harmonic_regression_of_each_series_equals_a_ridge_solve(spark):
+    rng = np.random.default_rng(4)
+    series = {"waves": 50 + 0.3 * np.arange(48) + 9 * np.sin(np.arange(48) * np.pi / 6) + rng.normal(0, 1, 48), "big": 1e6 + 4e4 * rng.normal(size=30), "short": np.array([3.0, 5.0, 6.0, 9.0, 11.0])}
+    rows = [(name, t, len(y), float(v)) for name, y in series.items() for t, v in enumerate(y)]
+    panel = spark.createDataFrame(rows, "series string, t int, n int, y double").repartition(5)
+    got = {(r["series"], r["step"]): r["yhat"] for r in fm.harmonic_forecast(panel, "monthly", 4).collect()}
+    for name, y in series.items():
+        n = len(y)
+
+        def design(t, n=n):
+            return np.stack([np.ones(len(t)), t / n, *[f(2 * np.pi * k * t / 12) for k in (1, 2, 3) for f in (np.sin, np.cos)]], axis=1)
+
+        ahead = np.arange(n, n + 4.0)
+        if n < 8:
+            want = np.polyval(np.polyfit(np.arange(n), y, 1), ahead)
+        else:
+            x = design(np.arange(n, dtype=float))
+            penalty = np.eye(x.shape[1]) * 1e-3 * n
+            penalty[0, 0] = 0
+            want = design(ahead) @ np.linalg.solve(x.T @ x + penalty, x.T @ y)
+        assert [got[name, s] for s in range(1, 5)] == pytest.approx(list(want), rel=1e-6)
