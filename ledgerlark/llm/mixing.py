@@ -3,6 +3,7 @@
 A source's rate is the mean number of copies of its documents that brings its text to the wanted
 share.  A document's count inverts the Poisson distribution of that mean at a
 uniform number drawn from a hash of its id and the seed, so it depends on nothing but these.
+A mean above MOST is drawn as a sum of equal Poisson parts of MOST at most, each at a uniform number of its own.
 Copies are put in the order of another hash: a global shuffle that is the same in every run.
 """
 
@@ -16,16 +17,19 @@ from ledgerlark.llm.common import row_column, text_of
 #: Weights follow the natural shares to this power: 1 keeps them, 0 makes sources equal.
 TEMPERATURE = 0.5
 SEED = 17
-#: Beyond this mean the inversion would lose its first term to underflow.
+#: Beyond this mean the inversion would lose its first term to underflow; larger ones are sums of parts.
 MOST = 500.0
+#: Copies that one row of a source with several parts gives in one go; its blocks are dealt out.
+BLOCK = 1000
 
 
 def _hashed(*parts: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, digits), 16, 10).cast("long")
 
 
-def rates(docs: DataFrame, source_col: str, text_col: str, weights: dict[str, float] | None, epochs: float) -> DataFrame:
-    """``source, rate, steps``: per source its mean and the cumulative probabilities to compare with.
+def rates(docs: DataFrame, source_col: str, text_col: str, weights: dict[str, float] | None, epochs: float) -> tuple[DataFrame, float]:
+    """``source, rate, parts, steps`` and the largest rate: per source its mean, the number of equal Poisson
+    parts it is the sum of, and a part's cumulative probabilities to compare with.
 
     The table has a row for each source, and the planner decides by its size how to join it.
     """
@@ -35,18 +39,20 @@ def rates(docs: DataFrame, source_col: str, text_col: str, weights: dict[str, fl
     else:
         wanted = F.coalesce(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("source")], F.lit(0.0)) if weights else F.lit(0.0)
     sizes = sizes.select("source", F.col("size").cast("double"), wanted.cast("double").alias("weight"))
-    total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"), F.max(F.col("weight") / F.col("size")).alias("most"))
     one = total.first()
+    scale = epochs * (one["all_size"] or 0.0) / (one["all_weight"] or 1.0)
     mean = F.col("weight") / (one["all_weight"] or 1.0) * epochs * (one["all_size"] or 0.0) / F.col("size")
-    top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("c"), F.array(F.exp(-F.col("rate"))).alias("steps"))
+    parts = F.greatest(F.ceil(F.col("rate") / MOST), F.lit(1))
+    top = F.ceil(F.col("part") + 12 * F.sqrt("part") + 30).cast("int")
+    start = F.struct(F.exp(-F.col("part")).alias("p"), F.exp(-F.col("part")).alias("c"), F.array(F.exp(-F.col("part"))).alias("steps"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * F.col("rate") / k
+        p = acc["p"] * F.col("part") / k
         return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.concat(acc["steps"], F.array(acc["c"] + p)).alias("steps"))
 
-    checked = F.when(mean <= MOST, mean).otherwise(F.raise_error(F.lit(f"a source needs more than {MOST:.0f} copies of each document")))
-    return sizes.select("source", checked.alias("rate")).select("source", "rate", F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["steps"]).alias("steps"))
+    table = sizes.select("source", mean.alias("rate")).withColumn("parts", parts).withColumn("part", F.col("rate") / F.col("parts"))
+    return table.select("source", "rate", "parts", F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["steps"]).alias("steps")), scale * (one["most"] or 0.0)
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None,
@@ -61,12 +67,28 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     null id hashes as an empty one; rows with equal ids share their count.  An empty table gives an empty
     table.  The four new columns get a leading underscore where *docs* has such a name.
     """
-    table = rates(docs, source_col, text_col, weights, epochs).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("steps").alias("__steps"))
+    table, largest = rates(docs, source_col, text_col, weights, epochs)
+    table = table.select(*[F.col(c).alias(f"__{c}") for c in ("source", "rate", "parts", "steps")])
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    u = _hashed(key, F.lit(seed), F.lit("count"), digits=13) / F.lit(float(1 << 52))
-    count = F.size(F.filter("__steps", lambda c: F.col("__u") >= c))
-    out = docs.join(table, docs[source_col].eqNullSafe(F.col("__source"))).withColumn("__u", u).withColumn("__n", count).filter("__n > 0")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+
+    def uniform(*more: Column) -> Column:
+        return _hashed(key, F.lit(seed), F.lit("count"), *more, digits=13) / F.lit(float(1 << 52))
+
+    def count(us: Column) -> Column:
+        return F.aggregate(us, F.lit(0).cast("long"), lambda n, u: n + F.size(F.filter("__steps", lambda c: u >= c)))
+
+    def drawn(chosen: DataFrame, us: Column) -> DataFrame:
+        joined = docs.join(chosen, docs[source_col].eqNullSafe(F.col("__source")))
+        return joined.withColumn("__u", us).withColumn("__n", count(F.col("__u"))).drop("__u", "__steps").filter("__n > 0")
+
+    zero = F.lit(0).cast("long")
+    out = drawn(table.filter("__parts = 1"), F.array(uniform())).withColumn("__copy", F.explode(F.sequence(zero, F.col("__n") - 1)))
+    if largest > MOST / 2:  # a bound that rounding cannot miss; without such a source the second half has no row
+        us = F.transform(F.sequence(F.lit(1).cast("long"), F.col("__parts")), lambda j: uniform(j))
+        many = drawn(table.filter("__parts > 1"), us).withColumn("__block", F.explode(F.sequence(zero, F.floor((F.col("__n") - 1) / BLOCK))))
+        many = many.repartition(F.xxhash64(key, "__block"))
+        last = F.least(F.col("__n"), (F.col("__block") + 1) * BLOCK) - 1
+        out = out.unionByName(many.withColumn("__copy", F.explode(F.sequence(F.col("__block") * BLOCK, last))).drop("__block"))
     out = out.withColumn("__order", _hashed(key, F.col("__copy"), F.lit(seed), F.lit("order"), digits=15))
     new = {row_column(docs, n): F.col(c) for n, c in (("copy", "__copy"), ("n_copies", "__n"), ("rate", "__rate"), ("shuffle_key", "__order"))}
     return out.orderBy("__order", id_col, "__copy").select(*[docs[c] for c in docs.columns], *[c.alias(n) for n, c in new.items()])

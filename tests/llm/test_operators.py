@@ -254,6 +254,29 @@ def test_mixing(documents):
     assert all(sorted(v) == list(range(len(v))) for v in copies.values())
 
 
+def test_mixing_large_rate(shipped):
+    """Rates above MOST: a one-document null source, and a small one, beside a large one."""
+    rows = [(i, "x" * 4999, "big") for i in range(800)] + [(1000, "", None), (1001, "a", "two"), (None, "b", "two")]
+    out = mixing.mix_sources(shipped.createDataFrame(rows, "doc_id long, text string, source string"), weights=None).collect()
+    copies, rate, n = defaultdict(list), {}, {}
+    for r in out:
+        copies[r["doc_id"]].append(r["copy"])
+        rate[r["doc_id"]], n[r["doc_id"]] = r["rate"], r["n_copies"]
+    for i in (1000, 1001, None):
+        parts = int(np.ceil(rate[i] / mixing.MOST))
+        want, name = 0, "" if i is None else i
+        for j in range(1, parts + 1):
+            u = int(hashlib.md5(f"{name}:17:count:{j}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            p = c = float(np.exp(-rate[i] / parts))
+            k = 0
+            while u >= c:
+                k, p = k + 1, p * rate[i] / parts / (k + 1)
+                c += p
+            want += k
+        assert parts > 1 and n[i] == want and sorted(copies[i]) == list(range(want)) and abs(want - rate[i]) < 6 * rate[i] ** 0.5
+    assert [r["shuffle_key"] for r in out] == sorted(r["shuffle_key"] for r in out)
+
+
 def test_substring(shipped, documents, texts):
     passage = " ".join(f"p{i}" + "." * (i % 9 == 8) for i in range(60)) + "."
     rows = {100_001: f"Own start here.\n{passage}\nOwn end one.", 100_002: f"Another start.\n{passage}\nAnother end two.", 100_003: "Es was. Of the. That it.", 100_004: "Es was. Of the. That it."}
