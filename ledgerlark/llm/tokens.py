@@ -35,7 +35,7 @@ class Encoder:
 
     A byte-level BPE splits a text by a rule that never joins across white space but for one
     character before a word.  So a text is encoded piece by piece, and every distinct piece
-    once; other kinds of tokenizer get whole texts.  Strings of special tokens are ordinary text.
+    once; other kinds of tokenizer get whole texts, and so does a text that holds the string of an added token.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -47,11 +47,12 @@ class Encoder:
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         state = json.loads(self.tokenizer.to_str())
         pre = state.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in state.get("added_tokens") or ()]
         self.by_piece = (state.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
-                         and not pre.get("add_prefix_space") and not state["model"].get("ignore_merges"))
+                         and not pre.get("add_prefix_space") and not state["model"].get("ignore_merges")
+                         and not any(_SPACES & set(a) for a in self.added))  # joined words could make such a token
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)  # a byte-level token has one character for each byte
@@ -92,9 +93,23 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) one after another, and their number in each text."""
         if not self.by_piece:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+            return self._whole(texts)
+        whole = np.fromiter((any(a in t for a in self.added) for t in texts), bool, len(texts))
+        if not whole.any():
+            return self._by_piece(texts)
+        counts, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)]
+        cuts = [0, *(np.flatnonzero(whole[1:] != whole[:-1]) + 1).tolist(), len(texts)]
+        for first, last in zip(cuts, cuts[1:]):
+            flat, counts[first:last] = (self._whole if whole[first] else self._by_piece)(texts[first:last])
+            parts.append(flat)
+        return np.concatenate(parts), counts
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def _by_piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > CACHE:
             self._start_anew()
         found = [_PIECE.findall(t) for t in texts]

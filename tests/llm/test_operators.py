@@ -106,6 +106,22 @@ def test_encoder_is_the_library():
     assert e.by_piece and all(flat[a:b].tolist() == w for a, b, w in zip(cuts[:-1], cuts[1:], whole))
 
 
+def test_added_tokens_as_loaded(shipped):
+    """Ids of a fresh tokenizer, also where a text holds the string of an added token."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "plain words", "", "x<|endoftext|><|endoftext|>", "no <|endof text|>", "one more", "<|endoftext|>\n é"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    flat, counts = tokens.Encoder().encode(texts)
+    assert flat.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in packing.pack(docs).collect()} == {i: [*w, 1] for i, w in enumerate(want)}
+    assert {r["doc_id"]: r["ids"] for r in wavelet.read_shards(wavelet.write_shards(docs)).collect()} == {i: [*w, 2] for i, w in enumerate(want)}
+
+
 def test_packing(documents, encoded):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in packing.pack(documents).collect():
