@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
 columns of ``documents``.  ``run`` stores each stage's result as Parquet in the shared folder before
-the next one reads it.  Rows are told apart by doc_id; a null doc_id is a row of its own.
+the next one reads it.  A row stays or goes by its own verdict, whatever other rows share its doc_id
+(null or not): the first two stages number the rows and store them with their numbers.
 """
 
 from __future__ import annotations
@@ -11,27 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import minhash, mixing, packing, quality, secrets
-from ledgerlark.llm.common import ship, stored
+from ledgerlark.llm.common import row_column, ship, stored
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of *docs* whose id is not in *rejected* (column ``id``)."""
-    return docs.join(rejected.distinct(), docs["doc_id"].eqNullSafe(F.col("id")), "left_anti")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """*docs*, stored with a number for each row, and that column's name."""
+    row = row_column(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; an id whose rows differ goes if any of them is rejected."""
+    """Rows that the quality classifier keeps."""
     ship(spark)
-    verdicts = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, verdicts.filter("NOT kept").select(F.col("doc_id").alias("id")))
+    rows, row = _numbered(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    labels = rows.select(row, "doc_id").join(labels, "doc_id").select(row, "quality")
+    rejected = quality.classify(rows, labels, id_col=row).filter("NOT kept")
+    return rows.join(rejected.select(F.col("doc_id").alias(row)), row, "left_anti").drop(row)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), and one row of each id."""
+    """One row of each group of near copies (five-word shingles, similarity 0.8): the one of the smallest doc_id, nulls last.
+
+    Texts without a word are linked with nothing; of these, rows with an id that are equal in all columns become one.
+    """
     ship(spark)
-    found = minhash.near_duplicates(docs, shingle=5)
-    left = _without(docs, found.filter("NOT kept").select(F.col("doc_id").alias("id")))
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    rows, row = _numbered(docs)
+    found = minhash.near_duplicates(rows, id_col=row, shingle=5).select(F.col("doc_id").alias(row), "n_shingles", "component_id")
+    found = stored(found.join(rows.select(row, F.col("doc_id").alias("id")), row))
+    best = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", F.col(row).alias("number"))).alias("best"))
+    empty = found.filter("n_shingles = 0")
+    equal = rows.join(empty.filter("id IS NOT NULL").select(row), row, "left_semi").groupBy(*docs.columns).agg(F.min(row).alias("__first"))
+    kept = best.select(F.col("best.number").alias(row)).unionAll(equal.select("__first")).unionAll(empty.filter("id IS NULL").select(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

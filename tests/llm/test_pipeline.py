@@ -24,6 +24,22 @@ def test_stages(shipped, documents, texts):
     assert sum(r["start"] == 0 for r in pieces) == docs.count()
 
 
+def test_rows_go_by_their_own_verdict(shipped, documents):
+    """A null id and a repeated id with one good and one bad text each, and unrelated, linked and equal rows under one id."""
+    verdict = {r["doc_id"]: r["p_good"] for r in quality.classify(documents, shipped.read.parquet(f"{SF}/labels.parquet")).collect()}
+    rows = {r["doc_id"]: r.asDict() for r in documents.collect()}
+    good, bad = (rows[pick(verdict, key=verdict.get)] for pick in (max, min))
+    more = shipped.createDataFrame([{**r, "doc_id": i} for i in (None, 900_001) for r in (good, bad)], documents.schema)
+    left = corpus_pipeline.good_quality(shipped, documents.unionByName(more), SF).filter("doc_id IS NULL OR doc_id = 900001").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("900001", good["text"]), ("None", good["text"])]
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    made = [(1, a), (1, b), (2, a), (None, c), (None, d), (None, c), (None, b), (5, d + " more"), (3, ""), (3, ""), (4, ""), (None, ""), (None, None), (3, None)]
+    got = corpus_pipeline.one_of_each_group(shipped, shipped.createDataFrame(made, "doc_id long, text string"), SF).collect()
+    want = [(1, a), (1, b), (None, c), (5, d + " more"), (3, ""), (4, ""), (None, ""), (None, None), (3, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_run_is_registered(shipped):
     import __spark_entry__ as entry
 
