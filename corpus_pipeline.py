@@ -49,7 +49,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; what the secret scan reports is masked, and n_chars follows the text."""
-    masked = secrets.redact(secrets.scan(docs))
+    masked = secrets.redact(secrets.scan(docs), spans_col=row_column(docs, "spans"))
     return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(*docs.columns) if "n_chars" in docs.columns else masked
 
 

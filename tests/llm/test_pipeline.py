@@ -40,6 +40,15 @@ def test_rows_go_by_their_own_verdict(shipped, documents):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_stages_with_clashing_columns(shipped, documents):
+    docs = documents.limit(60).selectExpr("*", "1 AS id", "2 AS spans", "3D AS rate", "4 AS copy", "'h' AS host", "5 AS row", "6 AS `_spans`")
+    wanted = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(shipped, docs, SF))
+        assert docs.columns == wanted and {r["spans"] for r in docs.collect()} == {2}, name
+    assert corpus_pipeline.STAGES[-1][1](shipped, docs, SF).count() >= docs.count() > 0
+
+
 def test_run_is_registered(shipped):
     import __spark_entry__ as entry
 
