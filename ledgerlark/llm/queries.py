@@ -1,13 +1,14 @@
-"""The ten operators as named queries over whole tables."""
+"""The corpus operators as named queries over whole tables."""
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import hmm, minhash, mixing, packing, pivots, quality, rules, secrets, substring, wavelet
+from ledgerlark.llm import hmm, merkle, minhash, mixing, packing, pivots, quality, rules, secrets, substring, wavelet
 from ledgerlark.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,12 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.manifest(_table(spark, sf_dir, "documents"), changed=F.crc32(F.col("doc_id").cast("string")) % 5 == 0, replaced={"text": lower})
+
+
 def _parts_sql() -> str:
     """Per kind of secret the rows (r, kind, place, gap, match, last): lengths before, of, and within each match."""
     each = []
