@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import anchors, hmm, merkle, minhash, mixing, packing, pivots, quality, rules, secrets, substring, wavelet
+from ledgerlark.llm import anchors, hmm, merkle, minhash, mixing, packing, pages, pivots, quality, rules, secrets, substring, wavelet
 from ledgerlark.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), changed=F.crc32(F.col("doc_id").cast("string")) % 5 == 0, replaced={"text": lower})
 
 
+@_query
+def op12_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op13_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.codes(_table(spark, sf_dir, "embeddings"))
