@@ -148,3 +148,51 @@ m AS (SELECT sum(docs) AS n, count(*) AS hosts, {_RATES} FROM h), v AS (SELECT {
 q AS (SELECT host, docs, s.*, {_SHRUNK} FROM h, s), bad AS (SELECT host, {_FAILS} AS host_failed FROM q)
 SELECT doc_id, c.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(host_failed, false) AS host_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept
 FROM (SELECT *, {rules.RULES['short']} OR {rules.RULES['repeats']} AS base_failed FROM c) c LEFT JOIN bad ON c.host = bad.host""")
+
+
+def _leaf_sql(text: str) -> str:
+    fields = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({fields})"
+
+
+def _climb_sql(name: str, base: str) -> str:
+    """All nodes of the trees whose leaves *base* gives as (lev, key, idx, h, cnt)."""
+    return f"""{name} AS ({base} UNION ALL SELECT lev + 1, key, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (cnt + 15) // 16 FROM {name} WHERE cnt > 1 GROUP BY lev, key, idx // 16, cnt)"""
+
+
+def _fold_sql(name: str, base: str, nodes: str) -> str:
+    """Rows (r, lev, key, idx, fold, proof, cnt) carried up to the root of their tree."""
+    return f"""{name} AS ({base} UNION ALL SELECT f.r, f.lev + 1, f.key, f.idx // 16, sha256(string_agg(CASE WHEN s.idx = f.idx THEN f.fold ELSE s.h END, '' ORDER BY s.idx)),
+  any_value(f.proof) || coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx <> f.idx), ''), (f.cnt + 15) // 16
+  FROM {name} f JOIN {nodes} s ON s.lev = f.lev AND s.key = f.key AND s.idx // 16 = f.idx // 16 WHERE f.cnt > 1 GROUP BY f.r, f.lev, f.key, f.idx, f.cnt)"""
+
+
+_sql("op11_merkle", f"""WITH RECURSIVE table_ AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS key, {_leaf_sql("text")} AS leaf, {_leaf_sql(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} AS lowered,
+  xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 5 = 0 AS changed FROM documents, table_),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS cnt FROM d),
+{_climb_sql("n", "SELECT 0 AS lev, key, idx, leaf AS h, cnt FROM placed")},
+s AS MATERIALIZED (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS idx, count(*) OVER () AS cnt FROM n WHERE cnt = 1),
+{_climb_sql("m", "SELECT 0 AS lev, '' AS key, idx, h, cnt FROM s")},
+{_fold_sql("f", "SELECT r, 0 AS lev, key, idx, CASE WHEN changed THEN lowered ELSE leaf END AS fold, '' AS proof, cnt FROM placed", "n")},
+{_fold_sql("g", "SELECT f.r, 0 AS lev, '' AS key, s.idx, f.fold, f.proof, s.cnt FROM f JOIN s ON s.key = f.key WHERE f.cnt = 1", "m")}
+SELECT doc_id, leaf, s.h AS subroot, root, sha256(g.proof) AS proof_sha256, g.fold AS folded_root, g.fold = root AS verified
+FROM d JOIN s USING (key) JOIN g ON g.r = d.r AND g.cnt = 1, (SELECT h AS root FROM m WHERE cnt = 1)""")
+
+
+def _codes_sql() -> str:
+    rounds = []
+    for i in range(anchors.ROUNDS + 1):
+        rounds.append(f"""a{i} AS MATERIALIZED (SELECT r, p, min(struct_pack(d := d, e := e)) AS near FROM (SELECT v.r, v.p, b.e, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN b{i} b ON b.p = v.p AND b.j = v.j GROUP BY ALL) GROUP BY r, p)""")
+        if i < anchors.ROUNDS:
+            rounds.append(f"""b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, b.j, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN
+  (SELECT v.p, a.near.e AS e, v.j, CAST(floor(sum(v.x) / count(*)) AS BIGINT) AS x FROM v JOIN a{i} a ON a.r = v.r AND a.p = v.p GROUP BY ALL) m ON m.p = b.p AND m.e = b.e AND m.j = b.j)""")
+    last = anchors.ROUNDS
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding, len(embedding) // {anchors.PARTS} AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, j // w AS p, j % w AS j, CAST(floor({anchors.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM (SELECT r, w, unnest(embedding) AS x, unnest(range(len(embedding))) AS j FROM k)),
+b0 AS (SELECT p, r AS e, j, x FROM v WHERE r < {anchors.ENTRIES}), {", ".join(rounds)},
+c AS (SELECT vec_id, label, code, error FROM k JOIN (SELECT r, string_agg(printf('%02x', near.e), '' ORDER BY p) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a{last} GROUP BY r) USING (r))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(x, ',' ORDER BY p, e, j)) FROM b{last}) AS codebooks_sha256 FROM c"""
+
+
+_sql("op13_anchors", _codes_sql())
