@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from ledgerlark.functions import text as tx
 from ledgerlark.functions.numbers import rnd
 from ledgerlark.functions.scale import exact_quantiles, union_all
 from ledgerlark.operators import clean
+from ledgerlark.operators.identities import identity_shares
 from ledgerlark.operators.quality import duplicate_counts, type_label
 
 # Name patterns that hint at the role of a column.
@@ -337,13 +337,18 @@ def readings(df: DataFrame, found: list[Probe]) -> DataFrame:
 
 
 def run_detectors(df: DataFrame, names: list[str] | None = None, *, keys: set[str] = frozenset(), as_of: str | None = None) -> DataFrame:
-    """All findings of the named column detectors, from one aggregate over the table."""
+    """All findings of the named column detectors: one aggregate for each column, side by side in one job.
+
+    A column's aggregate scans that column only, and its parsers fit a method that the JVM
+    compiles (the readings of all columns in one aggregate did not).
+    """
     chosen = names or list(DETECTORS)
-    found = probes(df, keys=keys, as_of=as_of, wanted=set(chosen))
-    parts = [c for p in found for d in chosen if (c := DETECTORS[d](p)) is not None]
-    if not parts:
-        return df.sparkSession.createDataFrame([], FINDING)
-    return readings(df, found).agg(F.array_compact(F.array(*parts)).alias("f")).select(F.inline("f"))
+    out = []
+    for p in probes(df, keys=keys, as_of=as_of, wanted=set(chosen)):
+        parts = [c for d in chosen if (c := DETECTORS[d](p)) is not None]
+        if parts:
+            out.append(readings(df.select(p.name), [p]).agg(F.array_compact(F.array(*parts)).alias("f")).select(F.inline("f")))
+    return union_all(out) if out else df.sparkSession.createDataFrame([], FINDING)
 
 
 # --- detectors over groups of rows or several columns -------------------------
@@ -444,35 +449,6 @@ def duplicate_keys(df: DataFrame, declared: set[str] = frozenset()) -> DataFrame
     return union_all(out)
 
 
-#: Column triples measured in one aggregate; more take more passes, none is left out.
-TRIPLES_A_PASS = 400
-
-
-def identity_shares(df: DataFrame, columns: list[str], *, relative_to_result: bool = True) -> DataFrame:
-    """Share of rows on which c = a x b and c = a + b hold, for all column triples.
-
-    Every triple is measured on the whole table, many in one wide aggregate.
-    """
-    triples = [(op, r, a, b) for op in ("*", "+") for r in columns
-               for a, b in combinations(sorted(c for c in columns if c != r), 2)]
-    numbers = df.select(*[tx.parse_number(c, ".").alias(c) if kind == "string" else F.col(c).cast("double").alias(c)
-                          for c, kind in df.select(*columns).dtypes])
-
-    def measure(frame: DataFrame, items: list[tuple]) -> list:
-        cols = []
-        for i, (op, r, a, b) in enumerate(items):
-            expected = F.col(a) * F.col(b) if op == "*" else F.col(a) + F.col(b)
-            live = F.when(F.col(r) != 0, F.abs(expected - F.col(r)) / F.abs(F.col(r)) <= 0.01)
-            cols.append(F.struct(F.count(live).alias("n"), F.count_if(live).alias("hits")).alias(f"t{i}"))
-        return list(frame.agg(*cols).first()) if items else []
-
-    exact = [m for i in range(0, len(triples), TRIPLES_A_PASS) for m in measure(numbers, triples[i:i + TRIPLES_A_PASS])]
-    rows = [(columns.index(r), op, r, a, b, m["n"], m["hits"], m["hits"] / m["n"] if m["n"] else 0.0)
-            for (op, r, a, b), m in zip(triples, exact, strict=True)]
-    return df.sparkSession.createDataFrame(
-        rows, "position int, operator string, result string, left string, right string, n long, hits long, share double")
-
-
 def arithmetic_violations(shares: DataFrame) -> DataFrame:
     """The first identity per result column that holds for most rows but not all."""
     most = shares.where("n >= 8 and share >= 0.75 and share < 1.0")

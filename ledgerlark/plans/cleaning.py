@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as tx
 from ledgerlark.functions.numbers import rnd
-from ledgerlark.operators import clean, detect, invariants
+from ledgerlark.operators import clean, detect, identities, invariants
 from ledgerlark.operators.clean import Step
 from ledgerlark.plans.registry import query
 from ledgerlark.plans.tables import table
@@ -586,7 +586,7 @@ _D2 = f"{W}, d2 AS (SELECT quantity, unit, total, total / quantity AS net FROM d
 
 def _shares(spark, sf):
     d = dirty(spark, sf, "quantity", "unit", "total").withColumn("net", F.expr("total / quantity")).drop("_rid")
-    return detect.identity_shares(d, _NUMS)
+    return identities.identity_shares(d, _NUMS)
 
 
 @query("I38_detect_arithmetic_violations", f"""{_D2} SELECT result, operator, "left", "right", round(hits / n, 4) AS share, n - hits AS violations FROM s
