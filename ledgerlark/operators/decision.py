@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ledgerlark.functions.numbers import rnd, rounded, share_pct
 from ledgerlark.functions.scale import exact_quantiles, union_all, with_running
-from ledgerlark.operators.kpi import number, sales_grain
+from ledgerlark.operators.kpi import LINES, line_count, number, sales_grain
 from ledgerlark.operators.series import daily_series
 from ledgerlark.roles import Roles
 
@@ -36,7 +36,7 @@ class Period:
 def coverage(df: DataFrame, roles: Roles) -> DataFrame:
     """First and last day, days with and without data, rows without a date."""
     day = F.to_date(roles.time)
-    per_day = df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    per_day = df.groupBy(day.alias("day")).agg(line_count(df).alias("n"))
     span = F.date_diff(F.max("day"), F.min("day")) + 1
     return per_day.agg(
         F.min("day").alias("first_date"), F.max("day").alias("last_date"), span.alias("days_span"),
@@ -97,7 +97,7 @@ def period_stats(df: DataFrame, roles: Roles, periods: list[Period]) -> DataFram
     rows = in_periods(df, roles.time, periods)
     grain = rows.groupBy("basis", "side", F.col(roles.order).alias("order"), F.col(roles.customer).alias("customer")).agg(
         F.sum(number(roles.revenue)).alias("revenue"), F.sum(number(roles.quantity)).alias("units"),
-        F.count(F.lit(1)).alias("rows"),
+        line_count(rows).alias("rows"),
     )
     stats = grain.groupBy("basis", "side").agg(
         F.sum("revenue").alias("revenue"), F.count_distinct("order").alias("orders"),
@@ -212,20 +212,52 @@ def close(left: Column, right: Column) -> Column:
     return F.abs(left - right) <= F.greatest(F.abs(right) * 0.01, F.lit(0.01))
 
 
+#: The checks of a line as sums over lines (or the least or most of them), so that those of two tables add up.
+CHECKS = {"__profit_hits": "sum", "__line_cost_hits": "sum", "__unit_cost_hits": "sum", "__gross": "sum", "__net": "sum", "__discounted": "sum", "__percent_hits": "sum",
+          "__fraction_hits": "sum", "__discount_most": "max", "__discount_least": "min", "__discount_sum": "sum"}
+
+
+def cost_checks(roles: Roles) -> list[Column]:
+    """Aggregates over lines: on how many cost and profit explain the revenue."""
+    rev, out = number(roles.revenue), []
+    if roles.profit and roles.cost:
+        out.append(F.count_if(close(number(roles.profit), rev - number(roles.cost))).alias("__profit_hits"))
+    if roles.cost:
+        out.append(F.count_if(number(roles.cost) <= rev + 0.01).alias("__line_cost_hits"))
+        if roles.quantity:
+            out.append(F.count_if(number(roles.cost) * number(roles.quantity) <= rev + 0.01).alias("__unit_cost_hits"))
+    return out
+
+
+def discount_checks(roles: Roles) -> list[Column]:
+    """Aggregates over lines: money before and after the discount, and on how many lines each scale explains the revenue."""
+    if not (roles.discount and roles.unit_price and roles.quantity):
+        return []
+    rev, raw, gross = number(roles.revenue), number(roles.discount), number(roles.unit_price) * number(roles.quantity)
+    out = {"__gross": F.sum(gross), "__net": F.sum(rev), "__discounted": F.count_if(raw > 0), "__percent_hits": F.count_if(close(rev, gross * (1 - raw / 100.0))),
+           "__fraction_hits": F.count_if(close(rev, gross * (1 - raw))), "__discount_most": F.max(raw), "__discount_least": F.min(raw), "__discount_sum": F.sum(F.when(raw > 0, raw))}
+    return [v.alias(k) for k, v in out.items()]
+
+
+def merged_check(name: str) -> Column:
+    return {"sum": F.sum, "min": F.min, "max": F.max}[CHECKS[name]](name).alias(name)
+
+
+def line_checks(df: DataFrame, checks: list[Column]) -> DataFrame:
+    """One row: the number of lines and their checks; a rollup keeps these, and they are added up."""
+    if LINES in df.columns:
+        checks = [merged_check(c) for c in CHECKS if c in df.columns]
+    return df.agg(line_count(df).alias("rows"), *checks)
+
+
 def profit_gate(df: DataFrame, roles: Roles) -> DataFrame:
     """One row: how well each reading of cost and profit holds, and the one accepted."""
-    rev = number(roles.revenue)
-    cost = number(roles.cost) if roles.cost else F.lit(None).cast("double")
-    qty = number(roles.quantity) if roles.quantity else F.lit(None).cast("double")
-    profit = number(roles.profit) if roles.profit else F.lit(None).cast("double")
+    found = line_checks(df, cost_checks(roles))
 
-    def holds(test: Column) -> Column:
-        return F.avg(F.when(test.isNotNull(), F.when(test, 1.0).otherwise(0.0)))
+    def holds(name: str) -> Column:
+        return F.col(name) / F.nullif(F.col("rows"), F.lit(0)) if name in found.columns else F.lit(None).cast("double")
 
-    shares = df.agg(
-        holds(close(profit, rev - cost)).alias("profit_share"), holds(cost <= rev + 0.01).alias("line_cost_share"),
-        holds(cost * qty <= rev + 0.01).alias("unit_cost_share"),
-    )
+    shares = found.select(*[holds(f"__{c}_hits").alias(f"{c}_share") for c in ("profit", "line_cost", "unit_cost")])
     enough = [F.col(c) >= IDENTITY_SHARE for c in ("profit_share", "line_cost_share", "unit_cost_share")]
     basis = (
         F.when(F.lit(bool(roles.profit and not roles.cost)), "profit column")
@@ -247,11 +279,22 @@ def with_line_profit(df: DataFrame, roles: Roles) -> tuple[DataFrame, str]:
     return df.withColumn("line_profit", value), basis
 
 
+#: What a rollup keeps beside revenue for each way to read cost.
+UNIT_COST = "__unit_cost"
+
+
 def product_profit(df: DataFrame, roles: Roles) -> DataFrame:
-    """Revenue and profit per product, with the portfolio totals beside them."""
-    with_profit, _ = with_line_profit(df, roles)
-    per = with_profit.groupBy(F.col(roles.product).alias("product")).agg(
-        F.sum(number(roles.revenue)).alias("rev"), F.sum("line_profit").alias("profit"))
+    """Revenue and profit per product, with the portfolio totals beside them; *df*: lines, or a rollup of them per product."""
+    if LINES in df.columns:
+        basis = profit_gate(df, roles).first()["basis"]
+        rev = F.sum(number(roles.revenue))
+        profit = {"profit column": lambda: F.sum(number(roles.profit)), "line cost": lambda: rev - F.sum(number(roles.cost)), "unit cost": lambda: rev - F.sum(number(UNIT_COST))}.get(
+            basis, lambda: F.lit(None).cast("double"))()
+        per = df.groupBy(F.col(roles.product).alias("product")).agg(rev.alias("rev"), profit.alias("profit"))
+    else:
+        with_profit, _ = with_line_profit(df, roles)
+        per = with_profit.groupBy(F.col(roles.product).alias("product")).agg(
+            F.sum(number(roles.revenue)).alias("rev"), F.sum("line_profit").alias("profit"))
     totals = per.agg(F.struct(F.sum("rev").alias("rev"), F.sum("profit").alias("profit"))).scalar()
     overall = F.col("t.profit") / F.nullif(F.col("t.rev"), F.lit(0.0)) * 100
     return per.withColumn("t", totals).withColumn("overall_pct", overall).withColumn(
@@ -300,23 +343,18 @@ def margin_products(per: DataFrame, limit: int = 5) -> DataFrame:
 def discount_given(df: DataFrame, roles: Roles) -> DataFrame:
     """Discount in money, once price x quantity x (1 - discount) is shown to be revenue.
 
-    Both scales are tested in the same pass; no row comes back when neither holds.
+    Both scales are tested in the same pass (or read from a rollup's checks); no row comes back when neither holds.
     """
-    raw, rev = number(roles.discount), number(roles.revenue)
-    gross = number(roles.unit_price) * number(roles.quantity)
+    rows = F.nullif(F.col("rows"), F.lit(0))
 
     def scale(divisor: float, tag: str) -> list[Column]:
-        frac = raw / divisor
         return [
-            F.avg(F.when(close(rev, gross * (1 - frac)), 1.0).otherwise(0.0)).alias(f"share_{tag}"),
-            F.max(frac).alias(f"max_{tag}"), F.min(frac).alias(f"min_{tag}"),
-            F.avg(F.when(frac > 0, frac)).alias(f"avg_{tag}"),
+            (F.col(f"__{tag}_hits") / rows).alias(f"share_{tag}"), (F.col("__discount_most") / divisor).alias(f"max_{tag}"),
+            (F.col("__discount_least") / divisor).alias(f"min_{tag}"), (F.col("__discount_sum") / F.nullif(F.col("__discounted"), F.lit(0)) / divisor).alias(f"avg_{tag}"),
         ]
 
-    wide = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(gross).alias("gross"), F.sum(rev).alias("net"),
-        F.count_if(raw > 0).alias("discounted"), *scale(100.0, "percent"), *scale(1.0, "fraction"),
-    )
+    wide = line_checks(df, discount_checks(roles)).select(
+        "rows", F.col("__gross").alias("gross"), F.col("__net").alias("net"), F.col("__discounted").alias("discounted"), *scale(100.0, "percent"), *scale(1.0, "fraction"))
 
     def proven(tag: str) -> Column:
         return (F.col(f"max_{tag}") <= 1) & (F.col(f"min_{tag}") >= 0) & (F.col(f"share_{tag}") >= IDENTITY_SHARE)

@@ -8,7 +8,7 @@ from ledgerlark.functions.numbers import rnd
 from ledgerlark.operators import decision as dm
 from ledgerlark.operators import kpi, quality, series
 from ledgerlark.plans.registry import query
-from ledgerlark.plans.tables import FACT_SQL, ROLES, fact, table
+from ledgerlark.plans.tables import COSTED, FACT_SQL, ROLES, fact, sales, table
 
 WITH = f"WITH {FACT_SQL}"
 
@@ -49,8 +49,11 @@ SELECT (SELECT round(sum(revenue), 2) FROM fact) AS revenue,
          AS growth_trend_direction,
        (SELECT count(DISTINCT product) FROM fact) AS product_count""")
 def kpi_block(spark, sf):
-    lines = fact(spark, sf, "order_id", "customer_id", "ts", "product", "revenue", "quantity")
-    return kpi.kpi_block(lines, ROLES)
+    return _kpis(sales(spark, sf))
+
+
+def _kpis(r):
+    return kpi.kpi_block(r.orders, ROLES, r.products)
 
 
 @query("A5_read_parquet", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity
@@ -118,14 +121,17 @@ def _top_by_dimension(top: int) -> str:
 
 @query("D5_category_revenue", _top_by_dimension(20))
 def category_revenue(spark, sf):
-    lines = fact(spark, sf, *_DIMS, "revenue")
-    return kpi.revenue_by_dimensions(lines, ROLES, list(_DIMS), 20)
+    return _by_dimension(sales(spark, sf), 20)
+
+
+def _by_dimension(r, top):
+    """The dimensions of a product from the sums per product, the others from those per order."""
+    return kpi.revenue_by_dimensions(r.products, ROLES, ["brand", "ptype"], top, (r.orders, ["mktsegment", "nation", "priority"]))
 
 
 @query("D21_channel_performance", _top_by_dimension(8))
 def channel_performance(spark, sf):
-    lines = fact(spark, sf, *_DIMS, "revenue")
-    return kpi.revenue_by_dimensions(lines, ROLES, list(_DIMS), 8)
+    return _by_dimension(sales(spark, sf), 8)
 
 
 @query("F1_ranked_products", f"""{WITH}, p AS (SELECT product, sum(revenue) AS rev FROM fact GROUP BY 1)
@@ -198,7 +204,7 @@ def series_stats(spark, sf):
 
 
 def _daily(spark, sf):
-    return series.daily_series(fact(spark, sf, "ts", "revenue"), ROLES)
+    return series.daily_series(sales(spark, sf).orders, ROLES)
 
 
 @query("D9_trend", f"""{WITH}, {DAILY_SQL}
@@ -264,16 +270,15 @@ def _periods(spark, sf):
     return dm.comparison_periods(*dm.date_bounds(fact(spark, sf, "ts"), "ts"))
 
 
-def _period_stats(spark, sf):
-    lines = fact(spark, sf, "order_id", "customer_id", "ts", "revenue", "quantity")
-    return dm.period_stats(lines, ROLES, _periods(spark, sf))
+def _period_stats(orders):
+    return dm.period_stats(orders, ROLES, dm.comparison_periods(*dm.date_bounds(orders, "ts")))
 
 
 @query("D10_period_stats", f"""{WITH}, {PERIODS_SQL}
 SELECT basis, side, "start", "end", days, round(revenue, 2) AS revenue, orders, customers, round(units, 2) AS units,
        round(aov, 2) AS aov, rows FROM stats""")
 def period_stats(spark, sf):
-    return dm.rounded_period_stats(_period_stats(spark, sf))
+    return dm.rounded_period_stats(_period_stats(sales(spark, sf).orders))
 
 
 BRIDGE_SQL = """b AS (SELECT c.basis, c.revenue AS rc, p.revenue AS rp, c.orders AS oc, p.orders AS op, c.aov AS ac, p.aov AS ap,
@@ -288,7 +293,11 @@ bridge AS (SELECT basis, round(rc - rp, 2) AS revenue_change, round((rc - rp) /
 
 @query("D11_revenue_bridge", f"{WITH}, {PERIODS_SQL}, {BRIDGE_SQL} SELECT * FROM bridge")
 def revenue_bridge(spark, sf):
-    return dm.bridge(_period_stats(spark, sf))
+    return _bridge(sales(spark, sf))
+
+
+def _bridge(r):
+    return dm.bridge(_period_stats(r.orders))
 
 
 def _pareto_sql(entity: str, kind: str) -> str:
@@ -311,8 +320,14 @@ pareto_{kind} AS (SELECT '{kind}' AS kind, count(*) AS total_count, round(any_va
 @query("D12_concentration", f"""{WITH}, {_pareto_sql('product', 'product')}, {_pareto_sql('customer_id', 'customer')}
 SELECT * FROM pareto_product UNION ALL SELECT * FROM pareto_customer""")
 def concentration(spark, sf):
-    return dm.concentration(fact(spark, sf, "product", "revenue"), "product", "revenue", "product").unionByName(
-        dm.concentration(fact(spark, sf, "customer_id", "revenue"), "customer_id", "revenue", "customer"))
+    r = sales(spark, sf)
+    return _pareto(r, "product").unionByName(_pareto(r, "customer"))
+
+
+def _pareto(r, kind):
+    if kind == "product":
+        return dm.concentration(r.products, "product", "revenue", kind)
+    return dm.concentration(r.orders, "customer_id", "revenue", kind)
 
 
 def _momentum_side(label: str, sign: str, order: str) -> str:
@@ -376,13 +391,17 @@ margin AS (SELECT round(any_value(trev), 2) AS revenue, round(any_value(tprofit)
   round(sum(rev * overall / 100 - profit) FILTER (WHERE rev >= trev * 0.01 AND pct < overall - 2), 2) AS margin_drag_uplift FROM mm)"""
 
 
-def _product_profit(spark, sf):
-    return dm.product_profit(fact(spark, sf, "product", "revenue", "quantity", "cost"), _with_cost(cost="cost"))
+def _product_profit(r):
+    return dm.product_profit(r.products, COSTED)
 
 
 @query("D14_margin_summary", f"{WITH}, {MARGIN_SQL} SELECT * FROM margin")
 def margin_summary(spark, sf):
-    return dm.margin_summary(_product_profit(spark, sf))
+    return _margin(sales(spark, sf))
+
+
+def _margin(r):
+    return dm.margin_summary(_product_profit(r))
 
 
 def _margin_list(label: str, keep: str, order: str) -> str:
@@ -396,7 +415,7 @@ FROM mm WHERE product IS NOT NULL AND {keep} QUALIFY rank <= 5"""
     _margin_list('loss_making', 'profit < 0', 'profit'),
     _margin_list('drag', 'rev >= trev * 0.01 AND pct < overall - 2', 'rev DESC')])}""")
 def margin_products(spark, sf):
-    return dm.margin_products(_product_profit(spark, sf))
+    return dm.margin_products(_product_profit(sales(spark, sf)))
 
 
 DISCOUNT_SQL = """g AS (SELECT count(*) AS n, sum(unit_price * quantity) AS gross, sum(revenue) AS net,
@@ -413,7 +432,11 @@ disc AS (SELECT CASE WHEN p >= 0.95 THEN 'percent' ELSE 'fraction' END AS scale,
 
 @query("D15_discount_given", f"{WITH}, {DISCOUNT_SQL} SELECT * FROM disc")
 def discount_given(spark, sf):
-    return dm.discount_given(fact(spark, sf, "revenue", "quantity", "unit_price", "discount"), ROLES)
+    return _discount(sales(spark, sf))
+
+
+def _discount(r):
+    return dm.discount_given(r.products, ROLES)
 
 
 WEEKDAY_SQL = """wd AS (SELECT dayname(day) AS d, avg(y) AS m, count(*) AS k, sum(y) AS s FROM daily GROUP BY 1),
@@ -427,7 +450,11 @@ weekday AS (SELECT round(n / 7, 1) AS weeks_covered, round(o, 2) AS avg_daily_re
 
 @query("D16_weekday_rhythm", f"{WITH}, {DAILY_SQL}, {WEEKDAY_SQL} SELECT * FROM weekday")
 def weekday(spark, sf):
-    return dm.weekday_rhythm(dm.weekday_days(fact(spark, sf, "ts", "revenue"), ROLES))
+    return _weekday(sales(spark, sf))
+
+
+def _weekday(r):
+    return dm.weekday_rhythm(dm.weekday_days(r.orders, ROLES))
 
 
 REPEAT_SQL = """repeat_e AS (SELECT count(*) AS customers, count(*) FILTER (WHERE n >= 2) AS repeat_customers,
@@ -443,7 +470,11 @@ REPEAT_SQL = """repeat_e AS (SELECT count(*) AS customers, count(*) FILTER (WHER
 
 @query("D17_repeat_economics", f"{WITH}, {GRAIN_SQL}, {REPEAT_SQL} SELECT * FROM repeat_e")
 def repeat_economics(spark, sf):
-    return dm.repeat_economics(fact(spark, sf, "order_id", "customer_id", "ts", "revenue", "quantity"), ROLES)
+    return _repeat(sales(spark, sf))
+
+
+def _repeat(r):
+    return dm.repeat_economics(r.orders, ROLES)
 
 
 SCENARIOS_SQL = """scen AS (
@@ -461,10 +492,8 @@ UNION ALL SELECT 'discount_recapture', discount_given, 'discount-policy review'
 @query("D18_scenarios", f"""{WITH}, {DAILY_SQL}, {GRAIN_SQL}, {PERIODS_SQL}, {BRIDGE_SQL}, {_pareto_sql('product', 'product')},
 {MARGIN_SQL}, {DISCOUNT_SQL}, {WEEKDAY_SQL}, {REPEAT_SQL}, {SCENARIOS_SQL} SELECT * FROM scen""")
 def scenarios(spark, sf):
-    return dm.scenarios(
-        bridges=revenue_bridge(spark, sf), weekday=weekday(spark, sf), repeat=repeat_economics(spark, sf),
-        products=dm.concentration(fact(spark, sf, "product", "revenue"), "product", "revenue", "product"),
-        margin=margin_summary(spark, sf), discount=discount_given(spark, sf))
+    r = sales(spark, sf).stored()
+    return dm.scenarios(bridges=_bridge(r), weekday=_weekday(r), repeat=_repeat(r), products=_pareto(r, "product"), margin=_margin(r), discount=_discount(r))
 
 
 @query("D19_coverage", f"""{WITH} SELECT CAST(min(ts) AS DATE) AS first_date, CAST(max(ts) AS DATE) AS last_date,
@@ -473,7 +502,7 @@ def scenarios(spark, sf):
   count(*) FILTER (WHERE ts IS NULL) AS rows_without_date,
   round((CAST(max(ts) AS DATE) - CAST(min(ts) AS DATE) + 1) / 30.44, 1) AS months_span FROM fact""")
 def coverage(spark, sf):
-    return dm.coverage(fact(spark, sf, "ts"), ROLES)
+    return dm.coverage(sales(spark, sf).orders, ROLES)
 
 
 @query("F6_movers_with_floor", f"""{WITH}, {PERIODS_SQL},

@@ -16,7 +16,7 @@ from ledgerlark.operators import kpi, monitor, quality
 from ledgerlark.plans import metrics as mq
 from ledgerlark.plans.metrics import BRIDGE_SQL, DAILY_SQL, DISCOUNT_SQL, GRAIN_SQL, MARGIN_SQL, PERIODS_SQL, REPEAT_SQL, WEEKDAY_SQL, _pareto_sql
 from ledgerlark.plans.registry import query
-from ledgerlark.plans.tables import FACT_SQL, ROLES, fact, table
+from ledgerlark.plans.tables import FACT_SQL, ROLES, fact, sales, table
 
 W = f"WITH {FACT_SQL}"
 
@@ -166,12 +166,14 @@ _SPEC = {
 
 
 def _figures(spark, sf):
-    lines = fact(spark, sf, "order_id", "customer_id", "ts", "revenue", "quantity")
+    return _figures_of(sales(spark, sf).stored())
+
+
+def _figures_of(r):
+    """All sections from one stored rollup: the lines are scanned twice, for orders and for products."""
     sections = {
-        "kpi": mq.kpi_block(spark, sf), "month": mq.revenue_bridge(spark, sf).where("basis = 'last_month'"),
-        "products": dm.concentration(fact(spark, sf, "product", "revenue"), "product", "revenue", "product"),
-        "customers": dm.concentration(fact(spark, sf, "customer_id", "revenue"), "customer_id", "revenue", "customer"),
-        "margin": mq.margin_summary(spark, sf), "discount": mq.discount_given(spark, sf), "repeat": dm.repeat_economics(lines, ROLES), "weekday": mq.weekday(spark, sf)}
+        "kpi": mq._kpis(r), "month": mq._bridge(r).where("basis = 'last_month'"), "products": mq._pareto(r, "product"), "customers": mq._pareto(r, "customer"),
+        "margin": mq._margin(r), "discount": mq._discount(r), "repeat": mq._repeat(r), "weekday": mq._weekday(r)}
     out = None
     for name, section in sections.items():
         part = monitor.figures(section, _SPEC[name])

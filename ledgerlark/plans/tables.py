@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.rollup import Rollup, order_sums, product_sums
 from ledgerlark.roles import Roles
 
 ROLES = Roles(
@@ -13,6 +16,9 @@ ROLES = Roles(
     unit_price="unit_price", discount="discount", name="customer_name",
 )
 
+#: the same with the cost that the margin is measured by
+COSTED = replace(ROLES, cost="cost")
+
 #: fact column -> (table that carries it, expression)
 FACT_COLUMNS = {
     "order_id": ("orders", "o_orderkey"),
@@ -63,6 +69,22 @@ def fact(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return out.select(*[F.expr(e).alias(c) for c, (_, e) in wanted.items()])
 
 
+def sales(spark: SparkSession, sf_dir: str) -> Rollup:
+    """The rollup of the order lines: one scan for orders, one for products, both summed before they are joined."""
+    asked = {c: FACT_COLUMNS[c][1] for c in ("revenue", "quantity", "cost", "unit_price", "discount")}
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *[F.expr(e).alias(c) for c, e in asked.items()])
+    orders = (order_sums(lines, COSTED, ["l_orderkey"]).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+              .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"))
+    products = product_sums(lines, COSTED, ["l_partkey"]).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    order_keys, product_keys = ("order_id", "customer_id", "ts", "priority", "mktsegment", "nation"), ("product", "brand", "ptype")
+
+    def named(frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        own = [c for c in (*asked, *frame.columns) if c in (COSTED.revenue, COSTED.quantity, COSTED.cost) or c.startswith("__")]
+        return frame.select(*[F.expr(FACT_COLUMNS[c][1]).alias(c) for c in keys], *[c for c in dict.fromkeys(own) if c in frame.columns])
+
+    return Rollup(named(orders, order_keys), named(products, product_keys), order_keys, product_keys)
+
+
 FACT_SQL = """fact AS (
   SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS ts, o_orderpriority AS priority,
          o_orderstatus AS status, p_name AS product, p_brand AS brand, p_type AS ptype, p_retailprice AS retail,
