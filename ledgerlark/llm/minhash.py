@@ -14,7 +14,7 @@ How the work is dealt out
 3. Every node is tried against one hub: the best connected node of all its keys.
    Confirmed pairs become components; a key inside one component is finished.
 4. Nodes around one hub that are not linked with it are compared with all nodes around it, in blocks
-   of bounded size that give links only; the linked nodes are not compared with each other.
+   of bounded size that give one link for each such node; the linked nodes are not compared with each other.
 5. Nodes of different components and hubs that share a key are paired, unless their
    sizes or their 64-bit sketches rule a link out.
 """
@@ -173,15 +173,26 @@ def _overlaps(table: list[np.ndarray], probes: list[np.ndarray]) -> np.ndarray:
 
 def _blocks(percent: int):
     def links(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        probe, ids = group.column("probe").to_numpy(), group.column("node").to_numpy()
+        """One link for each ``out`` member: to the hub if its links lead to a node linked with the hub, else to its smallest."""
+        probe, out, ids = (group.column(c).to_numpy() for c in ("probe", "out", "node"))
         sets = [np.asarray(x) for x in group.column("members").to_numpy()]
         p, t = np.flatnonzero(probe), np.flatnonzero(~probe)
         if not len(p) or not len(t):
             return ids[:0], ids[:0]
         sizes = np.array([len(x) for x in sets])
         both = _overlaps([sets[i] for i in t], [sets[i] for i in p])
-        i, j = np.nonzero((100 * both >= percent * (sizes[p][:, None] + sizes[t][None, :] - both)) & (ids[p][:, None] != ids[t][None, :]))
-        return ids[p[i]], ids[t[j]]
+        linked = (100 * both >= percent * (sizes[p][:, None] + sizes[t][None, :] - both)) & (ids[p][:, None] != ids[t][None, :])
+        first, at = np.iinfo(np.int64).min, np.iinfo(np.int64).max  # below and above every id: the hub's own component, and none
+        one, two = ids[p].copy(), np.where(out[t], ids[t], first)
+        while True:  # the smallest label spreads along the links
+            new_one = np.minimum(one, np.where(linked, two[None, :], at).min(axis=1))
+            new_two = np.minimum(two, np.where(linked, new_one[:, None], at).min(axis=0))
+            if (new_one == one).all() and (new_two == two).all():
+                break
+            one, two = new_one, new_two
+        node, label = np.concatenate([ids[p], ids[t][out[t]]]), np.concatenate([one, two[out[t]]])
+        label = np.where(label == first, int(group.column("hub")[0].as_py()), label)
+        return node[label != node], label[label != node]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (hub, t, p); a group may go on in the next batch."""
@@ -208,13 +219,16 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _around_hubs(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the nodes in *around* (``hub, node, out``) that are ``out`` with all nodes of the same hub."""
+    """Links that join the nodes of *around* (``hub, node, out``) that are ``out`` with all they reach around the same hub.
+
+    All pairs are compared, but a block gives one link for each of its ``out`` members, most of them the same one to the hub.
+    """
     counts = around.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("ts"), F.ceil(F.count_if("out") / BLOCK).alias("ps")).filter("ps > 0")
     around = stored(around.join(counts, "hub"))
     t, p = F.pmod(F.xxhash64("node"), F.col("ts")), F.pmod(F.xxhash64("node", F.lit(7)), F.col("ps"))
     every = [F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("ts", "ps")]
-    rows = (around.select("hub", "node", F.lit(False).alias("probe"), t.alias("t"), F.explode(every[1]).alias("p"))
-            .unionByName(around.filter("out").select("hub", "node", F.lit(True).alias("probe"), F.explode(every[0]).alias("t"), p.alias("p"))))
+    rows = (around.select("hub", "node", "out", F.lit(False).alias("probe"), t.alias("t"), F.explode(every[1]).alias("p"))
+            .unionByName(around.filter("out").select("hub", "node", "out", F.lit(True).alias("probe"), F.explode(every[0]).alias("t"), p.alias("p"))))
     full = rows.join(sets.withColumnRenamed("doc_id", "node"), "node")
     return stored(full.repartition("hub", "t", "p").sortWithinPartitions("hub", "t", "p").mapInArrow(_blocks(percent), "a long, b long").distinct())
 
