@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import row_column, text_of
+from ledgerlark.llm.common import row_column, stored, text_of
 
 #: Weights follow the natural shares to this power: 1 keeps them, 0 makes sources equal.
 TEMPERATURE = 0.5
@@ -21,6 +21,9 @@ SEED = 17
 MOST = 500.0
 #: Copies that one row of a source with several parts gives in one go; its blocks are dealt out.
 BLOCK = 1000
+#: Numbers (of 8 bytes) that the table of sources may hold to be sent to all tasks; a larger one is joined in salted parts.
+BROADCAST = 1 << 20
+SALTS = 32
 
 
 def _hashed(*parts: Column, digits: int) -> Column:
@@ -31,7 +34,7 @@ def rates(docs: DataFrame, source_col: str, text_col: str, weights: dict[str, fl
     """``source, rate, parts, steps`` and the largest rate: per source its mean, the number of equal Poisson
     parts it is the sum of, and a part's cumulative probabilities to compare with.
 
-    The table has a row for each source, and the planner decides by its size how to join it.
+    The table has a row for each source.
     """
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.length(text_of(text_col)) + 1).alias("size"))
     if weights is None:
@@ -68,7 +71,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     table.  The four new columns get a leading underscore where *docs* has such a name.
     """
     table, largest = rates(docs, source_col, text_col, weights, epochs)
-    table = table.select(*[F.col(c).alias(f"__{c}") for c in ("source", "rate", "parts", "steps")])
+    table = stored(table.select(*[F.col(c).alias(f"__{c}") for c in ("source", "rate", "parts", "steps")]))
+    few = (table.agg(F.sum(F.size("__steps") + 8)).first()[0] or 0) <= BROADCAST
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
 
     def uniform(*more: Column) -> Column:
@@ -78,7 +82,12 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return F.aggregate(us, F.lit(0).cast("long"), lambda n, u: n + F.size(F.filter("__steps", lambda c: u >= c)))
 
     def drawn(chosen: DataFrame, us: Column) -> DataFrame:
-        joined = docs.join(chosen, docs[source_col].eqNullSafe(F.col("__source")))
+        if few:
+            joined = docs.join(F.broadcast(chosen), docs[source_col].eqNullSafe(F.col("__source")))
+        else:  # a source's documents are dealt to several tasks, its row goes to all of them
+            salted = docs.withColumn("__salt", F.pmod(F.xxhash64(key, text_col), F.lit(SALTS)))
+            chosen = chosen.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+            joined = salted.join(chosen, salted[source_col].eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__of"))).drop("__salt", "__of")
         return joined.withColumn("__u", us).withColumn("__n", count(F.col("__u"))).drop("__u", "__steps").filter("__n > 0")
 
     zero = F.lit(0).cast("long")
