@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlark.functions.numbers import fingerprint
+from ledgerlark.sources.buckets import Buckets, newest
 from ledgerlark.sources.store import exists
 
 
@@ -47,17 +48,18 @@ def metric_windows(events: DataFrame, *, ts: str = "ts", value: str = "value", g
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), group, "n", "total", "newest"))
 
 
-def keep_windows(windows: DataFrame, path: str) -> StreamingQuery:
-    """Every batch writes the windows it changed, open ones too; the newest batch holds a window's current values."""
+def keep_windows(windows: DataFrame, path: str, group: str = "event_type") -> StreamingQuery:
+    """Every batch replaces the windows it changed, open ones too; buckets of other windows are left alone."""
+    keys = ["start", "end", group]
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
+        Buckets(batch.sparkSession, f"{path}/windows", keys).upsert(batch, batch_id, newest(keys))
 
     return run(windows.writeStream.outputMode("update").foreachBatch(store), path)
 
 
 def current_windows(spark: SparkSession, path: str, group: str = "event_type") -> DataFrame:
-    changes = spark.read.parquet(f"{path}/windows")
-    return changes.groupBy("start", "end", group).agg(F.max_by(F.struct("n", "total", "newest"), "batch").alias("v")).select("start", "end", group, "v.*")
+    return Buckets(spark, f"{path}/windows", ["start", "end", group]).read()
 
 
 def _deliverable(cooldown: int):
@@ -79,31 +81,56 @@ def _deliverable(cooldown: int):
     return run
 
 
-def deliver_alerts(alerts: DataFrame, path: str, *, ts: str = "ts", cooldown_seconds: int = 86_400) -> StreamingQuery:
+def deliver_alerts(alerts: DataFrame, path: str, *, ts: str = "ts", cooldown_seconds: int = 86_400, delay_seconds: int = 0) -> StreamingQuery:
     """Write an alert to ``<path>/alerts`` unless its fingerprint was delivered less than a cooldown before.
 
-    Alerts are taken in time order within a batch, and the last delivery is read back from what
-    earlier batches wrote, so the outcome does not depend on how ordered files fall into batches.
-    An alert older than the last delivery of its fingerprint is not delivered.
+    Alerts are judged in time order.  *delay_seconds* holds the newest ones back until the newest alert seen is that much
+    younger, so files may come in any order within the delay and give the same deliveries; without a delay the order holds within a batch.
+    The last deliveries are a bucketed table: a batch reads the buckets of its fingerprints, and entries too old
+    to hold anything back are dropped from them.
+
+    An alert older than the last delivery of its fingerprint is not delivered.  One that comes more than a cooldown
+    behind what has been judged is late: dropped, and counted (`late_alerts`).
     """
-    cooldown = cooldown_seconds * 1_000_000
-
-    def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
-        if exists(spark, f"{path}/alerts"):
-            oldest = rows.agg(F.min("__at")).first()[0]
-            before = spark.read.parquet(f"{path}/alerts").where(F.col("batch") != number).withColumn("__last", F.unix_micros(F.col(ts).cast("timestamp")))
-            before = before.where(F.col("__last") > (oldest or 0) - cooldown).groupBy("fingerprint").agg(F.max("__last").alias("__last"))
-            rows = rows.join(before, "fingerprint", "left")
-        else:
-            rows = rows.withColumn("__last", F.lit(None).cast("long"))
-        ordered = rows.repartition("fingerprint").sortWithinPartitions("fingerprint", "__at", *[c for c in alerts.columns if c not in ("fingerprint", ts)])
+    cooldown, delay = cooldown_seconds * 1_000_000, delay_seconds * 1_000_000
+
+    def batch(fresh: DataFrame, number: int) -> None:
+        spark = fresh.sparkSession
+        last = Buckets(spark, f"{path}/last", ["fingerprint"])
+        found = last.published(number)
+        facts = found[2] if found else {}
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        held = fresh.persist()
+        rows = held.withColumn("__at", at)
+        judged = int(facts["judged"]) if "judged" in facts else None
+        seen = rows.agg(F.max("__at").alias("newest"), F.count_if(F.col("__at") < (judged - cooldown if judged is not None else None)).alias("late")).first()
+        mark = max(m for m in (judged, seen["newest"] - delay if seen["newest"] is not None else None, -(1 << 62)) if m is not None)
+        if judged is not None:
+            rows = rows.where(F.col("__at") >= judged - cooldown)
+        if found and exists(spark, f"{path}/waiting/batch={found[0]}"):
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/waiting/batch={found[0]}"))
+        rows.where(F.col("__at") > mark).write.mode("overwrite").parquet(f"{path}/waiting/batch={number}")
+        ready = rows.where(F.col("__at") <= mark)
+        before = last.rows_around(ready, number)
+        ready = ready.join(before, "fingerprint", "left") if before is not None else ready.withColumn("__last", F.lit(None).cast("long"))
+        ordered = ready.repartition("fingerprint").sortWithinPartitions("fingerprint", "__at", *[c for c in alerts.columns if c not in ("fingerprint", ts)])
         ordered.mapInArrow(_deliverable(cooldown), ordered.schema).drop("__at", "__last").write.mode("overwrite").parquet(f"{path}/alerts/batch={number}")
+        sent = spark.read.schema(alerts.schema).parquet(f"{path}/alerts/batch={number}").withColumn("__at", at)
+        # an alert still to come is at most a cooldown older than the mark, so an older entry than this holds nothing back
+        kept = lambda both: both.groupBy("fingerprint").agg(F.max("__last").alias("__last")).where(F.col("__last") > mark - 2 * cooldown)
+        told = {"judged": str(mark), "late": str(int(facts.get("late", 0)) + seen["late"])}
+        last.upsert(sent.groupBy("fingerprint").agg(F.max("__at").alias("__last")), number, kept, facts=told)
+        held.unpersist()
 
     return run(alerts.writeStream.foreachBatch(batch), path)
 
 
+def late_alerts(spark: SparkSession, path: str) -> int:
+    """Alerts that came too late to be judged."""
+    found = Buckets(spark, f"{path}/last", ["fingerprint"]).published()
+    return int(found[2].get("late", 0)) if found else 0
+
+
 def alerts_of(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", fingerprint("event", F.col("user_id"), F.col("event_type")).alias("fingerprint"))
 
@@ -114,32 +141,28 @@ def customer_counters(events: DataFrame, *, key: str = "user_id", ts: str = "ts"
 
 
 def keep_counters(counters: DataFrame, path: str) -> StreamingQuery:
-    """Every batch writes the customers it changed; the newest batch holds a customer's current values."""
+    """Every batch replaces the customers it changed; buckets without any of them are left alone."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        Buckets(batch.sparkSession, f"{path}/counters", ["customer"]).upsert(batch, batch_id, newest(["customer"]))
 
     return run(counters.writeStream.outputMode("update").foreachBatch(store), path)
 
 
 def current_counters(spark: SparkSession, path: str) -> DataFrame:
-    changes = spark.read.parquet(f"{path}/changes")
-    return changes.groupBy("customer").agg(F.max_by(F.struct("last", "events"), "batch").alias("v")).select("customer", "v.last", "v.events")
+    return Buckets(spark, f"{path}/counters", ["customer"]).read().select("customer", "last", "events")
 
 
 def keep_distinct_orders(events: DataFrame, path: str, *, key: str, order: str) -> StreamingQuery:
-    """New (customer, order) pairs per batch; the pairs seen before are files, not state in memory."""
+    """All (customer, order) pairs; a batch reads the buckets of its customers, not what was seen of others."""
     def store(batch: DataFrame, batch_id: int) -> None:
         pairs = batch.select(F.col(key).alias("customer"), F.col(order).alias("order")).distinct()
-        if exists(batch.sparkSession, f"{path}/pairs"):
-            seen = batch.sparkSession.read.parquet(f"{path}/pairs").where(F.col("batch") < batch_id)
-            pairs = pairs.join(seen, ["customer", "order"], "left_anti")
-        pairs.write.mode("overwrite").parquet(f"{path}/pairs/batch={batch_id}")
+        Buckets(batch.sparkSession, f"{path}/pairs", ["customer"]).upsert(pairs, batch_id, lambda both: both.select("customer", "order").distinct())
 
     return run(events.writeStream.foreachBatch(store), path)
 
 
 def distinct_orders(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/pairs").groupBy("customer").agg(F.count(F.lit(1)).alias("orders"))
+    return Buckets(spark, f"{path}/pairs", ["customer"]).read().groupBy("customer").agg(F.count(F.lit(1)).alias("orders"))
 
 
 def append_files(stream: DataFrame, path: str) -> StreamingQuery:

@@ -1,14 +1,17 @@
 """Readers, stored tables, texts and streams."""
 
 import math
+import os
+import random
 import re
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import claims as cl
 from ledgerlark.sources import databases, files, store
+from ledgerlark.sources.buckets import Buckets, newest
 from ledgerlark.streaming import streams
 
 
@@ -184,7 +187,6 @@ def batches(spark, tmp_path, groups):
     source = tmp_path / "in"
     for i, rows in enumerate(groups):
         spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(source))
-        import os
         import time
 
         for name in os.listdir(source):  # files are taken in the order of their time
@@ -208,6 +210,79 @@ def test_cooldown_does_not_depend_on_batches(spark, tmp_path):
         assert sorted(r["event_id"] for r in spark.read.parquet(f"{out}/alerts").collect()) == [1, 4, 5, 7, 8, 9]
 
 
+def folded(rows, cooldown):
+    """Alerts delivered when all are judged in time order."""
+    last, out = {}, []
+    for i, user, kind, _, at in sorted(rows, key=lambda e: (e[4], e[0])):
+        if (user, kind) not in last or at - last[user, kind] >= cooldown:
+            last[user, kind] = at
+            out.append(i)
+    return sorted(out)
+
+
+def test_cooldown_of_files_out_of_order(spark, tmp_path):
+    """One file, ten files, and files shuffled within the delay give the same alerts; what lies a cooldown behind is counted."""
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(6), "view", 1.0, datetime(2024, 1, 1) + timedelta(hours=2 * i)) for i in range(120)]
+    end = [(999, 99, "view", 1.0, datetime(2024, 3, 1))]  # lets everything before it be judged
+    ten = [rows[k:k + 12] for k in range(0, 120, 12)]
+    mixed = [ten[k] for k in (1, 0, 2, 4, 3, 6, 5, 8, 7, 9)]
+    want = folded(rows, timedelta(days=1))
+    for name, split in (("one", [rows]), ("ten", ten), ("mixed", mixed)):
+        folder = tmp_path / name
+        folder.mkdir()
+        out = str(folder / "out")
+        streams.deliver_alerts(streams.alerts_of(batches(spark, folder, [*split, end])), out, delay_seconds=3 * 86_400)
+        got = sorted(r["event_id"] for r in spark.read.parquet(f"{out}/alerts").collect())
+        assert [i for i in got if i != 999] == want and streams.late_alerts(spark, out) == 0, name
+    streams.deliver_alerts(streams.alerts_of(batches(spark, tmp_path, [rows[60:], rows[:12]])), str(tmp_path / "late"))
+    assert streams.late_alerts(spark, str(tmp_path / "late")) == 12
+    state = Buckets(spark, str(tmp_path / "late/last"), ["fingerprint"]).read()
+    last = max(r[4] for r in rows)
+    assert state.where(F.col("__last") <= int((last - timedelta(days=2)).replace(tzinfo=timezone.utc).timestamp() * 1e6)).count() <= 6
+
+
+def test_buckets_read_what_a_batch_touches(spark, tmp_path):
+    """Ten batches of other keys: what a batch reads follows its keys, not the history; a replay changes nothing."""
+    table = Buckets(spark, str(tmp_path / "t"), ["k"], buckets=16)
+    add = lambda both: both.groupBy("k").agg(F.sum("n").alias("n"))
+    want, read = {}, []
+    for batch in range(10):
+        keys = [1, 2, 3] if batch else list(range(500))
+        rows = spark.createDataFrame([(k, 1) for k in keys], "k long, n long")
+        before = table.published(batch)
+        read.append(sum(os.path.getsize(os.path.join(d, f)) for d in table.paths({b: g for b, g in (before[1] if before else {}).items() if b in table.touched(rows)}) for f in os.listdir(d)))
+        for _ in range(2 if batch in (4, 9) else 1):
+            table.upsert(rows, batch, add, facts={"batch": str(batch)})
+        for k in keys:
+            want[k] = want.get(k, 0) + 1
+        assert {r["k"]: r["n"] for r in table.read().collect()} == want
+    assert 0 < max(read[1:]) <= 1.2 * min(read[1:]) and table.published()[2] == {"batch": "9"}
+    assert len(os.listdir(tmp_path / "t/manifest")) == 2 and len(os.listdir(tmp_path / "t/data")) <= 3
+    whole = sum(os.path.getsize(os.path.join(d, f)) for d in table.paths(table.published()[1]) for f in os.listdir(d))
+    assert max(read[1:]) < 0.4 * whole
+    table.upsert(rows.limit(0), 10, add)
+    assert table.read().count() == 500
+    table.upsert(rows, 11, lambda both: both.where("k = 1"))  # a merge may empty buckets
+    assert Buckets(spark, str(tmp_path / "none"), ["k"]).read() is None
+
+
+def test_half_written_batch_is_not_seen(spark, tmp_path):
+    table = Buckets(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    rows = spark.createDataFrame([(i, 1) for i in range(20)], "k long, n long")
+    table.upsert(rows, 0, newest(["k"]))
+
+    def broken(both):
+        raise ValueError("lost")
+
+    with pytest.raises(ValueError):
+        table.upsert(rows.withColumn("n", F.lit(2).cast("long")), 1, broken)
+    rows.withColumn("n", F.lit(3).cast("long")).withColumn("__bucket", F.lit(0)).write.partitionBy("__bucket").parquet(str(tmp_path / "t/data/gen=1"))
+    assert {r["n"] for r in table.read().collect()} == {1}
+    table.upsert(rows.withColumn("n", F.lit(2).cast("long")).where("k < 5"), 1, newest(["k"]))
+    assert {r["k"]: r["n"] for r in table.read().collect()} == {i: 2 if i < 5 else 1 for i in range(20)}
+
+
 def test_windows_drop_and_count_late_rows(spark, tmp_path):
     groups = [[event(1, 1, 1), event(2, 1, 2)], [event(3, 1, 12)], [event(6, 1, 12, 1)], [event(4, 1, 1)], [event(5, 1, 20)]]
     out = str(tmp_path / "out")
