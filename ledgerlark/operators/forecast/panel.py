@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,11 +91,13 @@ def forecastable(panel: DataFrame, freq: str) -> DataFrame:
         (F.count(F.lit(1)) >= MIN_PERIODS[freq]).alias("forecastable"))
 
 
-def missing_days(df: DataFrame, time: str) -> DataFrame:
-    """Days without rows between the first and the last."""
-    days = df.where(F.col(time).isNotNull()).groupBy(F.to_date(time).alias("day")).agg(F.lit(1).alias("x")).select("day")
-    spine = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    return spine.join(days, "day", "left_anti")
+def missing_days(df: DataFrame, time: str, *groups: str) -> DataFrame:
+    """Days without rows between the first and the last, of each combination of *groups*."""
+    days = df.where(F.col(time).isNotNull()).select(*groups, F.to_date(time).alias("day")).distinct()
+    spine = days.groupBy(*groups).agg(F.min("day").alias("a"), F.max("day").alias("b")).select(*groups, F.explode(F.sequence("a", "b")).alias("day"))
+    same = [spine[c].eqNullSafe(days[c]) for c in (*groups, "day")]
+    out = spine.alias("spine").join(days, reduce(lambda x, y: x & y, same), "left_anti")
+    return out
 
 
 # --- anomalies and level ------------------------------------------------------

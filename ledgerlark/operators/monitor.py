@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -147,7 +147,7 @@ def quality_findings(report: DataFrame) -> DataFrame:
     return _finding(kept, F.lit("data_quality"), F.lit("medium"), F.col("check_name"), fingerprint("quality", F.col("check_name")), current=value, event=False)
 
 
-RULES: list[Callable[[dict], DataFrame]] = [
+RULES: list[Callable[[Mapping], DataFrame]] = [
     lambda c: freshness_findings(c["last"], c["as_of"]),
     lambda c: evidence_findings(c["evidence"], c["revenue"]),
     lambda c: delta_findings(c["metrics"], c["previous"], c["revenue"]),
@@ -156,8 +156,33 @@ RULES: list[Callable[[dict], DataFrame]] = [
 ]
 
 
-def evaluate(context: dict, rules: list[Callable[[dict], DataFrame]] | None = None) -> DataFrame:
-    """The findings of all rules; a rule is any function from the context to finding rows."""
+class Inputs(Mapping):
+    """The context of a run: named inputs, each built when a rule first asks for it and once for all rules.
+
+    *builders* map a name to a function of the inputs, so one input can start from another.
+    """
+
+    def __init__(self, builders: dict[str, Callable[[Inputs], object]]) -> None:
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, name: str):
+        if name not in self._built:
+            self._built[name] = self._builders[name](self)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+    @property
+    def built(self) -> list[str]:
+        return list(self._built)
+
+
+def evaluate(context: Mapping, rules: list[Callable[[Mapping], DataFrame]] | None = None) -> DataFrame:
+    """The findings of all rules; a rule is any function from the context (a dict, or `Inputs`) to finding rows."""
     return union_all([rule(context) for rule in (rules or RULES)])
 
 

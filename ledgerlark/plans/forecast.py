@@ -429,10 +429,10 @@ def impact_labels(spark, sf):
     return bt.summary(panel, forecast, H).groupBy("impact").agg(F.count(F.lit(1)).alias("series"))
 
 
-@query("J33_missing_days", f"""{W}, e AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM fact WHERE returnflag = 'R' AND quantity > 48)
-SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d FROM e) WHERE CAST(d AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM fact WHERE returnflag = 'R' AND quantity > 48)""")
+@query("J33_missing_days", f"""{W}, e AS (SELECT brand, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM fact GROUP BY 1), s AS (SELECT brand, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM e)
+SELECT brand, day FROM s ANTI JOIN (SELECT DISTINCT brand, CAST(ts AS DATE) AS day FROM fact) f USING (brand, day)""")
 def missing_days(spark, sf):
-    return fp.missing_days(fact(spark, sf, "ts", "returnflag", "quantity").where("returnflag = 'R' and quantity > 48"), "ts")
+    return fp.missing_days(fact(spark, sf, "ts", "brand"), "ts", "brand")
 
 
 @query("J34_period_labels", f"""{W} SELECT CAST(ts AS DATE) AS day, CAST(date_trunc('week', ts) AS DATE) + 6 AS week, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS rows FROM fact GROUP BY 1, 2, 3""")

@@ -56,14 +56,9 @@ def _kpis(r):
     return kpi.kpi_block(r.orders, ROLES, r.products)
 
 
-@query("A5_read_parquet", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity
-FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1, 2""")
+@query("A5_read_parquet", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1, 2""")
 def read_parquet(spark, sf):
-    return (
-        table(spark, sf, "lineitem").where("l_shipdate >= timestamp_ntz'1998-01-01'")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("l_quantity"), 2).alias("quantity"))
-    )
+    return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("l_quantity"), 2).alias("quantity"))
 
 
 @query("D1_line_revenue", """SELECT l_returnflag, round(sum(l_extendedprice / l_quantity * l_quantity), 2) AS from_unit_price,
@@ -121,7 +116,7 @@ def _top_by_dimension(top: int) -> str:
 
 @query("D5_category_revenue", _top_by_dimension(20))
 def category_revenue(spark, sf):
-    return _by_dimension(sales(spark, sf), 20)
+    return _by_dimension(sales(spark, sf, *_DIMS), 20)
 
 
 def _by_dimension(r, top):
@@ -131,7 +126,7 @@ def _by_dimension(r, top):
 
 @query("D21_channel_performance", _top_by_dimension(8))
 def channel_performance(spark, sf):
-    return _by_dimension(sales(spark, sf), 8)
+    return _by_dimension(sales(spark, sf, *_DIMS), 8)
 
 
 @query("F1_ranked_products", f"""{WITH}, p AS (SELECT product, sum(revenue) AS rev FROM fact GROUP BY 1)
@@ -204,7 +199,7 @@ def series_stats(spark, sf):
 
 
 def _daily(spark, sf):
-    return series.daily_series(sales(spark, sf).orders, ROLES)
+    return series.daily_series(fact(spark, sf, "ts", "revenue"), ROLES)
 
 
 @query("D9_trend", f"""{WITH}, {DAILY_SQL}
@@ -278,7 +273,7 @@ def _period_stats(orders):
 SELECT basis, side, "start", "end", days, round(revenue, 2) AS revenue, orders, customers, round(units, 2) AS units,
        round(aov, 2) AS aov, rows FROM stats""")
 def period_stats(spark, sf):
-    return dm.rounded_period_stats(_period_stats(sales(spark, sf).orders))
+    return dm.rounded_period_stats(_period_stats(fact(spark, sf, "order_id", "customer_id", "ts", "revenue", "quantity")))
 
 
 BRIDGE_SQL = """b AS (SELECT c.basis, c.revenue AS rc, p.revenue AS rp, c.orders AS oc, p.orders AS op, c.aov AS ac, p.aov AS ap,
@@ -293,7 +288,7 @@ bridge AS (SELECT basis, round(rc - rp, 2) AS revenue_change, round((rc - rp) /
 
 @query("D11_revenue_bridge", f"{WITH}, {PERIODS_SQL}, {BRIDGE_SQL} SELECT * FROM bridge")
 def revenue_bridge(spark, sf):
-    return _bridge(sales(spark, sf))
+    return dm.bridge(_period_stats(fact(spark, sf, "order_id", "customer_id", "ts", "revenue", "quantity")))
 
 
 def _bridge(r):
@@ -450,7 +445,7 @@ weekday AS (SELECT round(n / 7, 1) AS weeks_covered, round(o, 2) AS avg_daily_re
 
 @query("D16_weekday_rhythm", f"{WITH}, {DAILY_SQL}, {WEEKDAY_SQL} SELECT * FROM weekday")
 def weekday(spark, sf):
-    return _weekday(sales(spark, sf))
+    return dm.weekday_rhythm(dm.weekday_days(fact(spark, sf, "ts", "revenue"), ROLES))
 
 
 def _weekday(r):
@@ -502,7 +497,7 @@ def scenarios(spark, sf):
   count(*) FILTER (WHERE ts IS NULL) AS rows_without_date,
   round((CAST(max(ts) AS DATE) - CAST(min(ts) AS DATE) + 1) / 30.44, 1) AS months_span FROM fact""")
 def coverage(spark, sf):
-    return dm.coverage(sales(spark, sf).orders, ROLES)
+    return dm.coverage(fact(spark, sf, "ts"), ROLES)
 
 
 @query("F6_movers_with_floor", f"""{WITH}, {PERIODS_SQL},

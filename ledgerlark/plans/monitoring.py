@@ -125,8 +125,12 @@ long AS (SELECT project, kind, captured_at, metric, value FROM (SELECT project,
 
 
 def _snapshots(spark, sf):
-    """A snapshot of the headline metrics of every nation and month."""
-    per = fact(spark, sf, "nation", "ts", "order_id", "customer_id", "revenue").where("nation is not null").groupBy(
+    return _snapshots_of(fact(spark, sf, "nation", "ts", "order_id", "customer_id", "revenue"))
+
+
+def _snapshots_of(lines):
+    """A snapshot of the headline metrics of every nation and month, from lines or a rollup of them per order."""
+    per = lines.where("nation is not null").groupBy(
         F.col("nation").alias("project"), F.date_trunc("month", F.col("ts")).cast("timestamp_ntz").alias("captured_at"), "order_id", "customer_id").agg(F.sum("revenue").alias("r"))
     wide = per.groupBy("project", "captured_at").agg(
         F.count_distinct("order_id").cast("double").alias("orders"), F.sum("r").alias("revenue"), F.count_distinct("customer_id").cast("double").alias("total_customers"))
@@ -296,6 +300,50 @@ def money_at_stake(spark, sf):
     return monitor.money_at_stake(_delta(spark, sf)[0])
 
 
+def _of_month(r, month):
+    return r["snapshots"].where(F.col("captured_at") == F.lit(datetime(2001, month, 1)).cast("timestamp_ntz")).select("project", "metric", "value")
+
+
+#: What the rules of one run ask for; everything about orders and products starts from one stored rollup.
+def _inputs(spark, sf):
+    def doubtful(_):
+        lines = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", F.expr("if(l_discount < 0.02, null, l_discount)").alias("d"))
+        return quality.quality_report(lines, money=[], quantity=None)
+
+    return monitor.Inputs({
+        "as_of": lambda r: date(2001, 8, 6), "rollup": lambda r: sales(spark, sf, "nation").stored(), "figures": lambda r: _figures_of(r["rollup"]),
+        "last": lambda r: r["rollup"].orders.agg(F.max("ts").alias("last")), "evidence": lambda r: monitor.evidence(r["figures"]),
+        "revenue": lambda r: r["figures"].where("key = 'revenue_total'").select("value").scalar(), "snapshots": lambda r: materialise(_snapshots_of(r["rollup"].orders)),
+        "metrics": lambda r: _of_month(r, 7), "previous": lambda r: _of_month(r, 6), "quality": doubtful,
+        "targets": lambda r: spark.sql("select * from values ('revenue', 'min', 1500000.0d), ('orders', 'max', 12.0d), ('aov', 'min', 90000.0d) as t(metric, bound, limit)")})
+
+
+_RUN_SQL = f"""{_EV}, {_SNAPS},
+es AS (SELECT *, CASE {_SEV.format(m='money', r=_f('revenue_total'))[5:-4]} END AS s0 FROM ev WHERE tag NOT IN ('STRENGTH', 'CAVEAT')),
+er AS (SELECT *, list_position(['critical', 'high', 'medium', 'low', 'info'], s0) AS k, CASE WHEN tag IN ('THREAT', 'LEAK') THEN 3 ELSE 4 END AS fl, CASE tag WHEN 'RISK' THEN 3 WHEN 'OPPORTUNITY' THEN 4 ELSE 1 END AS ce FROM es),
+cur AS (SELECT project, metric, value FROM long WHERE captured_at = TIMESTAMP '2001-07-01'), prv AS (SELECT project, metric, value AS prior FROM long WHERE captured_at = TIMESTAMP '2001-06-01'),
+dl AS (SELECT *, (value - prior) / abs(prior) * 100 AS change, CASE WHEN metric IN ('revenue', 'aov') AND value < prior THEN abs(value - prior) ELSE 0 END AS money FROM cur JOIN prv USING (project, metric)),
+tg(metric, bound, lim) AS (VALUES ('revenue', 'min', 1500000.0), ('orders', 'max', 12.0), ('aov', 'min', 90000.0)),
+td AS (SELECT project, metric, bound, value, lim, CASE WHEN metric IN ('revenue', 'aov') THEN abs(value - lim) ELSE 0 END AS money FROM cur JOIN tg USING (metric) WHERE CASE bound WHEN 'min' THEN value < lim ELSE value > lim END),
+qt AS (SELECT l_orderkey, l_returnflag, CASE WHEN l_discount < 0.02 THEN NULL ELSE l_discount END AS d FROM lineitem), qc AS (SELECT count(*) FILTER (WHERE d IS NULL) AS k, count(*) AS n FROM qt),
+qu AS (SELECT (SELECT count(*) FROM qt) - (SELECT count(*) FROM (SELECT DISTINCT * FROM qt)) AS dup)
+SELECT 'data_freshness' AS rule, 'default' AS project, CASE WHEN DATE '2001-08-06' - CAST(max(ts) AS DATE) >= 7 THEN 'critical' ELSE 'high' END AS severity, 'data_freshness' AS metric, 0.0 AS money_at_stake,
+  left(sha1('freshness|default'), 32) AS fingerprint FROM fact HAVING DATE '2001-08-06' - CAST(max(ts) AS DATE) >= 3
+UNION ALL SELECT 'evidence.' || lower(tag), 'default', ['critical', 'high', 'medium', 'low', 'info'][greatest(least(k, fl), ce)], section, round(money, 2), left(sha1('evidence|' || tag || '|' || section || '|' || key), 32) FROM er
+UNION ALL SELECT 'snapshot_delta', project, CASE WHEN change > 0 THEN 'info' WHEN money > 0 THEN {_SEV.format(m='money', r=_f('revenue_total'))} ELSE 'low' END, metric, round(money, 2),
+  left(sha1('snapshot_delta|' || metric || '|' || CASE WHEN change < 0 THEN 'down' ELSE 'up' END), 32) FROM dl WHERE abs(change) >= 10
+UNION ALL SELECT 'target_breach', project, CASE WHEN metric IN ('revenue', 'aov') THEN {_SEV.format(m='money', r=_f('revenue_total'))} ELSE 'high' END, metric, round(money, 2), left(sha1('target|' || metric || '|' || bound), 32) FROM td
+UNION ALL SELECT 'data_quality', 'default', 'medium', 'missing_values', 0.0, left(sha1('quality|missing_values'), 32) FROM qc WHERE k / (n * 3) * 100 > 3
+UNION ALL SELECT 'data_quality', 'default', 'medium', 'duplicate_rows', 0.0, left(sha1('quality|duplicate_rows'), 32) FROM qu, qc WHERE dup / n * 100 > 3"""
+
+
+@query("P3_monitoring_run", _RUN_SQL)
+def monitoring_run(spark, sf):
+    """All rules of a run over shared inputs."""
+    found = monitor.evaluate(_inputs(spark, sf))
+    return found.select("rule", "project", "severity", "metric", rnd("money_at_stake").alias("money_at_stake"), "fingerprint")
+
+
 # --- number claims ------------------------------------------------------------
 
 

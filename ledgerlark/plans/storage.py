@@ -11,12 +11,12 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.numbers import rnd
-from ledgerlark.functions.scale import ensure_checkpoint_dir
+from ledgerlark.functions.scale import ensure_checkpoint_dir, materialise
 from ledgerlark.operators import relations
 from ledgerlark.plans.customers import _snapshots as customer_snapshots
 from ledgerlark.plans.customers import _SNAPSHOTS
 from ledgerlark.plans.registry import query
-from ledgerlark.plans.relations import LINE_RELATIONS
+from ledgerlark.plans.relations import _discover_sql, _discover_tables
 from ledgerlark.plans.tables import FACT_SQL, fact, table
 from ledgerlark.sources import files, store
 from ledgerlark.streaming import streams
@@ -44,6 +44,19 @@ def read_delimited(spark, sf):
     return _order_sums(files.read_delimited(spark, path, sep=","))
 
 
+@query("A2_encoding_fallback", "SELECT p_type || ' مرحبا' AS ptype, count(*) AS n, round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1")
+def encoding_fallback(spark, sf):
+    """A table in two files of unlike encodings reads as one."""
+    path = run_folder(spark)
+    parts = table(spark, sf, "part").select("p_partkey", F.concat("p_type", F.lit(" مرحبا")).alias("ptype"), "p_retailprice")
+    odd, even = parts.where("p_partkey % 2 = 1"), parts.where("p_partkey % 2 = 0")
+    odd.write.option("header", True).option("sep", ";").csv(f"{path}/b")
+    as_bytes = F.translate("ptype", files.ARABIC, files.LATIN)  # ISO-8859-1 writes the bytes of windows-1256
+    even.withColumn("ptype", as_bytes).write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(f"{path}/a")
+    read = files.read_delimited(spark, [f"{path}/a", f"{path}/b"], sep=";")
+    return read.groupBy("ptype").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum(F.col("p_retailprice").cast("double"))).alias("price"))
+
+
 @query("A3_sniff_delimiter", _ORDER_SUMS)
 def sniff_delimiter(spark, sf):
     path = run_folder(spark)
@@ -153,14 +166,15 @@ def append_alerts(spark, sf):
     return spark.read.parquet(path).groupBy("run_date").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-@query("A21_replace_relationships", "SELECT 'lineitem' AS table_a, count(*) AS n FROM (VALUES ('l_orderkey'), ('l_partkey'), ('l_suppkey')) t WHERE (SELECT count(*) FROM lineitem) > 0")
+@query("A21_replace_relationships", f"WITH {_discover_sql()} SELECT table_a, column_a, table_b, column_b, confidence FROM rel WHERE confidence >= 0.5")
 def replace_relationships(spark, sf):
+    """What discovery finds in the tables replaces what was stored before, for this project alone."""
     path = run_folder(spark)
-    usable = [r for r in LINE_RELATIONS if not table(spark, sf, r.table_a).isEmpty()]
-    store.replace_relationships(path, "a", relations.relationships_frame(spark, usable))
-    store.replace_relationships(path, "b", relations.relationships_frame(spark, usable[:1]))
-    store.replace_relationships(path, "a", relations.relationships_frame(spark, usable[:3]))
-    return store.load_relationships(spark, path, "a").groupBy("table_a").agg(F.count(F.lit(1)).alias("n"))
+    found = materialise(relations.find_relationships(_discover_tables(spark, sf)))
+    store.replace_relationships(path, "b", found.limit(1))
+    store.replace_relationships(path, "a", found.where("confidence < 0.5"))
+    store.replace_relationships(path, "a", found.where("confidence >= 0.5"))
+    return store.load_relationships(spark, path, "a").select("table_a", "column_a", "table_b", "column_b", "confidence")
 
 
 @query("D38_customer_refresh", f"{_SNAPSHOTS} SELECT count(*) AS customers, round(sum(monetary), 2) AS monetary, max(snapshot_date) AS snapshot_date FROM states WHERE snapshot_date = (SELECT max(snapshot_date) FROM states)")

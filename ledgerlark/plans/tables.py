@@ -69,19 +69,28 @@ def fact(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return out.select(*[F.expr(e).alias(c) for c, (_, e) in wanted.items()])
 
 
-def sales(spark: SparkSession, sf_dir: str) -> Rollup:
-    """The rollup of the order lines: one scan for orders, one for products, both summed before they are joined."""
+def sales(spark: SparkSession, sf_dir: str, *attributes: str) -> Rollup:
+    """The rollup of the order lines: one scan for orders, one for products, both summed before they are joined.
+
+    *attributes*: columns of orders, customers and products to have beside the sums; only their tables are joined.
+    """
     asked = {c: FACT_COLUMNS[c][1] for c in ("revenue", "quantity", "cost", "unit_price", "discount")}
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *[F.expr(e).alias(c) for c, e in asked.items()])
-    orders = (order_sums(lines, COSTED, ["l_orderkey"]).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-              .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"))
+    of_products = [c for c in attributes if FACT_COLUMNS[c][0] == "part"]
+    of_orders = [c for c in attributes if c not in of_products]
+    tables = {FACT_COLUMNS[c][0] for c in of_orders}
+    orders = order_sums(lines, COSTED, ["l_orderkey"]).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    if tables & {"customer", "nation"}:
+        orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    if "nation" in tables:
+        orders = orders.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     products = product_sums(lines, COSTED, ["l_partkey"]).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    order_keys, product_keys = ("order_id", "customer_id", "ts", "priority", "mktsegment", "nation"), ("product", "brand", "ptype")
 
     def named(frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        own = [c for c in (*asked, *frame.columns) if c in (COSTED.revenue, COSTED.quantity, COSTED.cost) or c.startswith("__")]
-        return frame.select(*[F.expr(FACT_COLUMNS[c][1]).alias(c) for c in keys], *[c for c in dict.fromkeys(own) if c in frame.columns])
+        own = [c for c in frame.columns if c in (COSTED.revenue, COSTED.quantity, COSTED.cost) or c.startswith("__")]
+        return frame.select(*[F.expr(FACT_COLUMNS[c][1]).alias(c) for c in keys], *own)
 
+    order_keys, product_keys = ("order_id", "customer_id", "ts", *of_orders), ("product", *of_products)
     return Rollup(named(orders, order_keys), named(products, product_keys), order_keys, product_keys)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,16 @@ DELIMITERS = [",", ";", "\t", "|"]
 ENVELOPES = ["data", "records", "rows", "items", "results"]
 
 
+#: What the upper bytes of a text are read as byte for byte, and what they are in windows-1256 (which Spark's readers do not offer).
+LATIN, ARABIC = (bytes(range(128, 256)).decode(name) for name in ("latin-1", "cp1256"))
+_ARABIC_NAMES = str.maketrans(LATIN, ARABIC)
+
+
+def from_latin(text: Column) -> Column:
+    """Text read as ISO-8859-1 that is windows-1256."""
+    return F.translate(text, LATIN, ARABIC)
+
+
 def encodings(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
     """Files by encoding: UTF-8 where every line is valid, else windows-1256 (which
     reads any byte).  Lines are tested where they are split, not whole files."""
@@ -35,13 +45,12 @@ def sniff_delimiter(spark: SparkSession, path: str | list[str], lines: int = 100
 
 def read_delimited(spark: SparkSession, path: str | list[str], *, sep: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Text with a header row; columns stay text until a cleaning step types them."""
-    groups = encodings(spark, path)
-    if any(name != "UTF-8" for name in groups):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # the reader refuses windows-1256 otherwise
     out = None
-    for name, files in sorted(groups.items()):
-        reader = spark.read.option("header", True).option("encoding", name).option("sep", sep or sniff_delimiter(spark, files))
+    for name, files in sorted(encodings(spark, path).items()):
+        reader = spark.read.option("header", True).option("encoding", "UTF-8" if name == "UTF-8" else "ISO-8859-1").option("sep", sep or sniff_delimiter(spark, files))
         one = (reader.schema(schema) if schema else reader).csv(files)
+        if name != "UTF-8":
+            one = one.select(*[(from_latin(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(f.name.translate(_ARABIC_NAMES)) for f in one.schema])
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(str(path))
