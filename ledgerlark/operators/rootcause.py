@@ -203,12 +203,31 @@ def _sliced(cell: DataFrame, m: Measure, dims: list[str], depth: int) -> DataFra
         return flat.drop(*dims)
     keyed = cell.groupingSets([[*[F.col(d) for d in s], F.col("_k"), F.col("_p")] for s in sets], *cols, F.col("_k"), F.col("_p")).agg(
         pairs.alias("conditions"), F.sum("n").alias("n"), F.max("all").alias("all")).drop(*dims)
+    return _counted(keyed)
+
+
+def _counted(keyed: DataFrame) -> DataFrame:
+    """Slices of a counted measure from one row per slice, key and period."""
     return keyed.groupBy("conditions").agg(
         *[F.count_if(F.col("_p") == p).cast("double").alias(f"v{p}") for p in (0, 1)],
         *[F.count_if((F.col("_p") == p) & (F.col("n") == F.col("all"))).cast("double").alias(f"inside{p}") for p in (0, 1)],
         *[F.coalesce(F.sum(F.when(F.col("_p") == p, F.col("n"))), F.lit(0)).alias(f"rows{p}") for p in (0, 1)])
 
 
+def _named(cell: DataFrame, m: Measure, dims: list[str], wanted: list[list[tuple[str, str]]]) -> DataFrame:
+    """The given slices (lists of conditions) and no other, as `_sliced` gives them."""
+    def tag(conditions: list[tuple[str, str]]) -> Column:
+        inside = F.lit(True)
+        for d, v in conditions:
+            inside = inside & (F.col(d) == v)
+        return F.when(inside, F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("value")) for d, v in conditions]))
+
+    tagged = cell.withColumn("conditions", F.explode(F.array_compact(F.array(*map(tag, wanted)))))
+    if m.additive:
+        return tagged.groupBy("conditions").agg(*[F.sum(c).alias(c) for c in cell.columns if c not in dims])
+    return _counted(tagged.groupBy("conditions", "_k", "_p").agg(F.sum("n").alias("n"), F.max("all").alias("all")))
+
+
 def totals(cell: DataFrame, m: Measure) -> dict:
     if m.additive:
         return cell.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v0", "v1", "rows0", "rows1")]).first().asDict()
@@ -337,33 +356,39 @@ def tested(explained: DataFrame, whole: dict, *, min_power: float = MIN_POWER, m
 
 def select_top(candidates: DataFrame, k: int = TOP_K) -> DataFrame:
     """The best slices without repeats: a refinement must concentrate the change by
-    a quarter more than the slice it refines; a coarser copy is dropped."""
-    pool = materialise(candidates)
-    order = [F.when(F.col("robust"), 0).otherwise(1), F.desc("score"), F.asc("slice")]
-    chosen = []
-    for rank in range(1, k + 1):
-        best = pool.orderBy(*order).limit(1).collect()
-        if not best:
-            break
-        b = best[0]
-        chosen.append(pool.where(F.col("slice") == b["slice"]).withColumn("rank", F.lit(rank)))
-        mine = F.array(*[F.struct(F.lit(c["dimension"]).alias("dimension"), F.lit(c["value"]).alias("value")) for c in b["conditions"]])
-        shared = F.size(F.array_intersect("conditions", mine))
-        refines = (shared == len(b["conditions"])) & (F.size("conditions") > len(b["conditions"]))
-        coarser = shared == F.size("conditions")
-        pool = pool.where(~(coarser | (refines & (F.col("concentration") <= b["concentration"] * REFINEMENT_GAIN))))
-    return union_all(chosen) if chosen else pool.withColumn("rank", F.lit(0)).where("rank > 0")
+    a quarter more than the slice it refines; a coarser copy is dropped.
+
+    The tested slices (few: each moves a sizeable share of the total) are ranked once, and one fold
+    down the list takes a slice unless one taken before rules it out.
+    """
+    row = F.struct(*candidates.columns)
+    order = [F.when(F.col("robust"), 0).otherwise(1).alias("a"), F.col("score").isNull().alias("b"), (-F.col("score")).alias("c"), F.col("slice").alias("d")]
+    ranked = candidates.agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, row.alias("x")))), lambda e: e["x"]).alias("l"))
+
+    def out(b: Column, x: Column) -> Column:
+        shared = F.size(F.array_intersect(x["conditions"], b["conditions"]))
+        refines = (shared == F.size(b["conditions"])) & (F.size(x["conditions"]) > F.size(b["conditions"]))
+        return (shared == F.size(x["conditions"])) | (refines & (x["concentration"] <= b["concentration"] * REFINEMENT_GAIN))
+
+    def taken(done: Column, x: Column) -> Column:
+        return F.when((F.size(done) < k) & ~F.exists(done, lambda b: F.coalesce(out(b, x), F.lit(False))), F.concat(done, F.array(x))).otherwise(done)
+
+    chosen = ranked.select(F.posexplode(F.aggregate("l", F.slice("l", 1, 0), taken)).alias("i", "x"))
+    return chosen.select("x.*", (F.col("i") + 1).alias("rank"))
 
 
 def drill_path(chosen: DataFrame, cell: DataFrame, m: Measure, dims: list[str], whole: dict) -> DataFrame:
-    """What each added condition of the chosen slices gained."""
-    steps = chosen.select("rank", F.posexplode("conditions").alias("i", "c"), "conditions").select(
-        "rank", (F.col("i") + 1).alias("step"), F.slice("conditions", F.lit(1), F.col("i") + 1).alias("prefix"))
-    depth = chosen.agg(F.max(F.size("conditions"))).first()[0] or 1
-    every = union_all([_sliced(cell, m, dims, d).withColumn("depth", F.lit(d)).withColumn("bound", F.lit(0.0)) for d in range(1, depth + 1)])
-    table = explain(every, whole, additive=m.additive)
-    return steps.join(table, F.col("prefix") == F.col("conditions")).select(
-        "rank", "step", "slice", rnd(F.col("delta")).alias("delta"), rnd(F.col("power") * 100, 1).alias("power_pct"),
+    """What each added condition of the chosen slices gained; only their own steps are counted."""
+    steps = {(r["rank"], i + 1): [(c["dimension"], c["value"]) for c in r["conditions"][:i + 1]] for r in chosen.select("rank", "conditions").collect() for i in range(len(r["conditions"]))}
+    if not steps:
+        steps = {(0, 0): [(dims[0], "")]}  # nothing is chosen: no slice, and a table without rows
+    wanted = [list(c) for c in dict.fromkeys(map(tuple, steps.values()))]
+    table = explain(_named(cell, m, dims, wanted).withColumn("depth", F.size("conditions")).withColumn("bound", F.lit(0.0)), whole, additive=m.additive)
+    places = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(step).alias("step"), F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("value")) for d, v in c]).alias("prefix"))
+                       for (rank, step), c in steps.items()])
+    placed = table.withColumn("at", F.explode(F.filter(places, lambda x: x["prefix"] == F.col("conditions")))).where("at.rank > 0")
+    return placed.select(
+        "at.rank", "at.step", "slice", rnd(F.col("delta")).alias("delta"), rnd(F.col("power") * 100, 1).alias("power_pct"),
         rnd(F.col("rows_share") * 100, 1).alias("rows_share_pct"), rnd(F.col("concentration")).alias("concentration"))
 
 
