@@ -253,14 +253,16 @@ def slices(cell: DataFrame, m: Measure, dims: list[str], whole: dict, *, max_dep
     by bound and half by score; by default the search is exhaustive.
     """
     floor = abs(whole["v1"] - whole["v0"]) * prune_floor
-    out, parents, folded = [], None, cell
+    out, parents, sound, folded = [], None, None, cell
     for depth in range(1, min(max_depth, len(dims)) + 1):
-        level = _sliced(folded, m, dims, depth).withColumn("bound", _bound(m)).withColumn("depth", F.lit(depth))
+        if depth <= 2:  # values that fail on their own are folded by now, so every pair left is a candidate
+            level = _sliced(folded, m, dims, depth)
+        else:
+            level = _extended(folded, m, dims, sound, _candidates(sound, parents, dims))
+        level = level.withColumn("bound", _bound(m)).withColumn("depth", F.lit(depth))
         level = level.where((F.col("rows0") + F.col("rows1") >= min_rows) & (F.col("bound") >= floor))
-        level = level.where(~F.exists("conditions", lambda c: c["value"] == _OTHER))
-        if parents is not None:
-            level = _not_redundant(level, parents)
-        level = materialise(level)  # a few thousand rows; every level reads the one before
+        sound = materialise(level.where(~F.exists("conditions", lambda c: c["value"] == _OTHER)))  # every level reads the one before
+        level = sound if parents is None else materialise(_not_redundant(sound, parents))
         out.append(level)
         parents = level if beam is None else _beam(level, whole, beam)
         if depth == 1:
@@ -268,6 +270,52 @@ def slices(cell: DataFrame, m: Measure, dims: list[str], whole: dict, *, max_dep
     return union_all(out)
 
 
+def _candidates(sound: DataFrame, parents: DataFrame, dims: list[str]) -> DataFrame:
+    """(conditions) of the next level: all slices with one condition less are sound, and one of them is a parent.
+
+    Rows and bound only shrink when a condition is added, so no other slice can pass.  Two slices
+    that share all conditions but the last are put together; conditions stand in the order of *dims*.
+    """
+    place = F.create_map(*[F.lit(x) for i, d in enumerate(dims) for x in (d, i)])
+    size = F.size("conditions")
+    split = sound.select(F.slice("conditions", F.lit(1), size - 1).alias("head"), F.element_at("conditions", -1).alias("tail"))
+    both = split.join(split.withColumnRenamed("tail", "next"), "head").where(place[F.col("tail.dimension")] < place[F.col("next.dimension")])
+    joined = both.select(F.concat("head", F.array("tail", "next")).alias("conditions"))
+    subs = joined.select("conditions", F.explode("conditions").alias("gone")).select("conditions", F.filter("conditions", lambda c: c != F.col("gone")).alias("sub"))
+    known = sound.select(F.col("conditions").alias("sub")).join(parents.select(F.col("conditions").alias("sub"), F.lit(1).alias("parent")), "sub", "left")
+    checked = subs.join(known, "sub").groupBy("conditions").agg(F.count(F.lit(1)).alias("n"), F.count("parent").alias("parents"))
+    return checked.where((F.col("n") == F.size("conditions")) & (F.col("parents") > 0)).select("conditions")
+
+
+def _extended(cell: DataFrame, m: Measure, dims: list[str], sound: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidate slices counted: cells are joined with the sound slices one condition shorter, then with one more of their own values.
+
+    A cell is copied for the sound slices that it lies in, not for every combination of dimensions.
+    """
+    items = [F.when(F.col(d) != _OTHER, F.struct(F.lit(i).alias("place"), F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))) for i, d in enumerate(dims)]
+    own = cell.withColumn("items", F.array_compact(F.array(*items)))
+    pair = F.flatten(F.transform("items", lambda a: F.transform(F.filter("items", lambda b: b["place"] > a["place"]), lambda b: F.array(a, b))))
+    inner = own.withColumn("held", F.explode(pair))
+    bare = F.transform("held", lambda c: F.struct(c["dimension"].alias("dimension"), c["value"].alias("value")))
+    depth = sound.select(F.size("conditions").alias("n")).agg(F.max("n")).first()[0] or 2
+    inner = inner.withColumn("conditions", bare)
+    for _ in range(2, depth):  # longer slices grow from pairs, one value at a time
+        inner = _one_more(inner)
+    inner = _one_more(inner.join(sound.select("conditions"), "conditions", "left_semi"))
+    counted = inner.join(candidates, "conditions", "left_semi")
+    if m.additive:
+        return counted.groupBy("conditions").agg(*[F.sum(c).alias(c) for c in cell.columns if c not in dims])
+    return _counted(counted.groupBy("conditions", "_k", "_p").agg(F.sum("n").alias("n"), F.max("all").alias("all")))
+
+
+def _one_more(rows: DataFrame) -> DataFrame:
+    """Each slice of a cell with one more of the cell's later values."""
+    later = F.filter("items", lambda c: c["place"] > F.element_at("held", -1)["place"])
+    out = rows.withColumn("__next", F.explode(later))
+    out = out.withColumn("held", F.concat("held", F.array("__next")))
+    return out.withColumn("conditions", F.concat("conditions", F.array(F.struct(F.col("__next.dimension").alias("dimension"), F.col("__next.value").alias("value"))))).drop("__next")
+
+
 def _fold(cell: DataFrame, m: Measure, dims: list[str], singles: DataFrame) -> DataFrame:
     """Fold values that fail on their own; the kept lists are bounded by the dimensions' value caps."""
     kept = singles.select(F.explode("conditions").alias("c")).groupBy("c.dimension").agg(F.collect_set("c.value").alias("v"))

@@ -63,3 +63,45 @@ def test_drill_path_counts_what_the_slices_count(spark, key):
     assert {k: r["slice"] for k, r in got.items()} == {(1, 1): "a=x", (1, 2): "a=x & b=q", (1, 3): "a=x & b=q & d=m", (2, 1): "a=x"}
     assert all(r["delta"] == pytest.approx(every[r["slice"]]["delta"], abs=0.006) for r in got.values())
     assert rc.drill_path(chosen.limit(0), cell, m, dims, whole).collect() == []
+
+
+def exhaustive(cell, m, dims, whole, **limits):
+    """Every combination of every depth counted by grouping sets, then the same tests."""
+    floor, out, parents = abs(whole["v1"] - whole["v0"]) * limits["prune_floor"], [], None
+    for depth in (1, 2, 3):
+        level = rc._sliced(cell, m, dims, depth).withColumn("bound", rc._bound(m)).withColumn("depth", F.lit(depth))
+        level = level.where((F.col("rows0") + F.col("rows1") >= limits["min_rows"]) & (F.col("bound") >= floor))
+        parents = rc.materialise(level if parents is None else rc._not_redundant(level, parents))
+        out += parents.select(rc.slice_label().alias("s"), "v0", "v1", "rows0", "rows1").collect()
+    return {r["s"]: tuple(r)[1:] for r in out}
+
+
+@pytest.mark.parametrize("key", ["money", "keys"])
+def test_levels_by_candidates_equal_grouping_sets(spark, key):
+    rng = random.Random(7)
+    dims = [f"d{i}" for i in range(7)]
+    rows = [(*[rng.choice("abc"[:1 + i % 3] + "x" * 4) for i in range(7)], rng.randrange(2), float(rng.randint(-3, 9)), f"k{rng.randrange(90)}") for _ in range(900)]
+    df = spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", _p int, money double, k string")
+    m = rc.Measure("money", "currency", value=F.col("money")) if key == "money" else rc.Measure("keys", "count", distinct=F.col("k"))
+    cell = rc.materialise(rc.cells(df, m, dims))
+    whole = rc.totals(cell, m)
+    limits = {"min_rows": 30, "prune_floor": 0.5 if key == "money" else 0.2}
+    got = {r["s"]: tuple(r)[1:] for r in rc.slices(cell, m, dims, whole, **limits).select(rc.slice_label().alias("s"), "v0", "v1", "rows0", "rows1").collect()}
+    want = exhaustive(cell, m, dims, whole, **limits)
+    assert got == want and sum(s.count("&") == 2 for s in got) > 5
+
+
+def test_twenty_dimensions_copy_a_cell_for_its_sound_pairs_only(spark):
+    """With few sound pairs the third level reads few copies of the cells, not one for each of 1,140 combinations."""
+    rng = random.Random(3)
+    dims = [f"d{i}" for i in range(20)]
+    rows = [(*[rng.choice("ab") if i < 3 else str(rng.randrange(40)) for i in range(20)], rng.randrange(2), 1.0) for _ in range(600)]
+    df = spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", _p int, money double")
+    m = rc.Measure("money", "currency", value=F.col("money"))
+    cell = rc.materialise(rc.cells(df, m, dims))
+    folded = rc._fold(cell, m, dims, rc._sliced(cell, m, dims, 1).where("rows0 + rows1 >= 60"))
+    pairs = rc._sliced(folded, m, dims, 2).where("rows0 + rows1 >= 60").where(~F.exists("conditions", lambda c: c["value"] == rc._OTHER))
+    found = rc._candidates(pairs, pairs, dims)
+    assert pairs.count() == 12 and found.count() == 8
+    counted = rc._extended(folded, m, dims, pairs, found)
+    assert counted.agg(F.sum("rows0") + F.sum("rows1")).first()[0] == 600 and counted.count() == 8
