@@ -124,8 +124,8 @@ _sql("op8_secrets", f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r
 i AS (SELECT r, kind, place, least, g, m, x, unnest(range(1, len(m) + 1)) AS n FROM f),
 e AS (SELECT r, kind, place, least, length(m[n]) AS size, length(x[n]) AS inner_size, sum(length(g[n]) + length(m[n])) OVER (PARTITION BY r, kind ORDER BY n) AS stop FROM i),
 p AS MATERIALIZED (SELECT r, kind, place, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM e WHERE inner_size >= least),
-parts(part, kind) AS (VALUES {_pairs_sql(secrets.PARTS)}), wanted(kind, part) AS (VALUES {_pairs_sql(secrets.NEEDS)}), needs AS (SELECT *, count(*) OVER (PARTITION BY kind) AS many FROM wanted), q AS (SELECT r, part, start FROM p JOIN parts USING (kind)),
-weak AS (SELECT p.r, p.kind, p.place, p.start, p.stop FROM p JOIN needs USING (kind) JOIN q ON q.r = p.r AND q.part = needs.part AND abs(q.start - p.start) <= {secrets.SCOPE}
+parts(part, kind) AS (VALUES {_pairs_sql(secrets.PARTS)}), wanted(kind, part) AS (VALUES {_pairs_sql(secrets.NEEDS)}), needs AS (SELECT *, count(*) OVER (PARTITION BY kind) AS many FROM wanted), q AS (SELECT r, part, start, stop FROM p JOIN parts USING (kind)),
+weak AS (SELECT p.r, p.kind, p.place, p.start, p.stop FROM p JOIN needs USING (kind) JOIN q ON q.r = p.r AND q.part = needs.part AND (q.start BETWEEN p.stop AND p.stop + {secrets.SCOPE} OR q.stop BETWEEN p.start - {secrets.SCOPE} AND p.start)
   GROUP BY ALL HAVING count(DISTINCT needs.part) = max(many)),
 s AS (SELECT r, kind, place, start, stop, kind || ':' || start || ':' || stop AS span FROM (SELECT * FROM p WHERE kind IN ('assign', 'access', 'hex') UNION ALL SELECT r, kind, place, start, stop FROM weak)),
 a AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,

@@ -2,15 +2,14 @@
 
 Base patterns are reported as they are.  Three kinds of weak part mean little alone: long opaque
 strings (perhaps secrets), account names (identifiers) and service addresses (endpoints).
-A weak part is reported only where complementary parts lie in its scope, SCOPE characters to either side in the same text:
+A weak part is reported only where complementary parts lie in its scope, beside it with at most SCOPE characters between them in the same text:
 
 * a weak secret next to an identifier (access key or account name),
 * an account name next to a secret (base or weak),
 * an endpoint next to both.
 
-"Next to" is an interval join on cells of SCOPE characters: a cell keeps the first and the last
-place of a kind, which decides nearness exactly for the cell itself and the two beside it, so the join
-has at most three rows for each part and never the pairs of a text.
+"Next to" is an interval join on cells of SCOPE characters for starts and for ends: a cell keeps the first and the last
+place of a kind, so the join has at most four rows for each part and what it needs, and never the pairs of a text.
 """
 
 from __future__ import annotations
@@ -64,17 +63,30 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def linked(parts: DataFrame) -> DataFrame:
-    """The base spans and those weak ones whose complementary parts lie in scope."""
-    cell = F.floor(F.col("start") / SCOPE)
+    """The base spans and those weak ones whose complementary parts lie in scope.
+
+    A partner begins in the SCOPE characters from a part's end on, or ends in those before its start: what overlaps the part
+    does neither, so a stretch never supports itself.  Both are questions for two cells, and the first and
+    last place in a cell answer them exactly.
+    """
+    def cell(at: Column | str) -> Column:
+        return F.floor((F.col(at) if isinstance(at, str) else at) / SCOPE)
+
     named = F.array_compact(F.array(*[F.when(F.col("kind").isin(*kinds), F.lit(part)) for part, kinds in PARTS.items()]))
-    # what is the same stretch of text is one part, not two that support each other
-    cells = parts.withColumn("part", F.explode(named)).withColumn("cell", cell).groupBy("doc_id", "mark", "part", "cell").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    edges = F.array(F.struct(F.lit("after").alias("side"), F.col("start").alias("at")), F.struct(F.lit("before").alias("side"), F.col("end").alias("at")))
+    edge = parts.withColumn("part", F.explode(named)).withColumn("edge", F.explode(edges)).select("doc_id", "mark", "part", "edge.side", cell("edge.at").alias("cell"), "edge.at")
+    cells = edge.groupBy("doc_id", "mark", "part", "side", "cell").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     weak = parts.filter(~F.col("kind").isin(*BASE))
     needs = F.create_map(*[x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("kind")]
-    asked = weak.withColumn("part", F.explode(needs)).withColumn("cell", F.explode(F.array(*[cell + d for d in (-1, 0, 1)])))
-    met = asked.alias("w").join(cells.alias("c"), F.col("w.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("w.mark") == F.col("c.mark")) & (F.col("w.part") == F.col("c.part")) & (F.col("w.cell") == F.col("c.cell")))
-    near = (F.abs(F.col("lo") - F.col("start")) <= SCOPE) | (F.abs(F.col("hi") - F.col("start")) <= SCOPE) | F.floor(F.col("start") / SCOPE).eqNullSafe(F.col("c.cell"))
-    met = met.filter(near).select("w.doc_id", "w.mark", "w.kind", "w.start", "w.end", "w.part").distinct()
+    # in the part's own cell a place beyond its edge is near enough, in the cell beside it a near place is beyond the edge
+    asks = F.array(*[F.struct(F.lit(side).alias("side"), (cell(at) + d).alias("cell"), low.alias("low"), high.alias("high")) for side, at, d, low, high in (
+        ("after", "end", 0, F.col("end"), F.lit(None).cast("bigint")), ("after", "end", 1, F.lit(None).cast("bigint"), F.col("end") + SCOPE),
+        ("before", "start", 0, F.lit(None).cast("bigint"), F.col("start")), ("before", "start", -1, F.col("start") - SCOPE, F.lit(None).cast("bigint")))])
+    asked = weak.withColumn("part", F.explode(needs)).withColumn("ask", F.explode(asks)).select("*", "ask.side", "ask.cell", "ask.low", "ask.high")
+    same = [F.col(f"w.{c}") == F.col(f"c.{c}") for c in ("mark", "part", "side", "cell")]
+    met = asked.alias("w").join(cells.alias("c"), F.col("w.doc_id").eqNullSafe(F.col("c.doc_id")) & same[0] & same[1] & same[2] & same[3])
+    met = met.filter((F.col("low").isNull() | (F.col("hi") >= F.col("low"))) & (F.col("high").isNull() | (F.col("lo") <= F.col("high"))))
+    met = met.select("w.doc_id", "w.mark", "w.kind", "w.start", "w.end", "w.part").distinct()
     met = met.groupBy("doc_id", "mark", "kind", "start", "end").count().filter(F.col("count") == F.size(needs)).drop("count")
     return parts.filter(F.col("kind").isin(*BASE)).unionByName(met)
 
