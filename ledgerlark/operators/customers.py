@@ -26,6 +26,7 @@ RISK_SEGMENTS = ["At Risk", "Can't Lose Them", "Hibernating", "About to Sleep",
 GROWTH_SEGMENTS = ["Potential Loyalists", "New Customers", "Promising"]
 HIGH_VALUE_SEGMENTS = ["Champions", "Loyal Customers"]
 
+# The features of a customer, in the order a model sees them.
 FEATURES = [
     "recency_days", "frequency", "monetary", "tenure_days", "avg_order_value", "avg_interpurchase_days", "orders_last_30",
     "orders_last_60", "orders_last_90", "spend_last_90", "spend_trend", "distinct_products", "distinct_categories",

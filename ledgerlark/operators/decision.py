@@ -106,7 +106,7 @@ def period_stats(df: DataFrame, roles: Roles, periods: list[Period]) -> DataFram
     spec = df.sparkSession.createDataFrame(
         [(p.basis, p.side, p.start, p.end) for p in periods], "basis string, side string, start date, end date"
     )
-    filled = F.broadcast(spec).join(stats, ["basis", "side"], "left")
+    filled = spec.join(stats, ["basis", "side"], "left")
     return filled.select(
         "basis", "side", "start", "end", (F.date_diff("end", "start") + 1).alias("days"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("revenue", "orders", "customers", "units", "rows")],

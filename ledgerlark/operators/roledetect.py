@@ -89,19 +89,24 @@ def detect_roles(df: DataFrame, given: Roles | None = None) -> Roles:
     candidates = role_candidates(df)
     best = {r["role"]: r["column_name"] for r in best_per_role(candidates).collect()}
     categories = [r["column_name"] for r in candidates.where("role = 'category'").orderBy(F.desc("score"), "position").collect()]
-    lowered = {c.lower(): c for c in df.columns}
     numbers = {f.name for f in df.schema.fields if type_label(f.dataType) in ("integer", "float")}
+    more = {role: next((c for c in df.columns if (c in numbers or not NUMBERS_ONLY[role]) and not (role == "name" and c == best.get("customer")) and _speaks(c.lower(), role)), None) for role in NUMBERS_ONLY}
+    return Roles(time=best.get("time"), revenue=best.get("revenue"), order=best.get("order"), customer=best.get("customer"), product=best.get("product"),
+                 quantity=best.get("quantity"), categories=categories, **more)
 
-    def named(*parts: str) -> str | None:
-        return next((c for low, c in lowered.items() if c in numbers and any(p in low for p in parts)), None)
 
-    unit = next((c for low, c in lowered.items() if c in numbers and low.replace("_", "").replace(" ", "") in
-                 ("unitprice", "priceperunit", "priceeach", "itemprice", "price")), None)
-    person = next((c for low, c in lowered.items() if c != best.get("customer") and (
-        low.replace(" ", "_") in ("name", "full_name", "customer", "client") or ("name" in low and any(k in low for k in ("customer", "client", "contact"))))), None)
-    return Roles(time=best.get("time"), revenue=best.get("revenue"), order=best.get("order"), customer=best.get("customer"), product=best.get("product"),
-                 quantity=best.get("quantity"), categories=categories, unit_price=unit, discount=named("discount"), cost=named("cost"),
-                 profit=named("profit", "margin"), name=person)
+# Roles that names alone decide. Whole names (without "_" and spaces for a unit price, with "_" for spaces for a person),
+# parts of which one of each group must stand in the name, and whether the column must hold numbers.
+WHOLE_NAMES = {"unit_price": ("unitprice", "priceperunit", "priceeach", "itemprice", "price"), "name": ("name", "full_name", "customer", "client")}
+NAME_PARTS = {"discount": (("discount",),), "cost": (("cost",),), "profit": (("profit", "margin"),), "name": (("name",), ("customer", "client", "contact"))}
+NUMBERS_ONLY = {"unit_price": True, "discount": True, "cost": True, "profit": True, "name": False}
+
+
+def _speaks(name: str, role: str) -> bool:
+    """Whether a lower-case column name stands for *role*."""
+    groups = NAME_PARTS.get(role)
+    whole = {name.replace("_", "").replace(" ", "")} if role == "unit_price" else {name.replace(" ", "_")}
+    return bool(whole & set(WHOLE_NAMES.get(role, ()))) or bool(groups) and all(any(part in name for part in group) for group in groups)
 
 
 # What a metric worth forecasting is called, best first; names that are no metric.
