@@ -17,9 +17,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import LOWER, mix, signed, slices, span_hashes, stored, text_of, words
@@ -247,6 +248,39 @@ def train(sequences: DataFrame, prior: np.ndarray, *, states: int = STATES, roun
     return model
 
 
+def most_frequent(counts: DataFrame, wanted: int) -> pd.DataFrame:
+    """The *wanted* words of the highest counts (ties by hash) as ``h, c, suffix``, in that order.
+
+    The least count among them is found by histograms of counts, and where more words have it than
+    are wanted, the largest hash by a histogram of the hashes' upper bits.  So the driver gets the
+    wanted words and at most one in 65,536 of the words that tie with the last, not that many from every partition.
+    """
+    bits, part = F.length(F.bin("c")), F.shiftright("h", 48)
+
+    def histogram(of: Column, rows: DataFrame) -> dict[int, int]:
+        return {r["x"]: r["n"] for r in rows.groupBy(of.alias("x")).agg(F.count("*").alias("n")).collect()}
+
+    def reached(found: dict[int, int], order: list[int], need: int) -> tuple[int, int] | None:
+        """The value at which the running number reaches *need*, and what came before it."""
+        before = 0
+        for x in order:
+            if before + found[x] >= need:
+                return x, before
+            before += found[x]
+        return None
+
+    sizes = histogram(bits, counts)  # 64 rows at most
+    size = reached(sizes, sorted(sizes, reverse=True), wanted)
+    chosen = counts
+    if size:
+        alike = histogram(F.col("c"), counts.filter(bits == size[0]))  # no more than that many bits can tell apart, nor than words of that size
+        least, before = reached(alike, sorted(alike, reverse=True), wanted - size[1])
+        places = histogram(part, counts.filter(F.col("c") == least))  # 65,536 rows at most
+        last, _ = reached(places, sorted(places), wanted - size[1] - before)
+        chosen = counts.filter((F.col("c") > least) | ((F.col("c") == least) & (part <= last)))
+    return chosen.select("h", "c", "suffix").toPandas().sort_values(["c", "h"], ascending=[False, True]).head(wanted)
+
+
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """Per row of *docs*: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -260,7 +294,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", st
     counts = stored(counts.filter("c > 0"))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     base_den = total["n"] + total["v"] + 1
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).select("h", "c", "suffix").toPandas()  # bounded by HEAD
+    top = most_frequent(counts, HEAD)
     heads, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     own = np.full(len(heads), -1)
     is_word = heads != END
