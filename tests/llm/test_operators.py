@@ -89,6 +89,18 @@ def test_vectors(shipped):
     assert len(got) == len(rows)
 
 
+def test_odd_vectors(shipped):
+    """Nulls in every column, repeated rows and ids, columns named like results, and an empty table."""
+    one = [1.0] + [0.0] * 15
+    rows = [(1, one, 0), (1, one, 0), (2, one, 0), (None, one, 0), (3, None, None), (4, one, None), (5, [None] * 16, 0), (6, [], 0), (2, [0.0, 1.0] + [0.0] * 14, 0)]
+    odd = shipped.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS component", "2 AS links", "3 AS node", "4 AS room", "5 AS near")
+    got = pivots.near_vectors(odd).collect()
+    assert Counter(r["vec_id"] for r in got) == Counter(r[0] for r in rows)
+    assert {(r["n_links"], r["component_id"]) for r in got if r["vec_id"] == 1} == {(1, 1)}
+    assert {r["n_links"] for r in got if r["vec_id"] in (None, 3, 4, 5, 6)} == {0} and all(r["kept"] for r in got if r["vec_id"] in (None, 3, 4, 5, 6))
+    assert pivots.near_vectors(odd.limit(0)).collect() == []
+
+
 @pytest.fixture(scope="module")
 def encoded(texts):
     encode = tokens.Encoder().tokenizer.encode
