@@ -49,10 +49,10 @@ def residuals(panel: DataFrame, h: int, freq: str, *, folds: int | None = None,
         train = train.withColumn("y", forward(F.col("y"), transform))
         change = F.col("y") - F.lag("y").over(Window.partitionBy(*keys).orderBy("t"))
         sigma = train.withColumn("d", change).groupBy(*keys).agg((F.stddev_pop("d") / (2.0 ** 0.5)).alias("sigma"))
-        made = predict(fit(train, keys, freq), keys, h, models).join(sigma, keys).withColumn(
+        made = predict(fit(train, keys, freq, models), keys, h, models).join(sigma, keys).withColumn(
             "yhat", inverse(F.col("yhat"), transform, F.col("sigma"))).drop("sigma")
     else:
-        made = predict(fit(train, keys, freq), keys, h, models)
+        made = predict(fit(train, keys, freq, models), keys, h, models)
     chosen = candidates(panel.groupBy("series").agg(F.max("n").alias("n")).join(intermittent(panel).select("series", "intermittent"), "series"))
     return made.join(chosen, ["series", "model"], "left_semi").join(test, [*keys, "step"]).select(
         "series", "model", "fold", "step", "y", "yhat")

@@ -32,7 +32,10 @@ class Model:
 MODELS: dict[str, Model] = {}
 # Models for demand in pulses, and the fast ones used to choose a transform.
 FOR_INTERMITTENT = ["Croston", "Naive", "Moving Average", "Seasonal Profile"]
-SCREENING = ["Naive", "Seasonal Naive", "Drift", "Moving Average", "Mean (4 seasons)", "Linear Trend", "Seasonal Profile"]
+SCREENING = ["Naive", "Seasonal Naive", "Drift", "Moving Average", "Mean (4 seasons)", "Linear Trend", "Seasonal Profile", "Harmonic Regression"]
+# Cycles per frequency.
+CYCLES = {"daily": [7.0, 365.25], "weekly": [52.18], "monthly": [12.0]}
+HARMONIC = "Harmonic Regression"
 
 
 def register_model(name: str, predict: Callable[[], Column], min_n: int, complexity: int, **spec) -> None:
@@ -65,15 +68,17 @@ register_model("Damped Drift", lambda: _c("last") + _mean_step() * _damped(), 4,
 register_model("Damped Trend", lambda: _c("anchor") + _c("slope") * (_c("anchor_k") / 2) + _c("slope") * _damped(), 6, 2)
 register_model("Seasonal Profile", lambda: F.when(_c("profile").isNull(), _c("mean_1")).otherwise(
     _c("mean_4") * F.get("profile", (_c("n") + _c("step") - 1) % _c("m"))), 8, 2)
+register_model(HARMONIC, lambda: _wave_sum(), 12, 5)
 register_model("Croston", lambda: _c("croston"), 8, 2, intermittent_only=True)
 
 
-def fit(train: DataFrame, keys: list[str], freq: str) -> DataFrame:
-    """Training statistics per key from rows (keys, t, n, y) with t = 0 .. n-1."""
+def fit(train: DataFrame, keys: list[str], freq: str, models: list[str] | None = None) -> DataFrame:
+    """Training statistics per key from rows (keys, t, n, y) with t = 0 .. n-1, for *models* (None: all)."""
     work = train.withColumn("m", season(F.col("n"), freq)).withColumn("back", F.col("n") - 1 - F.col("t"))
     m, back, n, y = F.col("m"), F.col("back"), F.col("n"), F.col("y")
     long = F.greatest(m, F.floor(n / 3))
     anchor_k = F.greatest(F.lit(3), F.least(n, F.greatest(F.lit(4), F.floor(n / 8), m)))
+    waved = HARMONIC in (models or MODELS)
     pulses = F.array_sort(F.collect_list(F.when(y != 0, F.struct(F.col("t").alias("t"), y.alias("y")))))
     stats = work.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("m").alias("m"), F.max(F.when(F.col("t") == 0, y)).alias("first"), F.max(F.when(back == 0, y)).alias("last"),
@@ -81,8 +86,10 @@ def fit(train: DataFrame, keys: list[str], freq: str) -> DataFrame:
         F.avg(F.when(back < long, y)).alias("mean_long"), F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("intercept"),
         F.max(anchor_k).alias("anchor_k"), F.avg(F.when(back < anchor_k, y)).alias("anchor"), F.avg("y").alias("mean_all"),
         F.transform(F.array_sort(F.collect_list(F.when(back < m, F.struct(F.col("t").alias("t"), y.alias("y"))))), lambda p: p["y"]).alias("recent"),
-        pulses.alias("pulses"))
+        pulses.alias("pulses"), *([_targets(freq).alias("xy")] if waved else []))
     stats = stats.withColumn("croston", _croston()).drop("pulses")
+    if waved:
+        stats = _with_waves(stats, freq)
     return stats.join(_profiles(work, keys, freq), keys, "left")
 
 
@@ -164,64 +171,75 @@ def allowed_transforms(panel: DataFrame) -> DataFrame:
 
 # --- harmonic regression -----------------------------------------------
 
-# Cycles per frequency.
-CYCLES = {"daily": [7.0, 365.25], "weekly": [52.18], "monthly": [12.0]}
-
 
 def waves(period: float) -> int:
     """Harmonics of a cycle: more for a long one."""
     return max(1, min(10 if period > 100 else 3, int(period // 2)))
 
 
-def harmonics(t: Column, freq: str) -> list[Column]:
-    out = []
-    for p in CYCLES[freq]:
-        for k in range(1, waves(p) + 1):
-            angle = 2.0 * math.pi * k * t / p
-            out += [F.sin(angle), F.cos(angle)]
-    return out
+def _angles(freq: str) -> list[float]:
+    return [2.0 * math.pi * k / p for p in CYCLES[freq] for k in range(1, waves(p) + 1)]
 
 
-def harmonic_forecast(panel: DataFrame, freq: str, horizon: int) -> DataFrame:
-    """Trend and seasonal waves of every series: (series, step, yhat).
+def _design(t: Column, angles: list[Column]) -> list[Column]:
+    return [F.lit(1.0), t, *[f(a * t) for a in angles for f in (F.sin, F.cos)]]
 
-    One aggregate gathers each series' sums of products, whatever its length; the small ridge
-    problem left (a penalty of n / 1000, none on the mean) is solved for many series at a time.  A cycle takes
-    part once the series is two cycles long; series of fewer than eight periods, or with fewer periods than
-    unknowns, get a straight line.
-    """
-    def design(t: Column) -> list[Column]:
-        return [F.lit(1.0), t, *harmonics(t, freq)]
 
-    cycle = [p for p in CYCLES[freq] for _ in range(2 * waves(p))]
-    x = design(F.col("t").cast("double"))
-    k = len(x)
+def _targets(freq: str) -> Column:
+    """Sums of products of y with the mean, the trend and the waves."""
+    return F.array(*[F.sum(c * F.col("y")) for c in _design(F.col("t").cast("double"), list(map(F.lit, _angles(freq))))])
+
+
+def _with_waves(stats: DataFrame, freq: str) -> DataFrame:
+    """Coefficients of a ridge regression on trend and waves (a penalty of n / 1000, none on the mean).
+
+    A series has no gaps, so the products of the unknowns depend on its length only: they are
+    made once for a length, whatever the number of series and folds, and all that is gathered from
+    the rows are the sums in ``xy``.  A cycle takes part once the series is two cycles long; series of fewer
+    than eight periods, or with no more periods than unknowns, get a straight line.
+    """
+    angles = np.array(_angles(freq))
+    cycles = np.array([p for p in CYCLES[freq] for _ in range(2 * waves(p))])
 
     @F.pandas_udf("array<double>")
-    def solved(n: pd.Series, products: pd.Series, targets: pd.Series) -> pd.Series:
-        out = []
-        for size, flat, xy in zip(n, products, targets):
-            gram, xy, beta = np.zeros((k, k)), np.asarray(xy, float), np.zeros(k)
-            gram[np.triu_indices(k)] = flat
-            gram += np.triu(gram, 1).T
-            scale = np.ones(k)
-            scale[1] = 1.0 / max(size, 1)  # the trend in units of the whole history
-            gram, xy = gram * scale[:, None] * scale, xy * scale
-            used = np.array([True, True] + [size >= 2 * c for c in cycle])
-            penalty = 1e-3 * size
+    def solved(n: pd.Series, targets: pd.Series) -> pd.Series:
+        systems: dict = {}
+
+        def system(size: int) -> tuple[np.ndarray, np.ndarray]:
+            used, penalty = np.append([True, True], size >= 2 * cycles), 1e-3 * size
             if size < 8 or used.sum() >= size:
-                used, penalty = np.arange(k) < 2, 0.0
-            part = gram[np.ix_(used, used)] + penalty * np.diag([0.0] + [1.0] * (int(used.sum()) - 1))
-            beta[used] = np.linalg.lstsq(part, xy[used], rcond=None)[0]
-            out.append(list(beta * scale))
+                used, penalty = np.arange(len(used)) < 2, 0.0
+            t = np.arange(size, dtype=float)
+            x = np.column_stack([np.ones(size), t / size, *[f(a * t) for a in angles for f in (np.sin, np.cos)]])[:, used]
+            return used, x.T @ x + penalty * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+
+        out = []
+        for size, xy in zip(n.tolist(), targets):
+            if size not in systems:
+                systems[size] = system(size)
+            used, gram = systems[size]
+            xy, beta = np.array(xy, float), np.zeros(len(used))
+            xy[1] /= size  # the trend in units of the whole history
+            beta[used] = np.linalg.lstsq(gram, xy[used], rcond=None)[0]
+            beta[1] /= size
+            out.append(beta)
         return pd.Series(out)
 
-    products = [F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)]
-    sums = panel.where("y is not null").groupBy("series").agg(F.max("n").alias("n"), F.array(*products).alias("xx"), F.array(*[F.sum(c * F.col("y")) for c in x]).alias("xy"))
-    fitted = sums.select("series", "n", solved("n", "xx", "xy").alias("beta"))
-    ahead = fitted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("t", (F.col("n") - 1 + F.col("step")).cast("double"))
-    terms = F.zip_with("beta", F.array(*design(F.col("t"))), lambda b, c: b * c)
-    return ahead.select("series", "step", F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v).alias("yhat"))
+    return stats.withColumn("beta", solved("n", "xy")).withColumn("angles", F.array(*map(F.lit, _angles(freq)))).drop("xy")
+
+
+def _wave_sum() -> Column:
+    t = (F.col("n") - 1 + F.col("step")).cast("double")
+    pairs = F.flatten(F.transform("angles", lambda a: F.array(F.sin(a * t), F.cos(a * t))))
+    terms = F.zip_with("beta", F.concat(F.array(F.lit(1.0), t), pairs), lambda b, c: b * c)
+    return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def harmonic_forecast(panel: DataFrame, freq: str, horizon: int) -> DataFrame:
+    """Trend and seasonal waves of every series, however short: (series, step, yhat)."""
+    sums = panel.where("y is not null").groupBy("series").agg(F.max("n").alias("n"), _targets(freq).alias("xy"))
+    ahead = _with_waves(sums, freq).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return ahead.select("series", "step", _wave_sum().alias("yhat"))
 
 
 def future_dates(panel: DataFrame, freq: str, horizon: int) -> DataFrame:

@@ -107,6 +107,22 @@ def level_shift(spark, sf):
 
 # --- models on the whole history ----------------------------------------------
 
+
+def _waves_sql() -> str:
+    """The ridge regression on trend and waves of monthly series, solved by elimination, one column at a time."""
+    pairs = ", ".join(f"{f}(2 * pi() * {k} * {{t}} / 12)" for k in (1, 2, 3) for f in ("sin", "cos"))
+    design = f"[1.0::DOUBLE, ({{t}})::DOUBLE / n] || CASE WHEN n >= 24 THEN [{pairs}] ELSE CAST([] AS DOUBLE[]) END"
+    steps = ", ".join(f"""hr_{p} AS (SELECT {{keys}}, n, CASE WHEN len(a) < {p} THEN a ELSE list_transform(a, lambda r, i: CASE WHEN i = {p} THEN list_transform(r, lambda x: x / r[{p}])
+  ELSE list_transform(r, lambda x, j: x - r[{p}] * a[{p}][j] / a[{p}][{p}]) END) END AS a FROM hr_{p - 1})""" for p in range(1, 9))
+    return f"""hr_x AS (SELECT {{keys}}, n, y, {design.replace('{t}', 't')} AS x FROM {{src}} WHERE n >= 12),
+hr_s AS (SELECT {{keys}}, n, i, j, sum(x[i] * CASE WHEN j > len(x) THEN y ELSE x[j] END) + CASE WHEN i = j AND i > 1 THEN 0.001 * n ELSE 0 END AS v
+  FROM hr_x, (SELECT unnest(range(1, 9)) AS i), (SELECT unnest(range(1, 10)) AS j) WHERE i <= len(x) AND j <= len(x) + 1 GROUP BY {{keys}}, n, i, j),
+hr_0 AS (SELECT {{keys}}, n, list(r ORDER BY i) AS a FROM (SELECT {{keys}}, n, i, list(v ORDER BY j) AS r FROM hr_s GROUP BY {{keys}}, n, i) GROUP BY {{keys}}, n),
+{steps},
+hr AS (SELECT {{keys}}, step, list_dot_product(list_transform(a, lambda r: r[len(a) + 1]), {design.replace('{t}', '(n - 1 + step)')}) AS yhat
+  FROM hr_8, (SELECT unnest(range(1, 7)) AS step))"""
+
+
 _STATS = """st_m AS (SELECT *, CASE WHEN n <= 12 THEN greatest(1, n // 2) ELSE 12 END AS m, n - 1 - t AS back FROM {src}),
 st_k AS (SELECT *, greatest(3, least(n, greatest(4, n // 8, m))) AS ak FROM st_m),
 st AS (SELECT {keys}, max(n) AS n, max(m) AS m, max(y) FILTER (WHERE t = 0) AS first, max(y) FILTER (WHERE back = 0) AS last, avg(y) AS mean_all, avg(y) FILTER (WHERE back < m) AS mean_1,
@@ -118,8 +134,9 @@ pf_w AS (SELECT *, avg(y) OVER w AS lv, count(y) OVER w AS cn FROM st_m WINDOW w
 pf_p AS (SELECT {keys}, t % 12 AS phase, coalesce(quantile_cont(CASE WHEN cn >= 6 AND abs(lv) > 1e-9 THEN y / lv END, 0.5), 1.0) AS r FROM pf_w WHERE n >= 24 GROUP BY ALL),
 pf AS (SELECT {keys}, avg(r) AS mr, list(r ORDER BY phase) AS prof FROM pf_p GROUP BY {keys}),
 pr AS (SELECT st.*, prof, mr, s.step FROM st LEFT JOIN pf USING ({keys}), (SELECT unnest(range(1, 7)) AS step) s),
+""" + _waves_sql() + """,
 pred AS (
-  SELECT {keys}, step, 'Naive' AS model, last AS yhat FROM pr UNION ALL SELECT {keys}, step, 'Drift', last + (last - first) / (n - 1) * step FROM pr
+  SELECT {keys}, step, 'Harmonic Regression' AS model, yhat FROM hr UNION ALL SELECT {keys}, step, 'Naive' AS model, last AS yhat FROM pr UNION ALL SELECT {keys}, step, 'Drift', last + (last - first) / (n - 1) * step FROM pr
   UNION ALL SELECT {keys}, step, 'Seasonal Naive', recent[(step - 1) % m + 1] FROM pr UNION ALL SELECT {keys}, step, 'Moving Average', mean_1 FROM pr
   UNION ALL SELECT {keys}, step, 'Mean (2 seasons)', mean_2 FROM pr UNION ALL SELECT {keys}, step, 'Mean (4 seasons)', mean_4 FROM pr
   UNION ALL SELECT {keys}, step, 'Mean (long window)', mean_long FROM pr UNION ALL SELECT {keys}, step, 'Linear Trend', icept + slope * (n - 1 + step) FROM pr
@@ -135,7 +152,8 @@ def _whole() -> str:
 
 def _predictions(spark, sf):
     panel = _panel(spark, sf)
-    return fm.predict(fm.fit(panel, ["series"], "monthly"), ["series"], H, [m for m in fm.MODELS if m != "Croston"])
+    models = [m for m in fm.MODELS if m not in ("Croston", fm.HARMONIC)]
+    return fm.predict(fm.fit(panel, ["series"], "monthly", models), ["series"], H, models)
 
 
 def _model_query(name: str, models: list[str]):
@@ -156,7 +174,7 @@ _model_query("J12_damped", ["Damped Drift", "Damped Trend"])
 _model_query("J13_seasonal_profile", ["Seasonal Profile"])
 
 
-@query("J14_harmonic_regression")
+@query("J14_harmonic_regression", f"{_whole()} SELECT series, CAST(step AS INT) AS step, round(yhat, 2) AS yhat FROM pred WHERE model = 'Harmonic Regression'")
 def harmonic(spark, sf):
     return fm.harmonic_forecast(_panel(spark, sf), "monthly", H).select("series", "step", rnd(F.col("yhat"), 2).alias("yhat"))
 
@@ -166,7 +184,7 @@ SELECT series, round(yhat, 4) AS rate FROM pred WHERE model = 'Croston' AND step
 def croston(spark, sf):
     rows = fact(spark, sf, "ts", "revenue", "quantity", "mktsegment").withColumn("revenue", F.expr("case when quantity > 49 then revenue else 0.0D end"))
     panel = fp.build_panel(rows, "ts", "revenue", "daily", series=F.col("mktsegment"))
-    return fm.predict(fm.fit(panel, ["series"], "daily"), ["series"], 1, ["Croston"]).select("series", rnd(F.col("yhat"), 4).alias("rate"))
+    return fm.predict(fm.fit(panel, ["series"], "daily", ["Croston"]), ["series"], 1, ["Croston"]).select("series", rnd(F.col("yhat"), 4).alias("rate"))
 
 
 @query("J16_candidate_models", f"""{P}, s AS (SELECT series, count(*) AS n, avg(gap) > 1.32 OR count(*) FILTER (WHERE y <> 0) < 2 AS inter FROM
@@ -261,7 +279,24 @@ def simplest_tied(spark, sf):
     return selected.select("series", "selected", "best")
 
 
-@query("J21_choose_transform")
+def _transforms_sql() -> str:
+    """The fast models back-tested on three folds under each transform."""
+    forward = {"none": "y", "log1p": "ln(1 + greatest(y, 0))", "sqrt": "sqrt(greatest(y, 0))"}
+    inverse = {"none": "yhat", "log1p": "exp(least(700, greatest(-700, yhat + 0.5 * sigma * sigma))) - 1", "sqrt": "pow(greatest(yhat, 0), 2) + sigma * sigma"}
+    fast = ", ".join(f"'{m}'" for m in fm.SCREENING)
+    parts = ", ".join(f"""z_{k} AS (SELECT series, fold, t, n, {forward[k]} AS y FROM tr),
+s_{k} AS (SELECT series, fold, stddev_pop(d) / sqrt(2) AS sigma FROM (SELECT series, fold, y - lag(y) OVER (PARTITION BY series, fold ORDER BY t) AS d FROM z_{k}) GROUP BY ALL),
+p_{k} AS (WITH {_STATS.format(src=f'z_{k}', keys='series, fold')} SELECT '{k}' AS transform, {i} AS ord, series, model, fold, step, {inverse[k]} AS yhat FROM pred JOIN s_{k} USING (series, fold) WHERE model IN ({fast}))"""
+                      for i, k in enumerate(fm.TRANSFORMS))
+    every = " UNION ALL ".join(f"SELECT * FROM p_{k}" for k in fm.TRANSFORMS)
+    return f"""{_BT.replace('least(want, ', 'least(3, ')}, {parts}, ev AS ({every}),
+err AS (SELECT series, transform, ord, model, sqrt(avg((te.y - ev.yhat) ** 2)) AS e FROM ev JOIN te USING (series, fold, step) JOIN cand USING (series, model) GROUP BY ALL),
+low AS (SELECT series, transform, ord, min(e * CASE WHEN transform = 'none' THEN 0.98 ELSE 1 END) AS e FROM err GROUP BY ALL),
+may AS (SELECT series, count(*) >= 8 AND min(y) >= 0 AND avg(y) > 0 AND stddev_pop(y) / avg(y) >= 0.05 AS ok FROM panel GROUP BY 1)
+SELECT series, transform FROM low JOIN may USING (series) WHERE ok OR transform = 'none' QUALIFY row_number() OVER (PARTITION BY series ORDER BY e, ord) = 1"""
+
+
+@query("J21_choose_transform", _transforms_sql())
 def choose_transform(spark, sf):
     return bt.best_transform(materialise(_panel(spark, sf)), H, "monthly")
 

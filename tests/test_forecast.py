@@ -156,3 +156,20 @@ def test_harmonic_regression_of_each_series_equals_a_ridge_solve(spark):
             penalty[0, 0] = 0
             want = design(ahead) @ np.linalg.solve(x.T @ x + penalty, x.T @ y)
         assert [got[name, s] for s in range(1, 5)] == pytest.approx(list(want), rel=1e-6)
+
+
+def test_harmonic_regression_competes_and_each_fold_equals_a_refit(spark):
+    rng = np.random.default_rng(6)
+    y = 200 + np.arange(60) + 40 * np.sin(np.arange(60) * np.pi / 6) + 15 * np.cos(np.arange(60) * np.pi / 3) + rng.normal(0, 3, 60)
+    panel = panel_of(spark, y, "monthly")
+    resid = bt.residuals(panel, 6, "monthly", folds=3, repaired=False)
+    got = {(r["fold"], r["step"]): r["yhat"] for r in resid.where(F.col("model") == fm.HARMONIC).collect()}
+    for k in (1, 2, 3):
+        n = 60 - 6 * k
+        alone = {r["step"]: r["yhat"] for r in fm.harmonic_forecast(panel_of(spark, y[:n], "monthly"), "monthly", 6).collect()}
+        assert {s: got[k, s] for s in alone} == pytest.approx(alone, rel=1e-9)
+    assert len(got) == 18
+    board = {r["model"]: r["place"] for r in bt.ordered(bt.leaderboard(resid, bt.scales(panel, "monthly"))).collect()}
+    assert board[fm.HARMONIC] == 1 and len(board) == len(fm.MODELS) - 1
+    shapes = spark.createDataFrame([("pulses", 40, True), ("short", 11, False), ("long", 12, False)], "series string, n int, intermittent boolean")
+    assert [r["series"] for r in fm.candidates(shapes).where(F.col("model") == fm.HARMONIC).collect()] == ["long"]
