@@ -16,7 +16,7 @@ from ledgerlark.operators import relations
 from ledgerlark.plans.customers import _snapshots as customer_snapshots
 from ledgerlark.plans.customers import _SNAPSHOTS
 from ledgerlark.plans.registry import query
-from ledgerlark.plans.relations import _discover_sql, _discover_tables
+from ledgerlark.plans.relations import LINE_RELATIONS, _discover_sql, _discover_tables
 from ledgerlark.plans.tables import FACT_SQL, fact, table
 from ledgerlark.sources import files, store
 from ledgerlark.streaming import streams
