@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlark.functions.numbers import risk_tier, rnd
-from ledgerlark.functions.scale import exact_quantiles, materialise, with_running
+from ledgerlark.functions.scale import dealt, exact_quantiles, materialise, with_running
 from ledgerlark.operators.kpi import number
 from ledgerlark.roles import Roles
 
@@ -55,43 +56,65 @@ def feature_panel(df: DataFrame, roles: Roles, cutoffs: list[datetime], horizon_
     """Features of every customer at every cutoff, with the churn label when a
     horizon is given (no purchase in the days after the cutoff).
 
-    Lines are summed per order and moment first; only those few rows are spread
-    over the cutoffs.  Products and categories count from the first time they
-    were bought, so they too are reduced before the spread.
+    Lines are summed per order and moment, these per customer and place among the
+    cutoffs and their windows; only those few rows are spread over the cutoffs.
+    Products and categories count from the first time they were bought, so they too
+    become numbers per customer and place.
     """
     rows = parse_time(df, roles.time).where(F.col(roles.customer).isNotNull())
     has_discount = roles.discount is not None
     discount = F.col(roles.discount).try_cast("double") if has_discount else F.lit(None).cast("double")
     base = rows.groupBy(F.col(roles.customer).alias("customer"), F.col(roles.order).alias("order"), "_dt").agg(
         F.sum(number(roles.revenue)).alias("money"), F.sum(number(roles.quantity)).alias("qty"),
-        F.sum(discount).alias("disc"), F.count(discount).alias("disc_n"),
+        F.sum(discount).alias("disc"), F.count(discount).alias("disc_n"), F.count(F.lit(1)).alias("lines"),
     )
-    points = F.array(*[F.lit(c).cast("timestamp_ntz") for c in cutoffs])
+    points = [F.lit(c).cast("timestamp_ntz") for c in cutoffs]
     reach = F.make_interval(days=F.lit(horizon_days))
-    spread = base.select("*", F.explode(F.filter(points, lambda c: F.col("_dt") <= c + reach)).alias("cutoff"))
-    pre = F.col("_dt") <= F.col("cutoff")
-
-    def before(days: int) -> Column:
-        return pre & (micros(F.col("_dt")) > micros(F.col("cutoff")) - days * DAY)
-
-    orders = spread.groupBy("cutoff", "customer", "order").agg(
-        F.min(F.when(pre, F.col("_dt"))).alias("first"), F.max(F.when(pre, F.col("_dt"))).alias("last"),
-        F.sum(F.when(pre, F.col("money"))).alias("money"), F.sum(F.when(pre, F.col("qty"))).alias("qty"),
-        F.sum(F.when(pre, F.col("disc"))).alias("disc"), F.sum(F.when(pre, F.col("disc_n"))).alias("disc_n"),
-        F.sum(F.when(before(90), F.col("money"))).alias("money_90"), F.bool_or(~pre).alias("after"),
-        *[F.bool_or(before(d)).alias(f"in_{d}") for d in (30, 60, 90)],
-    )
-    seen = F.col("last").isNotNull() & F.col("order").isNotNull()
-    per = orders.groupBy("cutoff", "customer").agg(
-        F.min("first").alias("first_order"), F.max("last").alias("last_order"), F.count_if(seen).alias("frequency"),
-        F.coalesce(F.sum("money"), F.lit(0.0)).alias("monetary"), F.coalesce(F.sum("qty"), F.lit(0.0)).alias("total_quantity"),
-        F.coalesce(F.sum("money_90"), F.lit(0.0)).alias("spend_last_90"),
-        *[F.count_if(F.col(f"in_{d}") & seen).alias(f"orders_last_{d}") for d in (30, 60, 90)],
-        F.coalesce(F.sum("disc") / F.nullif(F.sum("disc_n"), F.lit(0)), F.lit(0.0)).alias("avg_discount"),
-        F.bool_or("after").alias("returned"),
+
+    def place(ts: Column) -> Column:
+        """A digit per cutoff: 0 beyond its reach, 1 after it, from 2 on before it, in the windows of 90, 60 and 30 days 3 to 5."""
+        def digit(c: Column) -> Column:
+            inside = [F.when(micros(ts) > micros(c) - days * DAY, digit) for days, digit in ((30, "5"), (60, "4"), (90, "3"))]
+            return F.when(ts <= c, F.coalesce(*inside, F.lit("2"))).when(ts <= c + reach, "1").otherwise("0")
+
+        return F.concat(*[digit(c) for c in points])
+
+    # an order with several moments counts in a window by the first of them that lies there
+    earlier = F.when(F.col("order").isNotNull(), F.lag("_dt").over(Window.partitionBy("customer", "order").orderBy("_dt")))
+    placed = base.select("*", earlier.alias("prev")).select(
+        "*", place(F.col("_dt")).alias("place"), F.when(F.col("prev").isNotNull(), place(F.col("prev"))).alias("prev_place"))
+    sums = ["money", "qty", "disc", "disc_n", "orders"]
+    measured = materialise(placed.groupBy("customer", "place", "prev_place").agg(
+        F.min("_dt").alias("first"), F.max("_dt").alias("last"), F.count("order").alias("orders"),
+        *[F.sum(c).alias(c) for c in (*sums[:-1], "lines")]))
+    lines = measured.agg(F.sum("lines")).first()[0] or 0  # a number for sizing tasks
+    distinct = {"distinct_products": roles.product, "distinct_categories": (roles.categories or [None])[0]}
+    counted = [_first_bought(rows, roles, column, points, lines).withColumnRenamed("n", name) for name, column in distinct.items() if column is not None]
+    together = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), counted, measured.drop("lines"))
+    sums += [name for name, column in distinct.items() if column is not None]
+    grain = together.groupBy("customer", "place", "prev_place").agg(F.min("first").alias("first"), F.max("last").alias("last"), *[F.sum(c).alias(c) for c in sums])
+    if counted:
+        grain = materialise(grain)
+    spread = dealt(grain, grain.count(), "customer").select("customer", "first", "last", *sums, F.explode(F.array(*[
+        F.struct(c.alias("cutoff"), F.substring("place", i + 1, 1).cast("int").alias("at"), F.coalesce(F.substring("prev_place", i + 1, 1).cast("int"), F.lit(0)).alias("was"))
+        for i, c in enumerate(points)]).cast("array<struct<cutoff: timestamp_ntz, at: int, was: int>>")).alias("w")).where("w.at > 0")
+    at, was = F.col("w.at"), F.col("w.was")
+
+    def total(name: str, level: int = 2) -> Column:
+        return F.sum(F.when(at >= level, F.col(name)))
+
+    def orders_in(level: int) -> Column:
+        return F.coalesce(F.sum(F.when((at >= level) & (was < level), F.col("orders"))), F.lit(0))
+
+    per = spread.groupBy(F.col("w.cutoff").alias("cutoff"), "customer").agg(
+        F.min(F.when(at >= 2, F.col("first"))).alias("first_order"), F.max(F.when(at >= 2, F.col("last"))).alias("last_order"), orders_in(2).alias("frequency"),
+        F.coalesce(total("money"), F.lit(0.0)).alias("monetary"), F.coalesce(total("qty"), F.lit(0.0)).alias("total_quantity"),
+        F.coalesce(total("money", 3), F.lit(0.0)).alias("spend_last_90"),
+        *[orders_in(level).alias(f"orders_last_{days}") for days, level in ((30, 5), (60, 4), (90, 3))],
+        F.coalesce(total("disc") / F.nullif(total("disc_n"), F.lit(0)), F.lit(0.0)).alias("avg_discount"),
+        F.bool_or(at == 1).alias("returned"),
+        *[(F.lit(0).cast("long") if column is None else F.coalesce(total(name), F.lit(0))).alias(name) for name, column in distinct.items()],
     ).where("last_order is not null")
-    for name, column in (("distinct_products", roles.product), ("distinct_categories", (roles.categories or [None])[0])):
-        per = _with_distinct(per, rows, roles, column, points, name)
     tenure = F.greatest(days_between(F.col("cutoff"), F.col("first_order")), F.lit(0))
     out = per.withColumns({
         "recency_days": F.greatest(days_between(F.col("cutoff"), F.col("last_order")), F.lit(0)), "tenure_days": tenure,
@@ -103,14 +126,12 @@ def feature_panel(df: DataFrame, roles: Roles, cutoffs: list[datetime], horizon_
     return out.select("cutoff", "customer", "first_order", "last_order", *present, *label)
 
 
-def _with_distinct(per: DataFrame, rows: DataFrame, roles: Roles, column: str | None, points: Column, name: str) -> DataFrame:
-    if column is None:
-        return per.withColumn(name, F.lit(0).cast("long"))
-    firsts = rows.where(F.col(column).isNotNull()).groupBy(F.col(roles.customer).alias("customer"), F.col(column).alias("v")).agg(
-        F.min("_dt").alias("since"))
-    counts = firsts.select("customer", F.explode(F.filter(points, lambda c: F.col("since") <= c)).alias("cutoff")).groupBy(
-        "cutoff", "customer").agg(F.count(F.lit(1)).alias(name))
-    return per.join(counts, ["cutoff", "customer"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+def _first_bought(rows: DataFrame, roles: Roles, column: str, points: list[Column], lines: int) -> DataFrame:
+    """(customer, place, n): the values of *column* by the cutoffs that lie at or after their first purchase."""
+    bought = rows.where(F.col(column).isNotNull()).select(F.col(roles.customer).alias("customer"), F.col(column).alias("v"), "_dt")
+    firsts = dealt(bought, lines, "customer", "v").groupBy("customer", "v").agg(F.min("_dt").alias("since"))
+    place = F.concat(*[F.when(F.col("since") <= c, "2").otherwise("0") for c in points])
+    return firsts.groupBy("customer", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def features(df: DataFrame, roles: Roles, as_of: datetime) -> DataFrame:

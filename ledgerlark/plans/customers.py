@@ -16,7 +16,7 @@ _COLUMNS = ["order_id", "customer_id", "ts", "product", "brand", "revenue", "qua
 
 
 def lines(spark, sf, *extra):
-    return fact(spark, sf, *_COLUMNS, *extra)
+    return fact(spark, sf, *_COLUMNS, *extra, bounded=True)
 
 
 def _features_sql(cutoffs: str, label: str = "") -> str:
@@ -46,8 +46,12 @@ def _shown(df, *extra):
     return df.select(*extra, *[rnd(F.col(c), _ROUNDED[c]).alias(c) if c in _ROUNDED else F.col(c) for c in _FEATURE_COLS])
 
 
+def _span(spark, sf):
+    return churn.history(fact(spark, sf, "ts", bounded=True), ROLES)
+
+
 def _last(spark, sf):
-    return churn.history(fact(spark, sf, "ts"), ROLES)[1]
+    return _span(spark, sf)[1]
 
 
 @query("D23_customer_features", f"{W}, {_features_sql(_LAST)} SELECT {_FEATURE_SELECT} FROM feats")
@@ -193,7 +197,7 @@ def training_cutoffs(spark, sf):
 
 
 def _panel(spark, sf):
-    first, last = churn.history(fact(spark, sf, "ts"), ROLES)
+    first, last = _span(spark, sf)
     horizon = churn.horizon_for(first, last)
     return customers.feature_panel(lines(spark, sf), ROLES, churn.training_cutoffs(first, last, horizon), horizon)
 

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.scale import dealt
 from ledgerlark.operators.rollup import Rollup, order_sums, product_sums
 from ledgerlark.roles import Roles
 
@@ -52,14 +53,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fact(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The order lines left-joined to just the tables the wanted columns live in."""
+def fact(spark: SparkSession, sf_dir: str, *columns: str, bounded: bool = False) -> DataFrame:
+    """The order lines left-joined to just the tables the wanted columns live in.
+
+    *bounded*: lines and orders meet in tasks of a bounded number of lines, for what goes on to group by order there.
+    """
     wanted = {c: FACT_COLUMNS[c] for c in columns}
     tables = {t for t, _ in wanted.values()}
-    lines = table(spark, sf_dir, "lineitem")
-    out = lines
+    out = table(spark, sf_dir, "lineitem")
     if tables & {"orders", "customer", "nation"}:
-        out = out.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        orders = table(spark, sf_dir, "orders")
+        if bounded:
+            rows = out.count()
+            out, orders = dealt(out, rows, "l_orderkey"), dealt(orders, rows, "o_orderkey")
+        out = out.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if tables & {"customer", "nation"}:
         out = out.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     if "nation" in tables:
