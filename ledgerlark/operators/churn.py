@@ -45,10 +45,10 @@ def cutoffs_table(df: DataFrame, roles: Roles, wanted: int = 90) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, cutoff timestamp_ntz, horizon_end timestamp_ntz")
 
 
-def heuristic_scores(df: DataFrame, roles: Roles, wanted: int = 90) -> DataFrame:
-    """Probability from recency over the horizon, when no model can be trained."""
-    first, last = history(df, roles)
-    return recency_scores(features(df, roles, last), horizon_for(first, last, wanted))
+def heuristic_scores(df: DataFrame, roles: Roles, wanted: int = 90, *, span: tuple[datetime, datetime] | None = None, table: DataFrame | None = None) -> DataFrame:
+    """Probability from recency over the horizon, when no model can be trained. *span*, *table*: the history and the features at its end, where known."""
+    first, last = span or history(df, roles)
+    return recency_scores(features(df, roles, last) if table is None else table, horizon_for(first, last, wanted))
 
 
 def recency_scores(table: DataFrame, horizon: int) -> DataFrame:

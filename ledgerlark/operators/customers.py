@@ -244,9 +244,9 @@ def names(df: DataFrame, roles: Roles, columns: dict[str, str]) -> DataFrame:
 
 
 def customer_state(df: DataFrame, roles: Roles, *, as_of: datetime, scores: DataFrame | None = None,
-                   contacts: dict[str, str] | None = None) -> DataFrame:
-    """One row per customer at a date: observed, derived and predicted values apart."""
-    table = materialise(features(df, roles, as_of))
+                   contacts: dict[str, str] | None = None, table: DataFrame | None = None) -> DataFrame:
+    """One row per customer at a date: observed, derived and predicted values apart. *table*: the features then, where they are stored already."""
+    table = materialise(features(df, roles, as_of)) if table is None else table
     rules = stage_rules(table).first().asDict()
     segments = rfm(df, roles, as_of.date()).select("customer", "r", "f", "m", F.col("segment").alias("rfm_segment"))
     people = names(df, roles, {**({"display_name": roles.name} if roles.name else {}), **(contacts or {})}) if (roles.name or contacts) else None

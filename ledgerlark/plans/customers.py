@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.numbers import risk_tier, rnd
+from ledgerlark.functions.scale import materialise
 from ledgerlark.operators import churn, customers
 from ledgerlark.plans.registry import query
 from ledgerlark.plans.tables import FACT_SQL, ROLES, fact
@@ -274,8 +275,10 @@ _STATE_COLS = ("customer_id, snapshot_date, display_name, recency_days, frequenc
 
 
 def state(spark, sf):
-    rows = lines(spark, sf, "customer_name", "nation")
-    return customers.customer_state(rows, ROLES, as_of=_last(spark, sf), scores=_scores(spark, sf), contacts={"country": "nation"})
+    rows, span = lines(spark, sf, "customer_name", "nation"), _span(spark, sf)
+    table = materialise(customers.features(lines(spark, sf), ROLES, span[1]))
+    scores = churn.heuristic_scores(rows, ROLES, span=span, table=table)
+    return customers.customer_state(rows, ROLES, as_of=span[1], scores=scores, contacts={"country": "nation"}, table=table)
 
 
 @query("M8_customer_state", f"{_STATE_SQL} SELECT {_STATE_COLS} FROM state")

@@ -7,6 +7,7 @@ import pytest
 
 from ledgerlark.functions import scale
 from ledgerlark.operators import customers
+from ledgerlark.plans import customers as plans
 from ledgerlark.roles import Roles
 
 ROLES = Roles(time="ts", revenue="revenue", order="order_id", customer="customer_id", product="product", quantity="quantity", categories=["brand"], discount="discount")
@@ -62,3 +63,10 @@ def test_tasks_grow_with_the_rows(spark):
     df = spark.range(1000)
     assert scale.dealt(df, 30 * scale.TASK_ROWS, "id").rdd.getNumPartitions() == 30
     assert scale.dealt(df, 1000, "id") is df
+
+
+def test_state_makes_its_features_once(spark, monkeypatch):
+    made, real = [], customers.feature_panel
+    monkeypatch.setattr(customers, "feature_panel", lambda *a, **k: made.append(1) or real(*a, **k))
+    assert plans.state(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(made) == 1
