@@ -63,14 +63,14 @@ def fact(spark: SparkSession, sf_dir: str, *columns: str, bounded: bool = False)
     out = table(spark, sf_dir, "lineitem")
     if tables & {"orders", "customer", "nation"}:
         orders = table(spark, sf_dir, "orders")
+        if tables & {"customer", "nation"}:  # joined to the few orders, not to their lines
+            orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        if "nation" in tables:
+            orders = orders.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         if bounded:
             rows = out.count()
             out, orders = dealt(out, rows, "l_orderkey"), dealt(orders, rows, "o_orderkey")
         out = out.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    if tables & {"customer", "nation"}:
-        out = out.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    if "nation" in tables:
-        out = out.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     if "part" in tables:
         out = out.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     return out.select(*[F.expr(e).alias(c) for c, (_, e) in wanted.items()])

@@ -8,6 +8,7 @@ import pytest
 from ledgerlark.functions import scale
 from ledgerlark.operators import customers
 from ledgerlark.plans import customers as plans
+from ledgerlark.plans.tables import fact
 from ledgerlark.roles import Roles
 
 ROLES = Roles(time="ts", revenue="revenue", order="order_id", customer="customer_id", product="product", quantity="quantity", categories=["brand"], discount="discount")
@@ -70,3 +71,9 @@ def test_state_makes_its_features_once(spark, monkeypatch):
     monkeypatch.setattr(customers, "feature_panel", lambda *a, **k: made.append(1) or real(*a, **k))
     assert plans.state(spark, "/root/testdata/sf0.001").count() > 0
     assert len(made) == 1
+
+
+def test_customers_join_orders_not_lines(spark, capsys):
+    fact(spark, "/root/testdata/sf0.001", "mktsegment", "revenue").explain("extended")
+    joins = [line for line in capsys.readouterr().out.split("== Optimized")[0].splitlines() if "Join LeftOuter" in line]
+    assert "l_orderkey" in joins[-2] and "c_custkey" in joins[-1]
