@@ -276,7 +276,7 @@ _STATE_COLS = ("customer_id, snapshot_date, display_name, recency_days, frequenc
 
 def state(spark, sf):
     rows, span = lines(spark, sf, "customer_name", "nation"), _span(spark, sf)
-    table = materialise(customers.features(lines(spark, sf), ROLES, span[1]))
+    table = materialise(customers.features(rows, ROLES, span[1]))
     scores = churn.heuristic_scores(rows, ROLES, span=span, table=table)
     return customers.customer_state(rows, ROLES, as_of=span[1], scores=scores, contacts={"country": "nation"}, table=table)
 

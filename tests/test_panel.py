@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlark.functions import scale
 from ledgerlark.operators import customers
@@ -73,6 +74,16 @@ def test_state_makes_its_features_once(spark, monkeypatch):
     assert len(made) == 1
 
 
+def test_state_of_customers_listed_twice(spark, tmp_path):
+    """Lines of a customer with two rows count twice in the state, as in the view they come from."""
+    for name in ("lineitem", "orders", "part", "nation"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    people = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    people.unionByName(people).write.parquet(str(tmp_path / "customer.parquet"))
+    once, twice = (plans.state(spark, d).agg(F.sum("monetary")).first()[0] for d in ("/root/testdata/sf0.001", str(tmp_path)))
+    assert twice == pytest.approx(2 * once)
+
+
 def test_customers_join_orders_not_lines(spark, capsys):
     fact(spark, "/root/testdata/sf0.001", "mktsegment", "revenue").explain("extended")
     joins = [line for line in capsys.readouterr().out.split("== Optimized")[0].splitlines() if "Join LeftOuter" in line]
