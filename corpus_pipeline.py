@@ -61,7 +61,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids and their places in sequences of at most 2048 ids."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, cache=250_000)  # the executors' memory is that of the stages before, too
 
 
 STAGES = [("quality", good_quality), ("near duplicates", one_of_each_group), ("secrets", without_secrets), ("mixing", mixed), ("packing", packed)]

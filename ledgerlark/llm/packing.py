@@ -53,14 +53,14 @@ def placements(histogram: dict[int, int], sequence: int) -> np.ndarray:
     return np.array([*out, (0, 0, made, 0)], np.int64)
 
 
-def _cut(sequence: int, end: int, path: str | None, with_ids: bool):
+def _cut(sequence: int, end: int, path: str | None, with_ids: bool, cache: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(sequence + 1, np.int64)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            for first, last in groups_of_texts(texts):
-                flat, counts = encoder(path).encode(texts[first:last])
+            for first, last, texts in groups_of_texts(batch.column("text")):
+                flat, counts = encoder(path).encode(texts, cache)
                 ends = np.cumsum(counts)
                 flat = np.insert(flat, ends, end).astype("<u4")
                 total = counts + 1
@@ -95,17 +95,16 @@ def _look_up(before: np.ndarray, slots: np.ndarray):
     order = np.argsort(at)
     at, first, offset = at[order], slots[order, 2], slots[order, 3]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rank = before[batch.column("length").to_numpy()] + batch.column("rank").to_numpy()
-            k = np.searchsorted(at, rank, "right") - 1
-            names = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(first[k] + rank - at[k]), pa.array(offset[k])], [*names, "sequence_id", "offset"])
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        rank = before[length.to_numpy()] + rank.to_numpy()
+        k = np.searchsorted(at, rank, "right") - 1
+        return pa.StructArray.from_arrays([pa.array(first[k] + rank - at[k]), pa.array(offset[k])], ["sequence_id", "offset"])
 
-    return run
+    return place
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sequence: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sequence: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, with_ids: bool = True, cache: int | None = None) -> DataFrame:
     """Per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for, its ``ids``.
 
     Every text is encoded whole, *end_id* follows, and each id lies in exactly one piece of at
@@ -113,11 +112,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq
 
     A null text is an empty one: its piece is the end id.  A null id stays null.  Repeated rows
     are packed as often as they are there.  An empty table gives an empty table.  Other
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names.  *cache*: pieces of text a Python worker holds with their ids.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long" + ", ids array<int>" * with_ids
-    pieces = stored(docs.mapInArrow(_cut(sequence, end_id, tokenizer_path, with_ids), kind))
+    pieces = stored(docs.mapInArrow(_cut(sequence, end_id, tokenizer_path, with_ids, cache), kind))
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = stored(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most *sequence* rows
@@ -133,4 +132,5 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
     if not len(slots):
         return docs.sparkSession.createDataFrame([], kind)
-    return ranked.select(*wanted, "rank").mapInArrow(_look_up(np.cumsum(before), slots), kind)
+    # a function of two numbers: the ids don't go through Python again
+    return ranked.select(*wanted, _look_up(np.cumsum(before), slots)("length", "rank").alias("place")).select(*wanted, "place.sequence_id", "place.offset")

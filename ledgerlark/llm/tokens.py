@@ -8,13 +8,15 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode white space, as the tokenizer's own splitting rule knows it.
 _WHITE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES = set("\t\n\v\f\r \u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 #: A run of other characters with one white-space character before it, or white space that none follows.
 _PIECE = re.compile(f"[{_WHITE}]?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])")
-#: Pieces the cache may hold; it starts anew when full, which costs time and changes no id.
+#: Pieces the cache may hold, with 16 ids each; when full it keeps those used most, which costs time and changes no id.
 CACHE = 1_500_000
 
 
@@ -61,6 +63,25 @@ class Encoder:
     def _start_anew(self) -> None:
         self.pieces, self.pool = _Pieces(), np.zeros(1 << 20, np.uint32)
         self.starts, self.counts, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.uses = np.zeros(0, np.int32)
+
+    def _forget(self, most: int) -> None:
+        """Keep fewer than *most* pieces: those used most, of late above all."""
+        uses = self.uses
+        kept = np.flatnonzero(uses > max(1, np.partition(uses, -most)[-most])) if len(uses) > most else np.zeros(0, np.int64)
+        names, starts, counts = list(self.pieces), self.starts[kept], self.counts[kept]
+        ends = np.cumsum(counts)
+        ids = self.pool[np.repeat(starts - (ends - counts), counts) + np.arange(counts.sum())]
+        self._start_anew()
+        self.pieces.update((names[k], i) for i, k in enumerate(kept.tolist()))
+        self._hold(ids)
+        self.starts, self.counts, self.uses = ends - counts, counts, uses[kept] >> 1
+
+    def _hold(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def _learn(self) -> None:
         fresh, self.pieces.fresh = self.pieces.fresh, []
@@ -75,11 +96,9 @@ class Encoder:
         starts[where] = np.cumsum(sizes) - sizes
         starts[~where] = len(ids) + np.cumsum(counts[~where]) - counts[~where]
         ids = np.concatenate([ids, *rest])
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-        self.pool[self.used:self.used + len(ids)] = ids
         self.starts, self.counts = np.concatenate([self.starts, self.used + starts]), np.concatenate([self.counts, counts])
-        self.used += len(ids)
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int32)])
+        self._hold(ids)
 
     def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for words that begin with one white-space character: such words can
@@ -90,17 +109,17 @@ class Encoder:
         ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
         return flat, np.diff(np.searchsorted(np.cumsum(self.bytes_of[flat]), ends, "right"), prepend=0)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (unsigned 32-bit) one after another, and their number in each text."""
+    def encode(self, texts: list[str], cache: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned 32-bit) one after another, and their number in each text. *cache*: pieces to hold, None: ``CACHE``."""
         if not self.by_piece:
             return self._whole(texts)
         whole = np.fromiter((any(a in t for a in self.added) for t in texts), bool, len(texts))
         if not whole.any():
-            return self._by_piece(texts)
+            return self._by_piece(texts, cache)
         counts, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)]
         cuts = [0, *(np.flatnonzero(whole[1:] != whole[:-1]) + 1).tolist(), len(texts)]
         for first, last in zip(cuts, cuts[1:]):
-            flat, counts[first:last] = (self._whole if whole[first] else self._by_piece)(texts[first:last])
+            flat, counts[first:last] = self._whole(texts[first:last]) if whole[first] else self._by_piece(texts[first:last], cache)
             parts.append(flat)
         return np.concatenate(parts), counts
 
@@ -109,13 +128,15 @@ class Encoder:
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
-    def _by_piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pieces) > CACHE:
-            self._start_anew()
+    def _by_piece(self, texts: list[str], cache: int | None) -> tuple[np.ndarray, np.ndarray]:
+        cache = cache or CACHE
+        if len(self.pieces) > cache or self.used > 16 * cache:
+            self._forget(max(1, cache // 4))
         found = [_PIECE.findall(t) for t in texts]
         per_text = np.fromiter(map(len, found), np.int64, len(found))
         number = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(found)), np.int64, int(per_text.sum()))
         self._learn()
+        np.add.at(self.uses, number, 1)
         sizes = self.counts[number]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -134,13 +155,11 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path]
 
 
-def groups_of_texts(texts: list, most_chars: int = 1 << 20):
-    """(first, last) of runs of texts with about *most_chars* characters."""
+def groups_of_texts(column: pa.Array, most_chars: int = 1 << 20):
+    """(first, last, texts) of runs of texts with about *most_chars* characters; just these are Python strings."""
     first, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= most_chars:
-            yield first, i + 1
+    for i, size in enumerate(pc.utf8_length(column).to_pylist()):
+        held += size
+        if held >= most_chars or i + 1 == len(column):
+            yield first, i + 1, column.slice(first, i + 1 - first).to_pylist()
             first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)

@@ -176,9 +176,9 @@ def _write(folder: str, end: int, path: str | None, most: int):
 
         for batch in batches:
             nulls = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            ids, texts = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("text").to_pylist()
-            for first, last in groups_of_texts(texts, min(1 << 20, most)):
-                flat, counts = encoder(path).encode(texts[first:last])
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            for first, last, texts in groups_of_texts(batch.column("text"), min(1 << 20, most)):
+                flat, counts = encoder(path).encode(texts)
                 held.append(np.insert(flat, np.cumsum(counts), end))
                 docs.append((ids[first:last], nulls[first:last], counts + 1))
                 if sum(map(len, held)) >= most:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlark.llm import common, components, hmm, minhash, mixing, packing, pivots, quality, rules, secrets, substring, tokens, wavelet
@@ -118,6 +119,36 @@ def test_encoder_is_the_library():
     assert e.by_piece and all(flat[a:b].tolist() == w for a, b, w in zip(cuts[:-1], cuts[1:], whole))
 
 
+def test_encoder_keeps_what_is_used():
+    """A full cache keeps common pieces, stays bounded and changes no id."""
+    e = tokens.Encoder()
+    for k in range(20):
+        texts = [f"the same words and new{k}x{i} \u00e9{i * k}" for i in range(60)]
+        flat, counts = e.encode(texts, cache=200)
+        want = [x.ids for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert flat.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+        assert len(e.pieces) <= 400 and len(e.pieces) == len(e.starts) == len(e.counts) == len(e.uses) and e.counts.sum() == e.used
+        if k:
+            before = set(e.pieces)
+            e._forget(50)
+            assert {"the", " same", " words", " and"} <= set(e.pieces) <= before and len(e.pieces) <= 50
+    e.encode(["a" + "bcd" * 10 * k for k in range(100)], cache=200)
+    e.encode(["the"], cache=200)
+    assert e.used <= 16 * 200
+
+
+def test_groups_of_texts():
+    column = pa.array(["x", "", "abcd", "\u00e9\u00e9\u00e9\u00e9\u00e9", "y"]).slice(1)
+    assert list(tokens.groups_of_texts(column, 5)) == [(0, 3, ["", "abcd", "\u00e9" * 5]), (3, 4, ["y"])]
+    assert list(tokens.groups_of_texts(column, 4)) == [(0, 2, ["", "abcd"]), (2, 3, ["\u00e9" * 5]), (3, 4, ["y"])] and list(tokens.groups_of_texts(column.slice(0, 0))) == []
+
+
+def test_packed_ids_go_through_python_once(documents):
+    """Only lengths and ranks are looked up there (the pieces themselves are stored)."""
+    plan = packing.pack(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
 def test_added_tokens_as_loaded(shipped):
     """Ids of a fresh tokenizer, also where a text holds the string of an added token."""
     import public_tokenizers
