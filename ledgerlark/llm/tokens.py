@@ -136,7 +136,7 @@ class Encoder:
         per_text = np.fromiter(map(len, found), np.int64, len(found))
         number = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(found)), np.int64, int(per_text.sum()))
         self._learn()
-        np.add.at(self.uses, number, 1)
+        self.uses += np.bincount(number, minlength=len(self.uses)).astype(np.int32)
         sizes = self.counts[number]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
