@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlark.functions.numbers import rnd, rounded, share_pct
-from ledgerlark.functions.scale import exact_quantiles, union_all, with_running
+from ledgerlark.functions.scale import exact_quantiles, materialise, union_all, with_running
 from ledgerlark.operators.kpi import LINES, line_count, number, sales_grain
 from ledgerlark.operators.series import daily_series
 from ledgerlark.roles import Roles
@@ -400,8 +400,8 @@ def weekday_rhythm(days: DataFrame, min_occurrences: int = 4) -> DataFrame:
 
 def repeat_economics(df: DataFrame, roles: Roles) -> DataFrame:
     """Repeat against one-time customers, with the median order value."""
-    grain = sales_grain(df, roles)
-    per_order = grain.where("order is not null").groupBy("order").agg(F.sum("revenue").alias("revenue"))
+    grain = materialise(sales_grain(df, roles))
+    per_order = materialise(grain.where("order is not null").groupBy("order").agg(F.sum("revenue").alias("revenue")))  # read in every pass of the median
     median = exact_quantiles(per_order, ["revenue"], [0.5])["revenue"][0]
     per = grain.where("customer is not null").groupBy("customer").agg(
         F.sum("revenue").alias("rev"), F.count_distinct("order").alias("orders"))
