@@ -39,6 +39,7 @@ DECIMAL_COMMA = r"^[+-]?[0-9]+,[0-9]{1,2}$"
 EUROPEAN = r"^\s*[^\d\-+]*[-+]?\d{1,3}(\.\d{3})+,\d+\s*[^\d]*$"
 ANGLO = r"^\s*[^\d\-+]*[-+]?\d{1,3}(,\d{3})+\.\d+\s*[^\d]*$"
 DAY_MONTH_YEAR = r"^\s*(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})\s*$"
+DATE_START = r"^(?:\d{1,4}-\d|\d{1,2} [A-Za-z]|[A-Za-z]{3,9} \d)"
 YEAR_FIRST = r"^\s*\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}"
 
 _ALEFS = "أإآٱ"
@@ -188,7 +189,7 @@ def _by_shape(t: Column, days_first: bool) -> Column:
     for pattern, fmt in ((r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
                          (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"), (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy")):
         out = F.when(shaped(pattern), read(fmt)).otherwise(out)
-    return out
+    return F.when(shaped(DATE_START), out)  # one test for the many values that are no date
 
 
 # Magnitudes of spreadsheet serials and epochs.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as tx
 from ledgerlark.functions.numbers import rnd
+from ledgerlark.functions.scale import dealt, materialise
 from ledgerlark.operators import clean, detect, identities, invariants
 from ledgerlark.operators.clean import Step
 from ledgerlark.plans.registry import query
@@ -690,6 +691,7 @@ def clean_every_table(spark, sf):
               "customers": table(spark, sf, "customer").select(F.col("c_custkey").alias("_rid"), F.concat(F.lit(" "), "c_name").alias("title"))}
     out = None
     for name, df in tables.items():
+        df = materialise(dealt(df, df.count(), "_rid"))  # read in every pass of the detectors and steps
         cleaned, _ = clean.apply_plan(df, detect.plan_steps(detect.detect_defects(df)))
         value = [c for c in cleaned.columns if not c.startswith("_")][0]
         row = cleaned.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(value).isNull()).alias("nulls"))
