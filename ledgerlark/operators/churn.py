@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.numbers import risk_tier, rnd
-from ledgerlark.functions.scale import materialise, with_running
+from ledgerlark.functions.scale import dealt, materialise, with_running
 from ledgerlark.operators.customers import FEATURES, feature_panel, features, parse_time
 from ledgerlark.roles import Roles
 
@@ -136,14 +136,17 @@ def permutation_importance(model, valid: DataFrame, columns: list[str], repeats:
 
     Rows are put into one random order, and in every repeat a row is paired with the one a
     fixed distance further on (round the end), so all shuffles are one sort and one join
-    whatever the number of rows; all features of all repeats are scored in one pass.
+    whatever the number of rows; all features of all repeats are scored in one pass, by
+    tasks of a bounded number of scored rows.
     """
     base = valid.select("customer", "cutoff", "churned", *columns)
     ordered = with_running(base, [F.xxhash64(F.lit("order"), "customer", "cutoff"), F.col("customer"), F.col("cutoff")], rank="rn", total_rows="n")
     n, repeat = F.col("n"), F.col("repeat")
     moved = ordered.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn(
         "rn", (F.col("rn") - 1 + F.floor(n * repeat / (repeats + 1))) % n + 1)
-    paired = moved.join(ordered.select("rn", *[F.col(c).alias(f"o_{c}") for c in columns]), "rn")
+    rows = ordered.count() * repeats * len(columns)  # a pair becomes a row for each feature in the task that made it
+    others = dealt(ordered.select("rn", *[F.col(c).alias(f"o_{c}") for c in columns]), rows, "rn")
+    paired = dealt(moved, rows, "rn").join(others, "rn")
     swapped = F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), *[(F.col(f"o_{c}") if c == f else F.col(c)).alias(c) for c in columns]) for f in columns]))
     everything = ordered.select(F.lit(0).alias("repeat"), F.lit("").alias("feature"), "churned", *columns).unionByName(

@@ -88,3 +88,20 @@ def test_customers_join_orders_not_lines(spark, capsys):
     fact(spark, "/root/testdata/sf0.001", "mktsegment", "revenue").explain("extended")
     joins = [line for line in capsys.readouterr().out.split("== Optimized")[0].splitlines() if "Join LeftOuter" in line]
     assert "l_orderkey" in joins[-2] and "c_custkey" in joins[-1]
+
+
+def test_pairs_of_the_importance_in_bounded_tasks(spark, monkeypatch):
+    """Rows that the importance scores are dealt by their number; what comes out does not depend on the tasks."""
+    from ledgerlark.operators import churn
+
+    n, columns = 200, customers.FEATURES
+    rows = spark.range(n).select(F.col("id").alias("customer"), F.lit(END).cast("timestamp_ntz").alias("cutoff"), (F.col("id") % 3 == 0).cast("int").alias("churned"),
+                                 *[(F.col("id") * (k + 1) % (3 if k == 0 else 7 + k)).cast("double").alias(c) for k, c in enumerate(columns)])
+    model, _ = churn.train(rows, iterations=1, depth=2)
+    tasks, out, real = [], [], churn.auc
+    monkeypatch.setattr(churn, "auc", lambda scored, *a: tasks.append(scored.rdd.getNumPartitions()) or real(scored, *a))
+    for task_rows in (250_000, 1000):
+        monkeypatch.setattr(scale, "TASK_ROWS", task_rows)
+        out.append({r["feature"]: r["importance"] for r in churn.permutation_importance(model, rows, columns).collect()})
+    assert tasks[0] < n * 5 * len(columns) // 1000 <= tasks[1]
+    assert out[0] == out[1] and set(out[0]) == set(columns) and max(out[0], key=out[0].get) == columns[0]
