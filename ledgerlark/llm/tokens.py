@@ -16,6 +16,8 @@ _WHITE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 _SPACES = set("\t\n\v\f\r \u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 #: A run of other characters with one white-space character before it, or white space that none follows.
 _PIECE = re.compile(f"[{_WHITE}]?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])")
+#: A space, letters that all versions of Unicode know as such, and a mark: by the splitting rule two words, the letters with their space and the mark.
+_MARKED = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+[.,!?;:]")
 #: Pieces the cache may hold, with 16 ids each; when full it keeps those used most, which costs time and changes no id.
 CACHE = 1_500_000
 
@@ -84,21 +86,34 @@ class Encoder:
         self.used += len(ids)
 
     def _learn(self) -> None:
-        fresh, self.pieces.fresh = self.pieces.fresh, []
+        fresh = self.pieces.fresh
         if not fresh:
             return
-        joined = [len(p) > 1 and p[0] in _SPACES and p[1] not in _SPACES for p in fresh]
-        ids, sizes = self._ids_of_words([p for p, j in zip(fresh, joined) if j])
-        rest = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([p for p, j in zip(fresh, joined) if not j], add_special_tokens=False)]
-        where = np.array(joined)
-        starts, counts = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
-        counts[where], counts[~where] = sizes, [len(x) for x in rest]
-        starts[where] = np.cumsum(sizes) - sizes
-        starts[~where] = len(ids) + np.cumsum(counts[~where]) - counts[~where]
-        ids = np.concatenate([ids, *rest])
-        self.starts, self.counts = np.concatenate([self.starts, self.used + starts]), np.concatenate([self.counts, counts])
+        # a word with a mark is made of both; those met for the first time join the fresh ones
+        marked = [k for k, p in enumerate(fresh) if _MARKED.fullmatch(p)]
+        halves = np.array([(self.pieces[fresh[k][:-1]], self.pieces[fresh[k][-1]]) for k in marked], np.int64).reshape(-1, 2)
+        self.pieces.fresh = []
+        joined = np.fromiter((len(p) > 1 and p[0] in _SPACES and p[1] not in _SPACES for p in fresh), bool, len(fresh))
+        joined[marked] = False
+        alone = ~joined
+        alone[marked] = False
+        counts = np.zeros(len(fresh), np.int64)
+        ids, counts[joined] = self._ids_of_words([fresh[k] for k in np.flatnonzero(joined)])
+        rest, counts[alone] = self._whole([fresh[k] for k in np.flatnonzero(alone)])
+        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(alone)])
+        starts = np.zeros(len(fresh), np.int64)
+        starts[order] = self.used + np.cumsum(counts[order]) - counts[order]
+        self._hold(np.concatenate([ids, rest]))
+        starts, counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
+        sizes, firsts = counts[halves], starts[halves]
+        of = len(self.starts) + np.array(marked, np.int64)
+        counts[of] = sizes.sum(axis=1)
+        starts[of] = self.used + np.cumsum(counts[of]) - counts[of]
+        sizes, firsts = sizes.ravel(), firsts.ravel()
+        ends = np.cumsum(sizes)
+        self._hold(self.pool[np.repeat(firsts - (ends - sizes), sizes) + np.arange(sizes.sum())])
+        self.starts, self.counts = starts, counts
         self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int32)])
-        self._hold(ids)
 
     def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for words that begin with one white-space character: such words can

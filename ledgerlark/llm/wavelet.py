@@ -54,7 +54,7 @@ def to_bytes(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, ends: np.n
         blocks = [pack(raw[i:i + BLOCK // 8]) for i in range(0, len(raw), BLOCK // 8)]
         ones = np.array([np.bitwise_count(packed[i:i + BLOCK // 8]).sum(dtype=np.int64) for i in range(0, len(packed), BLOCK // 8)], np.int64)
         frames += [pack(struct.pack("<qq", len(ids) - int(ones.sum()), len(blocks))), pack(np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes()), *blocks]
-        x = np.concatenate([x[~one], x[one]])
+        x = x[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])]
     return MAGIC + b"".join(struct.pack("<I", len(f)) + f for f in frames)
 
 

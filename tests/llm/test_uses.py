@@ -34,3 +34,17 @@ def test_pieces_are_not_counted_one_by_one(monkeypatch):
     monkeypatch.setattr(tokens, "np", Numpy())
     flat, counts = tokens.Encoder().encode(["a b a", "b"])
     assert len(flat) == counts.sum() == 4
+
+
+def test_words_with_marks_are_made_of_known_ones(monkeypatch):
+    """The model gets each word once, whatever mark follows it; the ids are the library's."""
+    e, asked = tokens.Encoder(), []
+    real = e._ids_of_words
+    monkeypatch.setattr(e, "_ids_of_words", lambda words: asked.extend(words) or real(words))
+    texts = ["x", "x zorble zorble. zorble, zorble; zorble! zorble? zorble:", "x üglø. üglø", "x d×. d÷, 7. don't. a.. 中. é. zorble.\n", "", "x əb! zorble."]
+    for part in (texts, texts[:3], [t + " new." for t in texts]):
+        flat, counts = e.encode(part)
+        want = [x.ids for x in e.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        assert flat.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert [w for w in asked if "zorble" in w] == [" zorble"]
+    assert len(e.pieces) == len(e.starts) == len(e.counts) == len(e.uses)
