@@ -12,7 +12,7 @@ def _stars(pairs: DataFrame, both: bool) -> DataFrame:
     """Point every neighbour of a node (only the larger ones if *both*) at the smallest node around it."""
     around = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else pairs
     least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    turned = around.join(least, "a")
+    turned = around.join(least.hint("merge"), "a")  # files of edges are several times smaller than what a broadcast of them gathers
     if both:
         out = turned.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = stored(edges)
     for _ in range(max_rounds):
         state = now.agg(F.count("*").alias("n"), F.count_distinct("a").alias("k")).first()
-        if state["n"] == state["k"] and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        if state["n"] == state["k"] and now.join(now.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi").isEmpty():
             break
         now = stored(_stars(_stars(now, both=True), both=False))
     else:

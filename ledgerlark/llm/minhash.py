@@ -17,6 +17,10 @@ How the work is dealt out
    of bounded size that give one link for each such node; the linked nodes are not compared with each other.
 5. Nodes of different components and hubs that share a key are paired, unless their
    sizes or their 64-bit sketches rule a link out.
+
+Tables with a row for each node, pair or key are joined by merging.  Their Parquet files are several
+times smaller than the rows, and an explode counts for nothing in the planner's estimate, so a
+broadcast by that estimate gathers in the driver what grows with the documents.
 """
 
 from __future__ import annotations
@@ -154,7 +158,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - both
-    return stored(pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * either).select("a", "b"))
+    return stored(pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").filter(100 * both >= percent * either).select("a", "b"))
 
 
 def _overlaps(table: list[np.ndarray], probes: list[np.ndarray]) -> np.ndarray:
@@ -229,7 +233,7 @@ def _around_hubs(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     every = [F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("ts", "ps")]
     rows = (around.select("hub", "node", "out", F.lit(False).alias("probe"), t.alias("t"), F.explode(every[1]).alias("p"))
             .unionByName(around.filter("out").select("hub", "node", "out", F.lit(True).alias("probe"), F.explode(every[0]).alias("t"), p.alias("p"))))
-    full = rows.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    full = rows.hint("merge").join(sets.withColumnRenamed("doc_id", "node"), "node")
     return stored(full.repartition("hub", "t", "p").sortWithinPartitions("hub", "t", "p").mapInArrow(_blocks(percent), "a long, b long").distinct())
 
 
@@ -264,17 +268,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # every node compared below shares a key, so this is the only time that texts are looked up
     sets = _sets_of(shared.select(F.col("node").alias("doc_id")), docs, shingle)
     links = _confirmed(pairs, sets, percent)
-    near = trials.join(links.select(F.col("a").alias("node"), F.lit(False).alias("out")), "node", "left").withColumn("out", F.coalesce("out", F.lit(True)))
+    near = trials.join(links.select(F.col("a").alias("node"), F.lit(False).alias("out")).hint("merge"), "node", "left").withColumn("out", F.coalesce("out", F.lit(True)))
     links = links.unionByName(_around_hubs(near.select("hub", "node", "out"), sets, percent))
     first = components(links)
 
     # keys that still hold several components: pairs across them, if size and sketch allow
-    held = shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    held = shared.select("key", "node").join(first.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    told = nodes.select("node", F.col("n_shingles").alias("n"), "sketch").join(trials, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+    told = nodes.select("node", F.col("n_shingles").alias("n"), "sketch").join(trials.hint("merge"), "node", "left").withColumn("hub", F.coalesce("hub", "node"))
     left = stored(held.join(mixed, "key", "left_semi").join(told, "node"))
     x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.hub") != F.col("y.hub"))
+    cross = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.hub") != F.col("y.hub"))
                    & (F.col("x.hub") != F.col("y.node")) & (F.col("x.node") != F.col("y.hub"))
                    & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
                    & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= FAR))
@@ -285,7 +289,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = full.select("doc_id", "f1", "f2", "n_shingles").join(nodes.select("f1", "f2", "n_shingles", "node"), ["f1", "f2", "n_shingles"])
     named = stored(named.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
     found = components(links.unionByName(named.filter("node < other").select(F.col("other").alias("a"), F.col("node").alias("b"))))
-    labels = named.join(found, "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "node").alias("component"))
+    labels = named.join(found.hint("merge"), "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "node").alias("component"))
     out = drawn.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
